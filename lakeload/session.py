@@ -20,6 +20,7 @@ def build_session(app: str = "lakeload", cores: str = "*", memory: str = "8g") -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 

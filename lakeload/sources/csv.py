@@ -156,8 +156,10 @@ def records(lines: DataFrame) -> DataFrame:
     """
     key = ["file", "block"]
     order = Window.partitionBy(*key).orderBy("pos")
+    splits = Window.partitionBy("file").orderBy("block")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    upto_split = splits.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = splits.rowsBetween(Window.unboundedPreceding, -1)
 
     value = F.col("value")
     from_outside = value.rlike(OPEN_FROM_OUTSIDE).cast("int")
@@ -177,8 +179,10 @@ def records(lines: DataFrame) -> DataFrame:
         F.max("swaps").alias("swap"), F.max_by("base", "pos").alias("last_base")
     )
     totals = totals.withColumn("reset", (F.col("last_base") + F.col("swap")) % 2)
-    start = (F.coalesce("base", F.lit(0)) + F.coalesce("swaps", F.lit(0))) % 2
-    starts = _run(totals, earlier).select(*key, start.alias("start"))
+    # A file starts outside quotes, a split in the state the one before ends in.
+    end = (F.coalesce("base", F.lit(0)) + F.col("swaps")) % 2
+    totals = _run(totals, upto_split).withColumn("end", end)
+    starts = totals.select(*key, F.lag("end", 1, 0).over(splits).alias("start"))
 
     after = (F.coalesce("base", "start") + F.col("swaps")) % 2
     placed = (
