@@ -27,8 +27,6 @@ KIND_TEXT, KIND_NUMBER, KIND_BOOLEAN, KIND_DATE = 0, 1, 2, 3
 
 # Spellings the reader accepts as booleans and as numbers.
 BOOLEAN_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
-SHORT_INTEGER = r"^\s*[+-]?\d{1,18}\s*\z"
-ANY_INTEGER = r"^\s*[+-]?\d+\s*\z"
 NUMBER = (
     r"^(?:\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*"
     r"|[+-]?(?:[iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY]))\z"
@@ -40,27 +38,32 @@ HEAD_ROWS = 1000
 HEAD_CELLS = 200_000
 
 
-def _integer_bit(cell: Column) -> Column:
-    """64-bit integers are INTEGER, longer ones WIDE_INTEGER."""
-    value = cell.try_cast("decimal(38,0)")
-    limit = F.lit(2**63 - 1).cast("decimal(38,0)")
-    return F.when(value.between(-limit - 1, limit), INTEGER).otherwise(WIDE_INTEGER)
-
+def _number_bit(cell: Column) -> Column:
+    """The bit of a cell that is spelled as a number.
 
-def _decimal_bit(cell: Column) -> Column:
-    """A number too large for a double stays text, as does its column."""
-    may_overflow = (F.length(cell) > 300) | cell.contains("e") | cell.contains("E")
-    spelled_out = cell.rlike("[iI][nN]")
-    overflows = F.abs(cell.cast("double")) == F.lit(float("inf"))
-    return F.when(may_overflow & ~spelled_out & overflows, TEXT).otherwise(DECIMAL)
+    Integers beyond 64 bits are WIDE_INTEGER; a number too large for a double
+    is TEXT. Short cells need no look at their value.
+    """
+    has_exponent = cell.contains("e") | cell.contains("E")
+    is_infinity = cell.contains("n") | cell.contains("N")
+    too_large = F.abs(cell.cast("double")) == F.lit(float("inf"))
+    limit = F.lit(2**63 - 1).cast("decimal(38,0)")
+    fits = cell.try_cast("decimal(38,0)").between(-limit - 1, limit)
+    return (
+        F.when(
+            has_exponent | ((F.length(cell) > 300) & cell.contains(".")),
+            F.when(too_large & ~is_infinity, TEXT).otherwise(DECIMAL),
+        )
+        .when(cell.contains(".") | is_infinity, DECIMAL)
+        .when((F.length(cell) <= 18) | fits, INTEGER)
+        .otherwise(WIDE_INTEGER)
+    )
 
 
 def text_bit(cell: Column) -> Column:
     return (
         F.when(cell.isNull(), F.lit(None).cast("int"))
-        .when(cell.rlike(SHORT_INTEGER), INTEGER)
-        .when(cell.rlike(ANY_INTEGER), _integer_bit(cell))
-        .when(cell.rlike(NUMBER), _decimal_bit(cell))
+        .when(cell.rlike(NUMBER), _number_bit(cell))
         .when(cell.isin(*BOOLEAN_WORDS), BOOLEAN)
         .when(trim_text(cell).isin(*NULL_MARKERS), MARKER)
         .otherwise(TEXT)

@@ -146,64 +146,76 @@ def _run(frame: DataFrame, window: WindowSpec) -> DataFrame:
     )
 
 
-def records(lines: DataFrame) -> DataFrame:
-    """Join physical lines into data records: columns ``record``, ``closed``.
+def place_lines(lines: DataFrame) -> DataFrame:
+    """Tell for every line whether it starts (``before``) and ends (``after``) in quotes.
 
     A line maps the state "inside quotes" at its start to the state at its
     end. These maps are composed within each split of a file, then over the
     split totals, which are joined back. A split is the largest group any
-    task holds, however large the file.
+    task holds, however large the file. Blank lines between records go.
     """
-    key = ["file", "block"]
-    order = Window.partitionBy(*key).orderBy("pos")
+    order = Window.partitionBy("file", "block").orderBy("pos")
     splits = Window.partitionBy("file").orderBy("block")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto_split = splits.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = splits.rowsBetween(Window.unboundedPreceding, -1)
 
-    value = F.col("value")
-    from_outside = value.rlike(OPEN_FROM_OUTSIDE).cast("int")
-    from_inside = value.rlike(OPEN_FROM_INSIDE).cast("int")
+    value, has_quote = F.col("value"), F.col("value").contains('"')
     steps = lines.select(
-        "value", "pos", *key, from_outside.alias("outside"), from_inside.alias("inside")
+        "value",
+        "file",
+        "block",
+        "pos",
+        (has_quote & value.rlike(OPEN_FROM_OUTSIDE)).cast("int").alias("outside"),
+        (~has_quote | value.rlike(OPEN_FROM_INSIDE)).cast("int").alias("inside"),
     ).select(
         "value",
+        "file",
+        "block",
         "pos",
-        *key,
         F.when(F.col("outside") == F.col("inside"), F.col("outside")).alias("reset"),
         (F.col("outside") > F.col("inside")).cast("int").alias("swap"),
     )
     steps = _run(steps, upto)
 
-    totals = steps.groupBy(*key).agg(
+    totals = steps.groupBy("file", "block").agg(
         F.max("swaps").alias("swap"), F.max_by("base", "pos").alias("last_base")
     )
     totals = totals.withColumn("reset", (F.col("last_base") + F.col("swap")) % 2)
     # A file starts outside quotes, a split in the state the one before ends in.
     end = (F.coalesce("base", F.lit(0)) + F.col("swaps")) % 2
     totals = _run(totals, upto_split).withColumn("end", end)
-    starts = totals.select(*key, F.lag("end", 1, 0).over(splits).alias("start"))
+    starts = totals.select("file", "block", F.lag("end", 1, 0).over(splits).alias("start"))
 
     after = (F.coalesce("base", "start") + F.col("swaps")) % 2
-    placed = (
-        steps.join(starts, key)
+    return (
+        steps.join(starts, ["file", "block"])
         .withColumn("after", after)
         .withColumn("before", F.coalesce(F.lag("after").over(order), "start"))
         .where((F.col("before") == 1) | ~value.rlike(BLANK_LINE))
         .withColumn("begin", F.when(F.col("before") == 0, F.col("pos")))
         .withColumn("is_header", (F.col("block") == 0) & (F.count("begin").over(upto) == 1))
+        .select("value", "file", "block", "pos", "before", "after", "begin", "is_header")
     )
-    single = placed.where((F.col("before") == 0) & (F.col("after") == 0) & ~F.col("is_header"))
-    parts = placed.where((F.col("before") == 1) | (F.col("after") == 1)).withColumn(
-        "own", F.last("begin", ignorenulls=True).over(upto)
+
+
+def join_lines(parts: DataFrame) -> DataFrame:
+    """Join the placed lines of records over several lines: ``record``, ``closed``."""
+    upto = (
+        Window.partitionBy("file", "block")
+        .orderBy("pos")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # Lines at the head of a split may continue a record of an earlier split.
-    begun = parts.groupBy(*key).agg(F.max("begin").alias("begin"))
-    carried = begun.select(
-        *key, F.last("begin", ignorenulls=True).over(earlier).alias("carried")
+    carried = (
+        parts.groupBy("file", "block")
+        .agg(F.max("begin").alias("begin"))
+        .select("file", "block", F.last("begin", ignorenulls=True).over(earlier).alias("carried"))
     )
-    joined = (
-        parts.join(carried, key)
+    own = F.last("begin", ignorenulls=True).over(upto)
+    return (
+        parts.withColumn("own", own)
+        .join(carried, ["file", "block"])
         .groupBy("file", F.coalesce("own", "carried").alias("record_id"))
         .agg(
             F.sort_array(F.collect_list(F.struct("block", "pos", "value", "after"))).alias("lines"),
@@ -215,19 +227,27 @@ def records(lines: DataFrame) -> DataFrame:
             (F.element_at("lines.after", -1) == 0).alias("closed"),
         )
     )
-    return single.select(value.alias("record"), F.lit(True).alias("closed")).unionAll(joined)
 
 
 def _read_joined(spark: SparkSession, group: _Group) -> DataFrame:
-    """Records are stored once, as every later pass needs them."""
-    folder = shared_folder(spark, "records")
-    records(_lines(spark, group.paths)).write.parquet(folder)
-    stored = spark.read.parquet(folder)
-    if stored.where(~F.col("closed")).head(1):
+    """Records of files with line ends in quotes.
+
+    Placed lines and joined records are stored once in the shared folder, as
+    both later passes need them.
+    """
+    folder = shared_folder(spark, "csv-records")
+    place_lines(_lines(spark, group.paths)).write.parquet(f"{folder}/lines")
+    lines = spark.read.parquet(f"{folder}/lines")
+    on_one_line = (F.col("before") == 0) & (F.col("after") == 0)
+    join_lines(lines.where(~on_one_line)).write.parquet(f"{folder}/records")
+    joined = spark.read.parquet(f"{folder}/records")
+    if joined.where(~F.col("closed")).head(1):
         raise InputError("a quoted field does not end before the end of its file")
+    single = lines.where(on_one_line & ~F.col("is_header"))
+    found = single.select(F.col("value").alias("record")).unionAll(joined.select("record"))
     width = len(group.header)
     fields = F.from_csv("record", _schema(width).simpleString(), _options(width))
-    return stored.select(fields.alias("fields")).select("fields.*")
+    return found.select(fields.alias("fields")).select("fields.*")
 
 
 def scan_csv_text(spark: SparkSession, paths: Paths, by_suffix: bool = False) -> RawTable:
