@@ -25,8 +25,8 @@ WIDE_INTEGER, SHEET_DATE, SHEET_BOOLEAN, TYPED, MISSING = 32, 64, 128, 256, 512
 # What a workbook says about a cell (see sources.workbook).
 KIND_TEXT, KIND_NUMBER, KIND_BOOLEAN, KIND_DATE = 0, 1, 2, 3
 
-# Spellings the reader accepts as booleans and as numbers.
-BOOLEAN_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
+# Spellings the reader accepts as booleans (in any case) and as numbers.
+BOOLEAN_WORDS = ("true", "false")
 NUMBER = (
     r"^(?:\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*"
     r"|[+-]?(?:[iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY]))\z"
@@ -64,7 +64,7 @@ def text_bit(cell: Column) -> Column:
     return (
         F.when(cell.isNull(), F.lit(None).cast("int"))
         .when(cell.rlike(NUMBER), _number_bit(cell))
-        .when(cell.isin(*BOOLEAN_WORDS), BOOLEAN)
+        .when(F.lower(cell).isin(*BOOLEAN_WORDS), BOOLEAN)
         .when(trim_text(cell).isin(*NULL_MARKERS), MARKER)
         .otherwise(TEXT)
     )
