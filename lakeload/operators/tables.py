@@ -107,19 +107,19 @@ def save_table(
     return LoadResult(True, f"{table} saved", seen.get["n_rows"], len(df.columns))
 
 
-def replace_batch(df: DataFrame, table: str, batch_column: str, table_format: str = "parquet") -> None:
+def replace_batch(
+    df: DataFrame, table: str, batch_column: str, batch: str, table_format: str = "parquet"
+) -> None:
     """Write one batch as its own partition, in place of an earlier try of it."""
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
-        df.write.format(table_format).partitionBy(batch_column).saveAsTable(table)
+        marked = df.withColumn(batch_column, F.lit(batch))
+        marked.write.format(table_format).partitionBy(batch_column).saveAsTable(table)
         return
     merge_schema(spark, table, df.schema)
-    given = {name.lower(): name for name in df.columns}
-    columns = [
-        (F.col(quoted(given[f.name.lower()])) if f.name.lower() in given else F.lit(None))
-        .cast(f.dataType)
-        .alias(f.name)
-        for f in spark.table(table).schema.fields
-    ]
-    writer = df.select(*columns).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").insertInto(table)
+    spark.sql(
+        f"INSERT OVERWRITE {table} PARTITION ({quoted(batch_column)} = :batch) BY NAME"
+        " SELECT * FROM {rows}",
+        args={"batch": batch},
+        rows=df,
+    )

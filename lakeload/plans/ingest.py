@@ -27,7 +27,7 @@ def target_parts(spark: SparkSession, table: str) -> tuple[str, str, str]:
     """Catalog, schema and table of a dotted or back-quoted name."""
     if not table or table.strip().lower() in ("", "none"):
         raise ValueError("no target table given")
-    parts = [part.replace("``", "`") for part in _split_name(table)]
+    parts = _split_name(table)
     if len(parts) > 3 or not all(part.strip() for part in parts):
         raise ValueError(f"not a catalog.schema.table name: {table!r}")
     current = [spark.catalog.currentCatalog(), spark.catalog.currentDatabase()]

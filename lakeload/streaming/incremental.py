@@ -70,8 +70,7 @@ def ingest_new_files(
             return
         if batch_column is not None:
             cleaned = prepare(spark, paths, missing_text=missing_text)
-            frame = cleaned.frame.withColumn(batch_column, F.lit(f"{run}-{batch_id}"))
-            replace_batch(frame, table, batch_column, table_format)
+            replace_batch(cleaned.frame, table, batch_column, f"{run}-{batch_id}", table_format)
             results.append(LoadResult(True, f"{table} saved", cleaned.n_rows, cleaned.n_columns))
             return
         if _is_recorded(spark, control_table, table, paths[0]):
