@@ -32,8 +32,11 @@ NUMBER = (
     r"|[+-]?(?:[iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY]))\z"
 )
 
-# Inputs above this size are worth one small job that looks at their first rows.
-HEAD_PROBE_BYTES = 32 * 1024 * 1024
+# Cells that most integer and decimal columns consist of; tested with one short pattern.
+PLAIN_INTEGER = r"^\s*[+-]?\d{1,18}\s*\z"
+PLAIN_NUMBER = r"^\s*[+-]?\d{1,18}(?:\.\d{0,18})?\s*\z"
+
+# Rows that the probe looks at, and its limit for very wide inputs.
 HEAD_ROWS = 1000
 HEAD_CELLS = 200_000
 
@@ -147,30 +150,48 @@ def _first_rows(raw: RawTable, bits: Sequence[Column]) -> list[int]:
     return [reduce(operator.or_, (row[i] or 0 for row in rows), 0) for i in range(len(bits))]
 
 
+def _plain(cell: Column, bits: int) -> Column | None:
+    """A cheap test that the cell adds no bit to those of a numeric column."""
+    if bits == INTEGER:
+        return cell.rlike(PLAIN_INTEGER)
+    if bits in (DECIMAL, DECIMAL | INTEGER):
+        return cell.rlike(PLAIN_NUMBER)
+    return None
+
+
 def profile(raw: RawTable, keep_missing: bool = False, probe: bool | None = None) -> Profile:
     """Row count, type bits and emptiness of the whole input.
 
-    On large inputs the first rows are looked at before: a column whose type
-    and presence no later row can change is left out of the full pass, so the
-    scan does not even materialise it. The answer is the same either way.
+    A probed input has its first rows looked at before. A column whose type
+    and presence no later row can change is then left out of the full pass, so
+    the scan does not even materialise it; a numeric column is tested with a
+    short pattern, and only if a cell fails that are its bits collected in
+    another pass. The answer is the same either way.
     """
     bits = _bit_columns(raw, keep_missing)
-    if probe is None:
-        probe = (raw.size_bytes or 0) >= HEAD_PROBE_BYTES
+    probe = raw.probe if probe is None else probe
     known = _first_rows(raw, bits) if probe else [0] * len(bits)
-    # With keep_missing a MARKER column still has to learn of its missing cells.
     pending = [i for i, b in enumerate(known) if not is_settled(b)]
+    plain = {i: _plain(raw.cells[i], known[i]) for i in pending if raw.is_text and not keep_missing}
+    plain = {i: test for i, test in plain.items() if test is not None}
     found = raw.frame.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(F.lit(None) if raw.overflow is None else raw.overflow).alias("too_long"),
-        *[F.bit_or(bits[i]).alias(f"b{i}") for i in pending],
+        *[F.bool_and(test).alias(f"p{i}") for i, test in plain.items()],
+        *[F.bit_or(bits[i]).alias(f"b{i}") for i in pending if i not in plain],
     ).first()
     if found["too_long"]:
         raise InputError(
             f"{found['too_long']} row(s) have more fields than the {len(raw.names)} of the header"
         )
     for i in pending:
-        known[i] |= found[f"b{i}"] or 0
+        if i not in plain:
+            known[i] |= found[f"b{i}"] or 0
+    surprising = [i for i in plain if not found[f"p{i}"]]
+    if surprising:
+        again = raw.frame.agg(*[F.bit_or(bits[i]).alias(f"b{i}") for i in surprising]).first()
+        for i in surprising:
+            known[i] |= again[f"b{i}"]
     return Profile(found["n_rows"], known)
 
 

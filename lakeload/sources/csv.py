@@ -35,6 +35,9 @@ OPEN_FROM_INSIDE = rf'^(?:[^"]++|"")*+(?:\z|"[^,]*+,(?:{_FIELD},)*+{_OPEN_FIELD}
 
 BLANK_LINE = r"^[ \t]*\z"
 
+# From this size on a look at the first rows is worth a small job of its own.
+PROBE_BYTES = 16 * 1024 * 1024
+
 
 @dataclass(frozen=True)
 class _Group:
@@ -276,5 +279,5 @@ def scan_csv_text(spark: SparkSession, paths: Paths, by_suffix: bool = False) ->
         cells=[F.col(f"c{k}") for k in range(len(names))],
         is_text=True,
         overflow=F.col("overflow"),
-        size_bytes=size,
+        probe=size >= PROBE_BYTES,
     )

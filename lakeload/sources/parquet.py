@@ -13,4 +13,4 @@ def scan_parquet_raw(spark: SparkSession, paths: Paths, by_suffix: bool = False)
     reader = spark.read.options(recursiveFileLookup="true", mergeSchema="true")
     if by_suffix:
         reader = reader.option("pathGlobFilter", suffix_filter("parquet"))
-    return typed_table(reader.parquet(*as_list(paths)))
+    return typed_table(reader.parquet(*as_list(paths)), probe=True)

@@ -19,7 +19,8 @@ class RawTable:
     ``cells[i]`` is the value of column ``names[i]``. Text inputs (CSV and
     workbooks) hold strings that still need a type; ``kinds[i]`` tells, for
     workbooks, what the sheet itself says about the cell. ``overflow`` is not
-    null on rows with more fields than the header.
+    null on rows with more fields than the header. ``probe`` says that looking
+    at the first rows before the whole input is cheap and likely to pay.
     """
 
     frame: DataFrame
@@ -28,10 +29,10 @@ class RawTable:
     is_text: bool
     kinds: list[Column] | None = None
     overflow: Column | None = None
-    size_bytes: int | None = None
+    probe: bool = False
 
 
-def typed_table(df: DataFrame, size_bytes: int | None = None) -> RawTable:
+def typed_table(df: DataFrame, probe: bool = False) -> RawTable:
     """A frame that already has types; NaN counts as missing."""
     frame = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     cells = [
@@ -40,4 +41,4 @@ def typed_table(df: DataFrame, size_bytes: int | None = None) -> RawTable:
         else F.col(field.name)
         for field in frame.schema.fields
     ]
-    return RawTable(frame, list(df.columns), cells, is_text=False, size_bytes=size_bytes)
+    return RawTable(frame, list(df.columns), cells, is_text=False, probe=probe)
