@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +54,7 @@ class CleanTable:
     frame: DataFrame
     n_rows: int
     n_columns: int
+    stored: list[str] = field(default_factory=list)
 
 
 def read_types(raw: RawTable, found: Profile | None = None) -> DataFrame:
@@ -85,7 +86,7 @@ def clean_raw(raw: RawTable, missing_text: str | None = None) -> CleanTable:
         kept.append((clean_text(cell) if is_string else cell).alias(name))
     if not kept:
         raise InputError("no column of the input holds a value")
-    return CleanTable(raw.frame.select(*kept), found.n_rows, len(kept))
+    return CleanTable(raw.frame.select(*kept), found.n_rows, len(kept), raw.stored)
 
 
 def clean(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from lakeload.functions.names import file_format, landed_file_name, uploaded_fil
 from lakeload.operators.cleaning import CleanTable, clean_raw
 from lakeload.operators.control import create_control_table, record_load
 from lakeload.operators.tables import LoadResult, check_mode, save_table
+from lakeload.session import remove_folders
 from lakeload.sources.dispatch import read_raw
 from lakeload.sources.listing import Paths, as_list
 
@@ -75,6 +76,7 @@ def ingest(
     sheet = 0 if landed else sheet
     cleaned = prepare(spark, paths, sheet, missing_text)
     result = save_table(cleaned.frame, table, mode, table_format)
+    remove_folders(spark, cleaned.stored)
     if result.ok and control_table is not None:
         create_control_table(spark, control_table, table_format)
         # A link's name is taken from the whole path, an upload's from its last part.

@@ -6,6 +6,7 @@ Everything is written by Spark tasks below the shared folder.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterable
 from xml.sax.saxutils import escape
@@ -102,7 +103,8 @@ def land_workbooks(
     With ``first_sheet`` the data lies behind another sheet of that name.
     """
     folder = folder or shared_folder(df.sparkSession, label)
-    uri = folder if ":/" in folder else f"file://{folder}"
+    local = re.fullmatch(r"(?:file:/*)?(/.*|[^:]*)", folder)
+    uri = f"file:///{local[1].lstrip('/')}" if local else folder
 
     def write_book(group: pd.DataFrame) -> pd.DataFrame:
         number = int(group["book"].iloc[0])

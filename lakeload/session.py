@@ -40,3 +40,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             _LOCAL_BASE = tempfile.mkdtemp(prefix="lakeload-")
         base = _LOCAL_BASE
     return f"{base.rstrip('/')}/lakeload/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Delete intermediate rows from the shared folder once a load is done."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -201,8 +201,15 @@ def place_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def open_files(lines: DataFrame) -> DataFrame:
+    """Files whose last placed line ends inside quotes."""
+    per_split = lines.groupBy("file", "block").agg(F.max_by("after", "pos").alias("after"))
+    per_file = per_split.groupBy("file").agg(F.max_by("after", "block").alias("after"))
+    return per_file.where("after = 1").select("file")
+
+
 def join_lines(parts: DataFrame) -> DataFrame:
-    """Join the placed lines of records over several lines: ``record``, ``closed``."""
+    """Join the placed lines of records over several lines into ``record``."""
     upto = (
         Window.partitionBy("file", "block")
         .orderBy("pos")
@@ -221,33 +228,31 @@ def join_lines(parts: DataFrame) -> DataFrame:
         .join(carried, ["file", "block"])
         .groupBy("file", F.coalesce("own", "carried").alias("record_id"))
         .agg(
-            F.sort_array(F.collect_list(F.struct("block", "pos", "value", "after"))).alias("lines"),
+            F.sort_array(F.collect_list(F.struct("block", "pos", "value"))).alias("lines"),
             F.bool_or("is_header").alias("is_header"),
         )
         .where(~F.col("is_header"))
-        .select(
-            F.array_join("lines.value", "\n").alias("record"),
-            (F.element_at("lines.after", -1) == 0).alias("closed"),
-        )
+        .select(F.array_join("lines.value", "\n").alias("record"))
     )
 
 
-def _read_joined(spark: SparkSession, group: _Group) -> DataFrame:
+def _read_joined(spark: SparkSession, group: _Group, folder: str) -> DataFrame:
     """Records of files with line ends in quotes.
 
     Placed lines and joined records are stored once in the shared folder, as
-    both later passes need them.
+    both later passes need them. A quote left open would make one record of
+    the rest of its file, so it is refused before lines are joined.
     """
-    folder = shared_folder(spark, "csv-records")
     place_lines(_lines(spark, group.paths)).write.parquet(f"{folder}/lines")
     lines = spark.read.parquet(f"{folder}/lines")
+    refused = open_files(lines).head(1)
+    if refused:
+        raise InputError(f"a quoted field does not end before the end of {refused[0].file}")
     on_one_line = (F.col("before") == 0) & (F.col("after") == 0)
     join_lines(lines.where(~on_one_line)).write.parquet(f"{folder}/records")
     joined = spark.read.parquet(f"{folder}/records")
-    if joined.where(~F.col("closed")).head(1):
-        raise InputError("a quoted field does not end before the end of its file")
     single = lines.where(on_one_line & ~F.col("is_header"))
-    found = single.select(F.col("value").alias("record")).unionAll(joined.select("record"))
+    found = single.select(F.col("value").alias("record")).unionAll(joined)
     width = len(group.header)
     fields = F.from_csv("record", _schema(width).simpleString(), _options(width))
     return found.select(fields.alias("fields")).select("fields.*")
@@ -263,10 +268,14 @@ def scan_csv_text(spark: SparkSession, paths: Paths, by_suffix: bool = False) ->
     groups, size = _groups(spark, as_list(paths), by_suffix)
     headers = [reader_names(group.header) for group in groups]
     names = list(dict.fromkeys(name for header in headers for name in header))
-    frames = []
+    frames, stored = [], []
     for group, header in zip(groups, headers):
         place = {name: i for i, name in enumerate(header)}
-        frame = (_read_joined if group.joined else _read_split)(spark, group)
+        if group.joined:
+            stored.append(shared_folder(spark, "csv-records"))
+            frame = _read_joined(spark, group, stored[-1])
+        else:
+            frame = _read_split(spark, group)
         null = F.lit(None).cast("string")
         cells = [
             (missing_to_null(F.col(f"f{place[name]}")) if name in place else null).alias(f"c{k}")
@@ -280,4 +289,5 @@ def scan_csv_text(spark: SparkSession, paths: Paths, by_suffix: bool = False) ->
         is_text=True,
         overflow=F.col("overflow"),
         probe=size >= PROBE_BYTES,
+        stored=stored,
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,31 +85,31 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, paths: Paths, sheet: str | int | None = 0) -> RawTable:
-    """Files of one format, or folders that may mix formats.
+    """Files of one format, or files and folders that mix formats.
 
     A path whose name ends in a known suffix is read by it, any other path is
-    taken as a folder or glob and its files are read by their own suffixes.
+    taken as a folder or glob whose files are read by their own suffixes.
     """
     listed = as_list(paths)
-    suffixes = {_suffix(path) for path in listed}
-    if len(suffixes) == 1 and suffixes <= set(SUFFIXES):
-        return _raw_of(spark, suffixes.pop(), listed, sheet, by_suffix=False)
-    found = {
-        row.file_format
-        for row in source_manifest(spark, listed)
-        .where(~F.col("file_name").rlike("^[._]"))
-        .select("file_format")
-        .distinct()
-        .collect()
-    }
-    if not found or found - set(SUFFIXES):
-        raise InputError(f"cannot read {sorted(found)}; known are {', '.join(SUFFIXES)}")
-    raws = [_raw_of(spark, s, listed, sheet, by_suffix=True) for s in SUFFIXES if s in found]
+    by_suffix: dict[str, list[str]] = {}
+    for path in listed:
+        by_suffix.setdefault(_suffix(path), []).append(path)
+    if by_suffix.keys() <= set(SUFFIXES):
+        raws = [_raw_of(spark, s, by_suffix[s], sheet, False) for s in SUFFIXES if s in by_suffix]
+    else:
+        found = {
+            row.file_format
+            for row in source_manifest(spark, listed).select("file_format").distinct().collect()
+        }
+        if not found or found - set(SUFFIXES):
+            raise InputError(f"cannot read {sorted(found)}; known are {', '.join(SUFFIXES)}")
+        raws = [_raw_of(spark, s, listed, sheet, True) for s in SUFFIXES if s in found]
     if len(raws) == 1:
         return raws[0]
-    return typed_table(
+    stacked = typed_table(
         _stack([read_types(raw) if raw.is_text else _named(raw) for raw in raws])
     )
+    return replace(stacked, stored=[folder for raw in raws for folder in raw.stored])
 
 
 def _named(raw: RawTable) -> DataFrame:

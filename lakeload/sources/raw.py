@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ class RawTable:
     workbooks, what the sheet itself says about the cell. ``overflow`` is not
     null on rows with more fields than the header. ``probe`` says that looking
     at the first rows before the whole input is cheap and likely to pay.
+    ``stored`` are folders of intermediate rows, needed until the load is done.
     """
 
     frame: DataFrame
@@ -30,6 +31,7 @@ class RawTable:
     kinds: list[Column] | None = None
     overflow: Column | None = None
     probe: bool = False
+    stored: list[str] = field(default_factory=list)
 
 
 def typed_table(df: DataFrame, probe: bool = False) -> RawTable:

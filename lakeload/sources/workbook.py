@@ -268,4 +268,5 @@ def scan_xlsx_text(
         cells=[F.col(f"c{i}") for i in range(len(names))],
         is_text=True,
         kinds=[F.col(f"k{i}") for i in range(len(names))],
+        stored=[folder],
     )

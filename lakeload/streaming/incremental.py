@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeload.operators.tables import LoadResult, check_mode, replace_batch
 from lakeload.plans.ingest import ingest, prepare, target_parts
+from lakeload.session import remove_folders
 from lakeload.sources.dispatch import SUFFIXES
 from lakeload.sources.listing import escape_glob, suffix_of
 
@@ -71,6 +72,7 @@ def ingest_new_files(
         if batch_column is not None:
             cleaned = prepare(spark, paths, missing_text=missing_text)
             replace_batch(cleaned.frame, table, batch_column, f"{run}-{batch_id}", table_format)
+            remove_folders(spark, cleaned.stored)
             results.append(LoadResult(True, f"{table} saved", cleaned.n_rows, cleaned.n_columns))
             return
         if _is_recorded(spark, control_table, table, paths[0]):

@@ -74,3 +74,13 @@ def test_refused_batch_stops_the_run(spark, schema, tmp_path):
     with pytest.raises(Exception, match="conflict"):
         _run(spark, tmp_path, table)
     assert spark.table(table).count() == 1
+
+
+def test_one_batch_of_several_formats(spark, schema, tmp_path, rows):
+    from lakeload.plans.landing import workbook_bytes
+
+    _land(tmp_path, "1.csv", 'a,b\n1,"x\ny"\n')
+    (tmp_path / "landing" / "2.XLSX").write_bytes(workbook_bytes({"S": [["a", "b"], [2, "z"]]}))
+    spark.createDataFrame([(3, "w")], "a int, b string").write.parquet(f"{tmp_path}/landing/3")
+    _run(spark, tmp_path, f"{schema}.t")
+    assert rows(spark.table(f"{schema}.t")) == [(1, "x\ny"), (2, "z"), (3, "w")]

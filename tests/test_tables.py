@@ -1,11 +1,14 @@
 """Table writes, the control table, catalog names and whole loads."""
 
+from pathlib import Path
+
 import pytest
 from lakeload.operators import catalog, control
 from lakeload.operators.tables import save_table, type_conflicts, write_table
 from lakeload.plans.ingest import ingest, prepare, target_parts
 from lakeload.plans.landing import workbook_bytes
-from lakeload.sources.dispatch import read_source, scan_parquet, source_manifest
+from lakeload.session import remove_folders
+from lakeload.sources.dispatch import read_raw, read_source, scan_parquet, source_manifest
 from lakeload.sources.raw import InputError
 
 
@@ -150,6 +153,15 @@ def test_upload_and_link_rows(spark, schema, tmp_path):
     assert (found["t2"]["db_catalog"], found["t2"]["db_schema"]) == ("spark_catalog", schema)
 
 
+def test_intermediate_rows_are_removed(spark, schema, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n')
+    stored = read_raw(spark, str(tmp_path / "a.csv")).stored
+    assert len(stored) == 1 and Path(stored[0], "lines").exists()
+    remove_folders(spark, stored)
+    assert not Path(stored[0]).exists()
+    assert ingest(spark, str(tmp_path / "a.csv"), f"{schema}.t").ok
+
+
 def test_failed_load_leaves_no_control_row(spark, schema, tmp_path):
     (tmp_path / "a.csv").write_text("a\nx\n")
     save_table(_df(spark, [(1,)], "A int"), f"{schema}.t")
