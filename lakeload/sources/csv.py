@@ -13,7 +13,7 @@ import csv
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
@@ -35,6 +35,9 @@ OPEN_FROM_INSIDE = rf'^(?:[^"]++|"")*+(?:\z|"[^,]*+,(?:{_FIELD},)*+{_OPEN_FIELD}
 
 BLANK_LINE = r"^[ \t]*\z"
 
+# Up to this number, files are named to the reader one by one.
+MANY_FILES = 10_000
+
 # From this size on a look at the first rows is worth a small job of its own.
 PROBE_BYTES = 16 * 1024 * 1024
 
@@ -46,14 +49,24 @@ class _Group:
     header: list[str]
     paths: list[str]
     joined: bool
+    by_suffix: bool = False
+    listed: list[str] | None = None
+
+    def checked(self, frame: DataFrame) -> DataFrame:
+        """The frame, if it reads the files that the layout pass has seen."""
+        if self.listed is not None and sorted(frame.inputFiles()) != sorted(self.listed):
+            raise InputError("files were added or removed while they were read")
+        return frame
+
+
+def _reader(spark: SparkSession, by_suffix: bool) -> DataFrameReader:
+    reader = spark.read.option("recursiveFileLookup", "true")
+    return reader.option("pathGlobFilter", suffix_filter("csv")) if by_suffix else reader
 
 
 def _lines(spark: SparkSession, paths: list[str], by_suffix: bool = False) -> DataFrame:
     """Physical lines with their file, split and order."""
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if by_suffix:
-        reader = reader.option("pathGlobFilter", suffix_filter("csv"))
-    return reader.text(paths).select(
+    return _reader(spark, by_suffix).text(paths).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_size").alias("size"),
@@ -90,7 +103,8 @@ def _groups(
     One row per file and task is shuffled. The header line is compared by two
     64-bit hashes: with fixed-width buffers the aggregate hashes its groups and
     never sorts lines. The driver learns file names, as any file scan's does,
-    and both later passes read exactly these files.
+    and both later passes read exactly these files. Very many files of one
+    header are listed by Spark once more instead, and the lists compared.
     """
     lines = _lines(spark, paths, by_suffix).where(~F.col("value").rlike(BLANK_LINE))
     is_open = F.col("value").contains('"') & F.col("value").rlike(OPEN_FROM_OUTSIDE)
@@ -112,8 +126,11 @@ def _groups(
         raise InputError(f"no CSV lines in {', '.join(paths)}")
     groups = []
     for row in sorted(grouped, key=lambda row: row.files[0]):
-        files = [literal_path(file) for file in row.files]
-        groups.append(_Group(_header_record(spark, files[0]), files, row.joined))
+        header = _header_record(spark, literal_path(row.files[0]))
+        if len(grouped) == 1 and len(row.files) > MANY_FILES:
+            groups.append(_Group(header, paths, row.joined, by_suffix, lines.inputFiles()))
+        else:
+            groups.append(_Group(header, [literal_path(f) for f in row.files], row.joined))
     return groups, sum(row["size"] for row in grouped)
 
 
@@ -132,8 +149,8 @@ def _options(width: int) -> dict[str, str]:
 
 def _read_split(spark: SparkSession, group: _Group) -> DataFrame:
     width = len(group.header)
-    reader = spark.read.schema(_schema(width)).options(header="true", **_options(width))
-    return reader.csv(group.paths)
+    reader = _reader(spark, group.by_suffix).schema(_schema(width))
+    return group.checked(reader.options(header="true", **_options(width)).csv(group.paths))
 
 
 def _run(frame: DataFrame, window: WindowSpec) -> DataFrame:
@@ -243,7 +260,8 @@ def _read_joined(spark: SparkSession, group: _Group, folder: str) -> DataFrame:
     both later passes need them. A quote left open would make one record of
     the rest of its file, so it is refused before lines are joined.
     """
-    place_lines(_lines(spark, group.paths)).write.parquet(f"{folder}/lines")
+    found = group.checked(_lines(spark, group.paths, group.by_suffix))
+    place_lines(found).write.parquet(f"{folder}/lines")
     lines = spark.read.parquet(f"{folder}/lines")
     refused = open_files(lines).head(1)
     if refused:
@@ -252,10 +270,10 @@ def _read_joined(spark: SparkSession, group: _Group, folder: str) -> DataFrame:
     join_lines(lines.where(~on_one_line)).write.parquet(f"{folder}/records")
     joined = spark.read.parquet(f"{folder}/records")
     single = lines.where(on_one_line & ~F.col("is_header"))
-    found = single.select(F.col("value").alias("record")).unionAll(joined)
+    every = single.select(F.col("value").alias("record")).unionAll(joined)
     width = len(group.header)
     fields = F.from_csv("record", _schema(width).simpleString(), _options(width))
-    return found.select(fields.alias("fields")).select("fields.*")
+    return every.select(fields.alias("fields")).select("fields.*")
 
 
 def scan_csv_text(spark: SparkSession, paths: Paths, by_suffix: bool = False) -> RawTable:

@@ -8,6 +8,7 @@ import pytest
 
 from lakeload.operators.inference import profile, spark_type
 from lakeload.plans.ingest import prepare
+from lakeload.sources import csv as csv_source
 from lakeload.sources.csv import scan_csv_text
 from lakeload.sources.dispatch import scan_csv
 from lakeload.sources.raw import InputError
@@ -228,3 +229,24 @@ def test_settled_columns_leave_the_full_pass(spark, tmp_path):
         found = profile(raw, probe=probe)
         assert found.n_rows == 3001
         assert [spark_type(bits) for bits in found.bits] == ["string", "string", "bigint"]
+
+
+@pytest.mark.parametrize("cell", ["x", '"x\ny"'])
+def test_very_many_files(spark, tmp_path, monkeypatch, cell):
+    """Above the limit a folder is listed again, and a changed list is refused."""
+    monkeypatch.setattr(csv_source, "MANY_FILES", 2)
+    for number in range(4):
+        _file(tmp_path, f"a,b\n{number},{cell}\n", f"{number}.CSV")
+    _file(tmp_path, "\n", "blank.csv")
+    (tmp_path / "note.txt").write_text("x")
+    raw = scan_csv_text(spark, str(tmp_path), by_suffix=True)
+    assert raw.frame.count() == 4
+    real = csv_source._header_record
+
+    def header_and_new_file(session, path):
+        _file(tmp_path, "a,b\n9,z\n", "late.csv")
+        return real(session, path)
+
+    monkeypatch.setattr(csv_source, "_header_record", header_and_new_file)
+    with pytest.raises(InputError, match="added or removed"):
+        scan_csv_text(spark, str(tmp_path), by_suffix=True)

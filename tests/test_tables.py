@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pytest
+
 from lakeload.operators import catalog, control
 from lakeload.operators.tables import save_table, type_conflicts, write_table
 from lakeload.plans.ingest import ingest, prepare, target_parts
