@@ -18,8 +18,12 @@ NULL_MARKERS = ("-", "None")
 BLANKS = "".join(chr(point) for point in range(0x3001) if chr(point).isspace())
 
 
-def missing_to_null(cell: Column) -> Column:
-    return F.when(~cell.isin(*MISSING_TOKENS), cell)
+_TOKENS_SQL = ", ".join(f"'{token}'" for token in MISSING_TOKENS)
+
+
+def missing_to_null(column: str) -> Column:
+    """A text column without its missing tokens; one expression to build, as inputs can be wide."""
+    return F.expr(f"CASE WHEN `{column}` NOT IN ({_TOKENS_SQL}) THEN `{column}` END")
 
 
 def trim_text(cell: Column) -> Column:

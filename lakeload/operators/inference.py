@@ -1,16 +1,16 @@
 """Whole-input type inference and emptiness in one aggregate.
 
 Every cell is mapped to a bit that says what it looks like; a column's type
-follows from the OR of its cells. One ``bit_or`` per column therefore answers
-both questions at once, and the aggregate shuffles one row per partition.
+follows from the OR of its cells, which also tells whether it is empty. Rows
+are turned into (position, cell) pairs within their task, so that the plan is
+equally small for ten and for ten thousand columns; the pairs are merged by
+position before the shuffle, to one row per task and column.
 """
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,10 +32,6 @@ NUMBER = (
     r"|[+-]?(?:[iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY]))\z"
 )
 
-# Cells that most integer and decimal columns consist of; tested with one short pattern.
-PLAIN_INTEGER = r"^\s*[+-]?\d{1,18}\s*\z"
-PLAIN_NUMBER = r"^\s*[+-]?\d{1,18}(?:\.\d{0,18})?\s*\z"
-
 # Rows that the probe looks at, and its limit for very wide inputs.
 HEAD_ROWS = 1000
 HEAD_CELLS = 200_000
@@ -82,11 +78,6 @@ def sheet_bit(cell: Column, kind: Column) -> Column:
     )
 
 
-def typed_bit(value: Column, is_string: bool) -> Column:
-    """Columns that already have a type only need to know if they are empty."""
-    return F.when((clean_text(value) if is_string else value).isNotNull(), TYPED)
-
-
 def spark_type(bits: int) -> str:
     """The type of a text column whose cells have these bits."""
     bits &= ~MISSING
@@ -129,34 +120,37 @@ class Profile:
     bits: list[int]
 
 
-def _bit_columns(raw: RawTable, keep_missing: bool) -> list[Column]:
-    if not raw.is_text:
-        strings = {f.name for f in raw.frame.schema.fields if f.dataType.typeName() == "string"}
-        order = raw.frame.columns
-        return [typed_bit(c, order[i] in strings) for i, c in enumerate(raw.cells)]
-    if raw.kinds is None:
-        bits = [text_bit(c) for c in raw.cells]
+def _elements(raw: RawTable) -> list[Column]:
+    """What has to be known of each cell to find its bit."""
+    if raw.kinds is not None:
+        return [F.struct(c.alias("cell"), k.alias("kind")) for c, k in zip(raw.cells, raw.kinds)]
+    if raw.is_text:
+        return raw.cells
+    types = [field.dataType.typeName() for field in raw.frame.schema.fields]
+    return [
+        (clean_text(c) if kind == "string" else c).isNotNull() for c, kind in zip(raw.cells, types)
+    ]
+
+
+def _bit(raw: RawTable, element: Column, keep_missing: bool) -> Column:
+    """The bit of an element; columns with a type only need to know if they are empty."""
+    if raw.kinds is not None:
+        bit = sheet_bit(element["cell"], element["kind"])
+    elif raw.is_text:
+        bit = text_bit(element)
     else:
-        bits = [sheet_bit(c, k) for c, k in zip(raw.cells, raw.kinds)]
-    if keep_missing:
-        bits = [F.coalesce(b, F.lit(MISSING)) for b in bits]
-    return bits
+        bit = F.when(element, TYPED)
+    return F.coalesce(bit, F.lit(MISSING)) if keep_missing and raw.is_text else bit
 
 
-def _first_rows(raw: RawTable, bits: Sequence[Column]) -> list[int]:
+def _first_rows(raw: RawTable, elements: Sequence[Column], keep_missing: bool) -> list[int]:
     """Bits of the first rows: the job stops at the first partitions it needs."""
-    n_rows = min(HEAD_ROWS, HEAD_CELLS // max(1, len(bits)) + 1)
-    rows = raw.frame.select(*[b.alias(f"b{i}") for i, b in enumerate(bits)]).head(n_rows)
-    return [reduce(operator.or_, (row[i] or 0 for row in rows), 0) for i in range(len(bits))]
-
-
-def _plain(cell: Column, bits: int) -> Column | None:
-    """A cheap test that the cell adds no bit to those of a numeric column."""
-    if bits == INTEGER:
-        return cell.rlike(PLAIN_INTEGER)
-    if bits in (DECIMAL, DECIMAL | INTEGER):
-        return cell.rlike(PLAIN_NUMBER)
-    return None
+    n_rows = min(HEAD_ROWS, HEAD_CELLS // max(1, len(elements)) + 1)
+    bits = F.transform(F.array(*elements), lambda element: _bit(raw, element, keep_missing))
+    found = [0] * len(elements)
+    for row in raw.frame.select(bits.alias("bits")).head(n_rows):
+        found = [known | (bit or 0) for known, bit in zip(found, row.bits)]
+    return found
 
 
 def profile(raw: RawTable, keep_missing: bool = False, probe: bool | None = None) -> Profile:
@@ -164,35 +158,35 @@ def profile(raw: RawTable, keep_missing: bool = False, probe: bool | None = None
 
     A probed input has its first rows looked at before. A column whose type
     and presence no later row can change is then left out of the full pass, so
-    the scan does not even materialise it; a numeric column is tested with a
-    short pattern, and only if a cell fails that are its bits collected in
-    another pass. The answer is the same either way.
+    the scan does not even materialise it. The answer is the same either way.
     """
-    bits = _bit_columns(raw, keep_missing)
+    elements = _elements(raw)
     probe = raw.probe if probe is None else probe
-    known = _first_rows(raw, bits) if probe else [0] * len(bits)
-    pending = [i for i, b in enumerate(known) if not is_settled(b)]
-    plain = {i: _plain(raw.cells[i], known[i]) for i in pending if raw.is_text and not keep_missing}
-    plain = {i: test for i, test in plain.items() if test is not None}
-    found = raw.frame.agg(
+    bits = _first_rows(raw, elements, keep_missing) if probe else [0] * len(elements)
+    pending = [i for i, known in enumerate(bits) if not is_settled(known)]
+    # The last element counts rows, and rows with too many fields if there can be any.
+    last = F.lit(None) if raw.overflow is None else raw.overflow
+    if raw.kinds is not None:
+        last = F.struct(last.cast("string").alias("cell"), F.lit(None).cast("int").alias("kind"))
+    elif not raw.is_text:
+        last = last.cast("boolean")
+    pairs = raw.frame.select(F.posexplode(F.array(*[elements[i] for i in pending], last)))
+    merged = pairs.groupBy("pos").agg(
+        F.bit_or(_bit(raw, F.col("col"), keep_missing)).alias("bits"),
+        F.count("col").alias("filled"),
         F.count(F.lit(1)).alias("n_rows"),
-        F.count(F.lit(None) if raw.overflow is None else raw.overflow).alias("too_long"),
-        *[F.bool_and(test).alias(f"p{i}") for i, test in plain.items()],
-        *[F.bit_or(bits[i]).alias(f"b{i}") for i in pending if i not in plain],
-    ).first()
-    if found["too_long"]:
+    )
+    found = {row.pos: row for row in merged.collect()}
+    if not found:
+        return Profile(0, bits)
+    total = found[len(pending)]
+    if raw.overflow is not None and total.filled:
         raise InputError(
-            f"{found['too_long']} row(s) have more fields than the {len(raw.names)} of the header"
+            f"{total.filled} row(s) have more fields than the {len(raw.names)} of the header"
         )
-    for i in pending:
-        if i not in plain:
-            known[i] |= found[f"b{i}"] or 0
-    surprising = [i for i in plain if not found[f"p{i}"]]
-    if surprising:
-        again = raw.frame.agg(*[F.bit_or(bits[i]).alias(f"b{i}") for i in surprising]).first()
-        for i in surprising:
-            known[i] |= again[f"b{i}"]
-    return Profile(found["n_rows"], known)
+    for pos, i in enumerate(pending):
+        bits[i] |= found[pos].bits or 0
+    return Profile(total.n_rows, bits)
 
 
 def typed_cell(raw: RawTable, position: int, bits: int, missing_text: str | None = None) -> Column:

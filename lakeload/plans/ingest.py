@@ -11,7 +11,7 @@ from lakeload.operators.control import create_control_table, record_load
 from lakeload.operators.tables import LoadResult, check_mode, save_table
 from lakeload.session import remove_folders
 from lakeload.sources.dispatch import read_raw
-from lakeload.sources.listing import Paths, as_list
+from lakeload.sources.listing import Paths, as_list, plain_path
 
 
 def prepare(
@@ -66,7 +66,8 @@ def ingest(
 
     Wrong arguments and unreadable inputs raise; a failed write is returned.
     ``landed`` says that the path is the landed copy of a link: its first
-    sheet is read and the path is kept as ``transient``.
+    sheet is read and the path is kept as ``transient``. The control row of
+    several paths is named after the first.
     """
     check_mode(mode)
     listed = as_list(paths)
@@ -80,7 +81,8 @@ def ingest(
     if result.ok and control_table is not None:
         create_control_table(spark, control_table, table_format)
         # A link's name is taken from the whole path, an upload's from its last part.
-        path = F.lit(listed[0] if landed else listed[0].rstrip("/").rsplit("/", 1)[-1])
+        source = plain_path(listed[0])
+        path = F.lit(source if landed else source.rstrip("/").rsplit("/", 1)[-1])
         record_load(
             spark,
             control_table,
@@ -89,7 +91,7 @@ def ingest(
             db_schema=schema,
             db_table=name,
             insert_mode=mode,
-            transient=listed[0] if landed else None,
+            transient=source if landed else None,
             file_name=landed_file_name(path) if landed else uploaded_file_name(path),
             file_format=file_format(path),
             sheet=sheet if isinstance(sheet, str) and sheet else None,

@@ -296,7 +296,7 @@ def scan_csv_text(spark: SparkSession, paths: Paths, by_suffix: bool = False) ->
             frame = _read_split(spark, group)
         null = F.lit(None).cast("string")
         cells = [
-            (missing_to_null(F.col(f"f{place[name]}")) if name in place else null).alias(f"c{k}")
+            (missing_to_null(f"f{place[name]}") if name in place else null).alias(f"c{k}")
             for k, name in enumerate(names)
         ]
         frames.append(frame.select(*cells, F.col(f"f{len(header)}").alias("overflow")))

@@ -23,6 +23,11 @@ def escape_glob(path: str) -> str:
     return _GLOB_CHARACTERS.sub(r"\\\1", path)
 
 
+def plain_path(path: str) -> str:
+    """The path as people write it, without the escapes of ``escape_glob``."""
+    return re.sub(r"\\([\\*?\[\]{}])", r"\1", path)
+
+
 def literal_path(file_path: str) -> str:
     """A path for a reader from the URI in ``_metadata.file_path``."""
     return escape_glob(unquote(file_path))

@@ -259,9 +259,13 @@ def scan_xlsx_text(
         return found
 
     frame = rows.where("row_no > 1").select(
-        *[missing_to_null(at("cells", name)).alias(f"c{i}") for i, name in enumerate(names)],
+        *[at("cells", name).alias(f"c{i}") for i, name in enumerate(names)],
         *[at("kinds", name).alias(f"k{i}") for i, name in enumerate(names)],
     )
+    frame = frame.select(
+        *[missing_to_null(f"c{i}").alias(f"c{i}") for i in range(len(names))],
+        *[f"k{i}" for i in range(len(names))],
+    )
     return RawTable(
         frame=frame,
         names=names,

@@ -11,7 +11,7 @@ from lakeload.operators.tables import LoadResult, check_mode, replace_batch
 from lakeload.plans.ingest import ingest, prepare, target_parts
 from lakeload.session import remove_folders
 from lakeload.sources.dispatch import SUFFIXES
-from lakeload.sources.listing import escape_glob, suffix_of
+from lakeload.sources.listing import escape_glob, plain_path, suffix_of
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -75,7 +75,7 @@ def ingest_new_files(
             remove_folders(spark, cleaned.stored)
             results.append(LoadResult(True, f"{table} saved", cleaned.n_rows, cleaned.n_columns))
             return
-        if _is_recorded(spark, control_table, table, paths[0]):
+        if _is_recorded(spark, control_table, table, plain_path(paths[0])):
             return
         result = ingest(
             spark,

@@ -43,8 +43,9 @@ def test_overwrite_keeps_the_last_file(spark, schema, tmp_path, rows):
 def test_replayed_batch_is_skipped(spark, schema, tmp_path, rows):
     """A new checkpoint sees all files again, as after a crash before the commit."""
     table, ctl = f"{schema}.t", f"{schema}.ctl"
-    _land(tmp_path, "1.csv", "a\n1\n")
+    _land(tmp_path, "[1].csv", "a\n1\n")
     _run(spark, tmp_path, table, control_table=ctl)
+    assert spark.table(ctl).first().transient.endswith("/[1]/[1].csv")
     again = ingest_new_files(
         spark, f"{tmp_path}/landing", table, checkpoint=f"{tmp_path}/other", control_table=ctl
     )
