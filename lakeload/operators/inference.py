@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeload.functions.text import NULL_MARKERS, clean_text, trim_text
@@ -153,30 +153,37 @@ def _first_rows(raw: RawTable, elements: Sequence[Column], keep_missing: bool) -
     return found
 
 
-def profile(raw: RawTable, keep_missing: bool = False, probe: bool | None = None) -> Profile:
-    """Row count, type bits and emptiness of the whole input.
+def bit_table(raw: RawTable, elements: Sequence[Column], keep_missing: bool = False) -> DataFrame:
+    """Bits by position of the element; a last position counts the rows.
 
-    A probed input has its first rows looked at before. A column whose type
-    and presence no later row can change is then left out of the full pass, so
-    the scan does not even materialise it. The answer is the same either way.
+    That last element is not null on rows with too many fields.
     """
-    elements = _elements(raw)
-    probe = raw.probe if probe is None else probe
-    bits = _first_rows(raw, elements, keep_missing) if probe else [0] * len(elements)
-    pending = [i for i, known in enumerate(bits) if not is_settled(known)]
-    # The last element counts rows, and rows with too many fields if there can be any.
     last = F.lit(None) if raw.overflow is None else raw.overflow
     if raw.kinds is not None:
         last = F.struct(last.cast("string").alias("cell"), F.lit(None).cast("int").alias("kind"))
     elif not raw.is_text:
         last = last.cast("boolean")
-    pairs = raw.frame.select(F.posexplode(F.array(*[elements[i] for i in pending], last)))
-    merged = pairs.groupBy("pos").agg(
+    pairs = raw.frame.select(F.posexplode(F.array(*elements, last)))
+    return pairs.groupBy("pos").agg(
         F.bit_or(_bit(raw, F.col("col"), keep_missing)).alias("bits"),
         F.count("col").alias("filled"),
         F.count(F.lit(1)).alias("n_rows"),
     )
-    found = {row.pos: row for row in merged.collect()}
+
+
+def profile(raw: RawTable, keep_missing: bool = False, probe: bool | None = None) -> Profile:
+    """Row count, type bits and emptiness of the whole input.
+
+    A probed input has its first rows looked at before. A column whose type
+    and presence no later row can change is then left out of the full pass, so
+    the scan does not even materialise it. The answer is the same either way.
+    """
+    elements = _elements(raw)
+    probe = raw.probe if probe is None else probe
+    bits = _first_rows(raw, elements, keep_missing) if probe else [0] * len(elements)
+    pending = [i for i, known in enumerate(bits) if not is_settled(known)]
+    table = bit_table(raw, [elements[i] for i in pending], keep_missing)
+    found = {row.pos: row for row in table.collect()}
     if not found:
         return Profile(0, bits)
     total = found[len(pending)]

@@ -4,7 +4,6 @@ import datetime as dt
 import decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from lakeload.operators.cleaning import (
     clean,
@@ -15,8 +14,17 @@ from lakeload.operators.cleaning import (
     preview,
     trim_strings,
 )
-from lakeload.operators.inference import DECIMAL, INTEGER, MARKER, MISSING, is_empty, spark_type
+from lakeload.operators.inference import (
+    DECIMAL,
+    INTEGER,
+    MARKER,
+    MISSING,
+    bit_table,
+    is_empty,
+    spark_type,
+)
 from lakeload.plans.ingest import prepare
+from lakeload.sources.csv import scan_csv_text
 from lakeload.sources.raw import InputError
 
 
@@ -120,11 +128,29 @@ def test_counts_and_preview(spark, tmp_path):
     assert "Limit" in preview(cleaned.frame, 10)._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_profile_is_one_narrow_aggregate(spark, tmp_path):
-    """Only one row per task is shuffled, and nothing leaves the JVM."""
-    from lakeload.operators.inference import text_bit
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profile_merges_before_its_only_shuffle(spark, tmp_path):
+    """Hash aggregates in the JVM on both sides of one exchange, and only the asked columns."""
+    raw = scan_csv_text(spark, _csv(tmp_path, "a,b,c\n1,x,2\n"))
+    plan = _plan(bit_table(raw, [raw.cells[0], raw.cells[2]]))
+    assert plan.count("Exchange") == 1 and plan.count("HashAggregate") == 2
+    assert "SortAggregate" not in plan and "Python" not in plan
+    assert "ReadSchema: struct<f0:string,f2:string,f3:string>" in plan
+
+
+def test_load_is_scan_and_projection(spark, tmp_path):
+    cleaned = prepare(spark, _csv(tmp_path, "a,b,c\n1,-,x\n"))
+    plan = _plan(cleaned.frame)
+    assert "Exchange" not in plan and "Python" not in plan
+    assert "ReadSchema: struct<f0:string,f2:string>" in plan
+
 
-    df = spark.read.csv(_csv(tmp_path, "a\n1\n"), header=True)
-    plan = df.agg(F.bit_or(text_bit(F.col("a"))))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "SinglePartition" in plan
-    assert "Python" not in plan and "SortAggregate" not in plan
+def test_wide_input(spark, tmp_path):
+    header = ",".join(f"col {i}" for i in range(400))
+    lines = "".join(",".join(str(row * i) for i in range(400)) + "\n" for row in range(20))
+    cleaned = prepare(spark, _csv(tmp_path, f"{header}\n{lines}"))
+    assert (cleaned.n_rows, cleaned.n_columns) == (20, 400)
+    assert {kind for _, kind in cleaned.frame.dtypes} == {"bigint"}
