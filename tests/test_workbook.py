@@ -2,7 +2,10 @@
 
 import datetime as dt
 import io
+import subprocess
+import sys
 import zipfile
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -186,3 +189,22 @@ def test_many_rows_stream(spark, tmp_path):
     df = scan_xlsx(spark, str(tmp_path))
     assert df.count() == 5000 and df.agg({"a": "sum"}).first()[0] == sum(range(5000))
     assert io.BytesIO(content).read(2) == b"PK"
+
+
+def test_executors_need_no_package(tmp_path):
+    """From another folder, where Python workers cannot import the package."""
+    script = tmp_path / "elsewhere.py"
+    (tmp_path / "b.xlsx").write_bytes(workbook_bytes({"S": [["a"], ["x"], ["ã"]]}))
+    script.write_text(
+        f"import sys; sys.path.insert(0, {str(Path(__file__).parent.parent)!r})\n"
+        "from lakeload.session import build_session\n"
+        "from lakeload.functions.names import normalize_name\n"
+        "from lakeload.sources.dispatch import scan_xlsx\n"
+        "spark = build_session('elsewhere', '2', '1g')\n"
+        f"df = scan_xlsx(spark, {str(tmp_path / 'b.xlsx')!r})\n"
+        "print(sorted(row[0] for row in df.select(normalize_name(df.a)).collect()))\n"
+    )
+    found = subprocess.run(
+        [sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=300
+    )
+    assert found.stdout.strip() == "['a', 'x']", found.stderr[-2000:]
