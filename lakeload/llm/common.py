@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import (
     ArrayType,
@@ -79,9 +79,7 @@ class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        value = int.from_bytes(
-            hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"
-        )
+        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         self[word] = value
         return value
 

@@ -7,17 +7,32 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeload.llm import bpe, langid
+from lakeload.llm import bpe, decontaminate, langid, ngram_join, pii
 from lakeload.llm.common import read_table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, benchmark).select("doc_id", "item_id", "score", "end_word")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return bpe.round_trip_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op5_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.span_table(docs, pii.fit(docs))
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return ngram_join.near_duplicates(docs).select("doc_id", "class_id", "n_links")
+
+
 def op9_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.fit(langid.training_rows(docs))
@@ -26,6 +41,9 @@ def op9_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_crf_pii": op5_crf_pii,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_ecoc_language_id": op9_ecoc_language_id,
 }
