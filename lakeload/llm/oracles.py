@@ -1,3 +1,9 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The others learn a model, hash, align, decode or write files. Their tests compare
+them with brute force, exact round trips or held-out rows.
+"""
+
+from lakeload.llm import licenses
+
+ORACLES: dict[str, str] = {"op7_license_scan": licenses.oracle_sql()}

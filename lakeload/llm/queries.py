@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeload.llm import bpe, decontaminate, langid, ngram_join, pii
+from lakeload.llm import ann, backoff_lm, bpe, decontaminate, html_extract, langid, licenses, ngram_join, pii, shards
 from lakeload.llm.common import read_table
+from lakeload.session import shared_folder
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     return decontaminate.contaminated(docs, benchmark).select("doc_id", "item_id", "score", "end_word")
@@ -23,6 +28,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op5_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pii.span_table(docs, pii.fit(docs))
@@ -33,6 +42,14 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(docs).select("doc_id", "class_id", "n_links")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.write_shards(read_table(spark, sf_dir, "documents"), shared_folder(spark, "shards"))
+
+
 def op9_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.fit(langid.training_rows(docs))
@@ -40,10 +57,19 @@ def op9_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op10_multiprobe_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_template_removal": op1_site_template_removal,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_backoff_lm": op4_backoff_lm,
     "op5_crf_pii": op5_crf_pii,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_license_scan": op7_license_scan,
+    "op8_training_order": op8_training_order,
     "op9_ecoc_language_id": op9_ecoc_language_id,
+    "op10_multiprobe_hashing": op10_multiprobe_hashing,
 }
