@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     matches = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    return decontaminate.without_contaminated(docs, stored(matches, "matches"))
+    return decontaminate.without_contaminated(docs, matches)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

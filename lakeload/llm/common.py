@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
+import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
     BinaryType,
@@ -44,6 +46,46 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key filter has at most 2 to this power bits (2 MB).
+FILTER_BITS = 24
+
+
+def row_key(doc_id: Column, text_hash: Column) -> Column:
+    """One number for the id and the text of a row."""
+    return F.xxhash64(F.coalesce(doc_id, F.lit(-1)), text_hash)
+
+
+def key_filter(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test that is true for every key of the one column of ``keys``, and for few others.
+
+    Rows that fail it need no join with the keys, and so no shuffle. The test is
+    a set of bits of bounded size; with very many keys it lets more rows pass,
+    never fewer, so a join has to follow for the rows that pass.
+    """
+    spark = keys.sparkSession
+    column = keys.columns[0]
+    bits = int(np.clip(np.ceil(np.log2(16 * max(1, keys.count()))), 10, FILTER_BITS))
+
+    def place(key: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+
+    spots = keys.select(place(F.col(column)).alias("p"))
+    words = spots.groupBy(F.shiftright("p", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits")
+    )
+    table = np.zeros(1 << max(0, bits - 6), np.int64)
+    for row in words.toLocalIterator():
+        table[row["word"]] = row["bits"]
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def found(spot: pd.Series) -> pd.Series:
+        at = spot.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda key: found(place(key))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeload.llm.common import WordHashes, ngrams, stored
+from lakeload.llm.common import WordHashes, key_filter, ngrams, row_key, stored
 
 SEED_WORDS = 4
 RARE = 50
@@ -227,7 +227,11 @@ def contaminated(
 
 
 def without_contaminated(docs: DataFrame, matches: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no test item matches."""
+    """The rows of ``docs`` that no test item matches. Few others than the matching rows are shuffled."""
     bad = matches.select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("text_hash").alias("__hash"))
+    bad = stored(bad.distinct(), "bad")
+    passes = key_filter(bad.select(row_key(F.col("__id"), F.col("__hash"))))
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-1)), "__hash": F.xxhash64("text")})
-    return keyed.join(bad.distinct(), ["__id", "__hash"], "left_anti").select(*docs.columns)
+    keyed = keyed.withColumn("__maybe", passes(row_key(F.col("__id"), F.col("__hash"))))
+    rest = keyed.where("__maybe").join(bad, ["__id", "__hash"], "left_anti")
+    return keyed.where("NOT __maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lakeload.llm.common import WordHashes, ascii_words, chain, mix, ngrams, stored
+from lakeload.llm.common import WordHashes, ascii_words, chain, key_filter, mix, ngrams, row_key, stored
 from lakeload.llm.components import components
 
 WORDS = 5
@@ -208,7 +208,9 @@ def _verified(docs: DataFrame, tasks: DataFrame, words: int, similarity: float)
     texts = docs.select(
         F.coalesce("doc_id", F.lit(-1)).alias("rep_id"), F.xxhash64("text").alias("rep_hash"), "text"
     )
-    texts = texts.join(wanted, ["rep_id", "rep_hash"])
+    # most texts have no candidate and are left where they are
+    passes = key_filter(wanted.select(row_key(F.col("rep_id"), F.col("rep_hash"))))
+    texts = texts.where(passes(row_key(F.col("rep_id"), F.col("rep_hash")))).join(wanted, ["rep_id", "rep_hash"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -263,7 +265,7 @@ def near_duplicates(
         "classes",
     )
     # one row per class and band; the smallest class of a bucket stands for it
-    keys = known.select("node", F.explode("bands").alias("band")).distinct()
+    keys = known.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
     heads = keys.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
     star = keys.join(heads.select("band", "head"), "band").where(F.col("node") != F.col("head"))
     candidates = components(star, "node", "head")
@@ -295,13 +297,17 @@ def near_duplicates(
 def one_per_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of ``docs`` that represent their class; of repeated rows one stays.
 
-    Rows without words are no near-duplicates of anything, and all stay.
+    Rows without words are no near-duplicates of anything, and all stay. Rows
+    that no other row is linked to are not shuffled.
     """
-    held = classes.where("keeps").groupBy("doc_id", "text_hash").agg(F.max("n_links").alias("n_links"))
-    held = held.select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("text_hash").alias("__hash"), "n_links")
+    linked = classes.where("n_links > 0").groupBy("doc_id", "text_hash").agg(F.bool_or("keeps").alias("__keeps"))
+    linked = linked.select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("text_hash").alias("__hash"), "__keeps")
+    linked = stored(linked, "linked")
+    passes = key_filter(linked.select(row_key(F.col("__id"), F.col("__hash"))))
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-1)), "__hash": F.xxhash64("text")})
-    joined = keyed.join(held.withColumnRenamed("n_links", "__links"), ["__id", "__hash"])
+    keyed = keyed.withColumn("__maybe", passes(row_key(F.col("__id"), F.col("__hash"))))
+    joined = keyed.where("__maybe").join(linked, ["__id", "__hash"], "left")
     order = Window.partitionBy("__id", "__hash").orderBy(F.lit(0))
     ranked = joined.withColumn("__place", F.row_number().over(order))
-    kept = ranked.where((F.col("__place") == 1) | (F.col("__links") == 0))
-    return kept.select(*docs.columns)
+    kept = ranked.where("__keeps IS NULL OR (__keeps AND __place = 1)")
+    return keyed.where("NOT __maybe").select(*docs.columns).unionByName(kept.select(*docs.columns))
