@@ -241,7 +241,7 @@ def score(docs: DataFrame, order: int = ORDER, concentration: float = CONCENTRAT
         totals = []
         for n in range(order):
             parts = [_unpack(t, np.uint64) for t in right.loc[right["n"] == n, "totals"]]
-            totals.append(np.concatenate(parts))
+            totals.append(np.concatenate([np.empty(0, np.uint64), *parts]))
             if len(totals[n]) != len(block.keys[n]):
                 raise RuntimeError("the table gave other rows when it was read again")
         known, base, full = score_block(block, totals, tokens, types, concentration)

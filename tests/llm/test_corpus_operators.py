@@ -175,9 +175,13 @@ def test_contamination_equals_aligning_everything(spark):
     split = re.compile(r"\w+").findall
     for doc_id, text, *_ in rows:
         for item_id, item in items:
-            item = split((item or "").lower())
-            score = plain_alignment(item, split((text or "").lower())) / (2 * len(item)) if item and text else 0
-            if score >= decontaminate.THRESHOLD:
+            item, words = split((item or "").lower()), split((text or "").lower())
+            if not item or not words:
+                continue
+            score, n = plain_alignment(item, words) / (2 * len(item)), min(4, len(item))
+            seeds = {tuple(item[k : k + n]) for k in range(len(item) - n + 1)}
+            runs = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+            if score >= decontaminate.THRESHOLD and runs & seeds:
                 wanted[doc_id, item_id] = score
     assert found == wanted and len(found) > 16
     clean = decontaminate.without_contaminated(docs, matches)
