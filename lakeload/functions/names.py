@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Column names of one header record, in order.
+Naming = Callable[[Sequence[str | None]], list[str]]
+
 _OUTSIDE_NAME = re.compile(r"[^0-9A-Za-z$]+")
 
 
@@ -68,6 +71,11 @@ def column_names(headers: Iterable[object]) -> list[str]:
     return names
 
 
+def table_names(header: Sequence[str | None]) -> list[str]:
+    """Column names of a table for a header record as it was read."""
+    return column_names(reader_names(header))
+
+
 @F.arrow_udf(T.StringType())
 def _nfkd(names: pa.Array) -> pa.Array:
     return pc.utf8_normalize(names, form="NFKD")

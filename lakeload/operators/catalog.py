@@ -11,11 +11,11 @@ from lakeload.functions.names import qualified_name
 
 # Names that are not offered as targets.
 HIDDEN_CATALOG_PREFIX = "__"
-HIDDEN_CATALOGS = ("acs_test",)
 HIDDEN_SCHEMAS = ("default", "information_schema")
 
 
-def list_catalogs(spark: SparkSession, hidden: Sequence[str] = HIDDEN_CATALOGS) -> DataFrame:
+def list_catalogs(spark: SparkSession, hidden: Sequence[str] = ()) -> DataFrame:
+    """Catalogs that can be targets; ``hidden`` are further names to leave out."""
     name = F.col("catalog")
     return spark.sql("SHOW CATALOGS").where(
         ~name.startswith(HIDDEN_CATALOG_PREFIX) & ~name.isin(*hidden)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeload.functions.times import load_timestamp
-from lakeload.operators.tables import write_table
+from lakeload.operators.tables import full_name, write_table
 
 # Columns of the control table, in order.
 CONTROL_SCHEMA = T.StructType(
@@ -31,7 +31,9 @@ CONTROL_SCHEMA = T.StructType(
 
 def create_control_table(spark: SparkSession, table: str, table_format: str = "parquet") -> None:
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CONTROL_SCHEMA)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING {table_format}")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {full_name(spark, table)} ({columns}) USING {table_format}"
+    )
 
 
 def control_row(spark: SparkSession, **values: Column | str | int | None) -> DataFrame:
@@ -52,7 +54,8 @@ def control_row(spark: SparkSession, **values: Column | str | int | None) -> Dat
 
 def record_load(spark: SparkSession, table: str, **values: Column | str | int | None) -> None:
     """Append one row about a successful load, in the types the table has."""
-    types = {f.name.lower(): f.dataType for f in spark.table(table).schema.fields}
+    schema = spark.table(full_name(spark, table)).schema
+    types = {f.name.lower(): f.dataType for f in schema.fields}
     row = control_row(spark, **values)
     row = row.select(*[F.col(name).cast(types.get(name, kind)) for name, kind in _column_types()])
     write_table(row, table, "append")
@@ -67,9 +70,11 @@ def load_status(loads: DataFrame) -> DataFrame:
 
     The maximum of whole rows, ordered by time first, is merged before the
     shuffle: a table with very many loads is no larger a group than others.
+    Times have no seconds; of loads in one minute the one with more rows counts.
     """
     key = ["db_catalog", "db_schema", "db_table"]
     rest = [name for name in CONTROL_SCHEMA.names if name not in (*key, "dh_insertion")]
+    rest = ["n_rows", *(name for name in rest if name != "n_rows")]
     latest = F.max(F.struct("dh_insertion", *rest)).alias("latest")
     return (
         loads.groupBy(*key)

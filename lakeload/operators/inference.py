@@ -111,7 +111,8 @@ def is_settled(bits: int) -> bool:
     seen = bits & ~MISSING
     if seen & (TEXT | TYPED):
         return True
-    return any(seen & bit and seen & ~bit for bit in (BOOLEAN, MARKER, SHEET_DATE))
+    booleans = BOOLEAN | SHEET_BOOLEAN
+    return any(seen & bit and seen & ~others for bit, others in ((BOOLEAN, booleans), (MARKER, MARKER), (SHEET_DATE, SHEET_DATE)))
 
 
 @dataclass(frozen=True)

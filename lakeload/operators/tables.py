@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeload.functions.names import quoted
+from lakeload.functions.names import qualified_name, quoted
 
 # The write modes.
 WRITE_MODES = ("overwrite", "append")
@@ -36,6 +36,36 @@ class LoadResult:
     n_columns: int | None = None
 
 
+def target_parts(spark: SparkSession, table: str) -> tuple[str, str, str]:
+    """Catalog, schema and table of a dotted or back-quoted name."""
+    if not table or table.strip().lower() in ("", "none"):
+        raise ValueError("no target table given")
+    parts = _split_name(table)
+    if len(parts) > 3 or not all(part.strip() for part in parts):
+        raise ValueError(f"not a catalog.schema.table name: {table!r}")
+    current = [spark.catalog.currentCatalog(), spark.catalog.currentDatabase()]
+    return tuple(current[: 3 - len(parts)] + parts)
+
+
+def _split_name(name: str) -> list[str]:
+    """Split at the dots outside back quotes."""
+    parts, quoted_part = [""], False
+    for piece in name.split("`"):
+        if quoted_part:
+            parts[-1] += piece
+        else:
+            first, *others = piece.split(".")
+            parts[-1] += first
+            parts += others
+        quoted_part = not quoted_part
+    return parts
+
+
+def full_name(spark: SparkSession, table: str) -> str:
+    """The name with its catalog and schema, back-quoted for use in SQL."""
+    return qualified_name(*target_parts(spark, table))
+
+
 def check_mode(mode: str) -> None:
     if mode not in WRITE_MODES:
         raise ValueError(f"mode must be one of {', '.join(WRITE_MODES)}, not {mode!r}")
@@ -60,6 +90,7 @@ def type_conflicts(table: T.StructType, incoming: T.StructType) -> list[str]:
 
 def merge_schema(spark: SparkSession, table: str, incoming: T.StructType) -> None:
     """Add the columns that the table lacks; refuse conflicting types first."""
+    table = full_name(spark, table)
     current = spark.table(table).schema
     conflicts = type_conflicts(current, incoming)
     if conflicts:
@@ -87,6 +118,7 @@ def write_table(
     """Overwrite or append by column name; columns not given become null."""
     check_mode(mode)
     spark = df.sparkSession
+    table = full_name(spark, table)
     if not spark.catalog.tableExists(table):
         df.write.format(table_format).saveAsTable(table)
         return
@@ -112,6 +144,7 @@ def replace_batch(
 ) -> None:
     """Write one batch as its own partition, in place of an earlier try of it."""
     spark = df.sparkSession
+    table = full_name(spark, table)
     if not spark.catalog.tableExists(table):
         marked = df.withColumn(batch_column, F.lit(batch))
         marked.write.format(table_format).partitionBy(batch_column).saveAsTable(table)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeload.functions.names import file_format, landed_file_name, uploaded_file_name
+from lakeload.functions.names import file_format, landed_file_name, table_names, uploaded_file_name
 from lakeload.operators.cleaning import CleanTable, clean_raw
 from lakeload.operators.control import create_control_table, record_load
-from lakeload.operators.tables import LoadResult, check_mode, save_table
+from lakeload.operators.tables import LoadResult, check_mode, save_table, target_parts
 from lakeload.session import remove_folders
 from lakeload.sources.dispatch import read_raw
 from lakeload.sources.listing import Paths, as_list, plain_path
@@ -19,34 +19,19 @@ def prepare(
     paths: Paths,
     sheet: str | int | None = 0,
     missing_text: str | None = None,
+    encoding: str = "UTF-8",
 ) -> CleanTable:
-    """Read and clean an input; the frame is lazy, its counts are known."""
-    return clean_raw(read_raw(spark, paths, sheet), missing_text)
+    """Read and clean an input; the frame is lazy, its counts are known.
 
-
-def target_parts(spark: SparkSession, table: str) -> tuple[str, str, str]:
-    """Catalog, schema and table of a dotted or back-quoted name."""
-    if not table or table.strip().lower() in ("", "none"):
-        raise ValueError("no target table given")
-    parts = _split_name(table)
-    if len(parts) > 3 or not all(part.strip() for part in parts):
-        raise ValueError(f"not a catalog.schema.table name: {table!r}")
-    current = [spark.catalog.currentCatalog(), spark.catalog.currentDatabase()]
-    return tuple(current[: 3 - len(parts)] + parts)
-
-
-def _split_name(name: str) -> list[str]:
-    """Split at the dots outside back quotes."""
-    parts, quoted = [""], False
-    for piece in name.split("`"):
-        if quoted:
-            parts[-1] += piece
-        else:
-            first, *others = piece.split(".")
-            parts[-1] += first
-            parts += others
-        quoted = not quoted
-    return parts
+    Columns are matched by their normalised names, file by file. Call
+    ``remove_folders(spark, cleaned.stored)`` when the frame is done with.
+    """
+    raw = read_raw(spark, paths, sheet, naming=table_names, encoding=encoding)
+    try:
+        return clean_raw(raw, missing_text)
+    except BaseException:
+        remove_folders(spark, raw.stored)
+        raise
 
 
 def ingest(
@@ -61,46 +46,83 @@ def ingest(
     table_format: str = "parquet",
     missing_text: str | None = None,
     inserted_by: str | None = None,
+    dh_insertion: str | None = None,
+    encoding: str = "UTF-8",
 ) -> LoadResult:
     """Load files into a table and record the load.
 
     Wrong arguments and unreadable inputs raise; a failed write is returned.
     ``landed`` says that the path is the landed copy of a link: its first
     sheet is read and the path is kept as ``transient``. The control row of
-    several paths is named after the first.
+    several paths is named after the first; user and time are the current ones
+    unless given. ``encoding`` is that of CSV files.
     """
     check_mode(mode)
     listed = as_list(paths)
     if not listed or any(not path or path.strip().lower() == "none" for path in listed):
         raise ValueError("no source path given")
-    catalog, schema, name = target_parts(spark, table)
+    target_parts(spark, table)
     sheet = 0 if landed else sheet
-    cleaned = prepare(spark, paths, sheet, missing_text)
-    result = save_table(cleaned.frame, table, mode, table_format)
-    remove_folders(spark, cleaned.stored)
+    cleaned = prepare(spark, paths, sheet, missing_text, encoding)
+    try:
+        result = save_table(cleaned.frame, table, mode, table_format)
+    finally:
+        remove_folders(spark, cleaned.stored)
     if result.ok and control_table is not None:
-        create_control_table(spark, control_table, table_format)
-        # A link's name is taken from the whole path, an upload's from its last part.
-        source = plain_path(listed[0])
-        path = F.lit(source if landed else source.rstrip("/").rsplit("/", 1)[-1])
-        record_load(
+        record_ingest(
             spark,
             control_table,
+            table,
+            listed[0],
+            mode,
+            result,
+            sheet=sheet,
+            landed=landed,
+            table_format=table_format,
             inserted_by=inserted_by,
-            db_catalog=catalog,
-            db_schema=schema,
-            db_table=name,
-            insert_mode=mode,
-            transient=source if landed else None,
-            file_name=landed_file_name(path) if landed else uploaded_file_name(path),
-            file_format=file_format(path),
-            sheet=sheet if isinstance(sheet, str) and sheet else None,
-            n_rows=result.n_rows,
-            n_columns=result.n_columns,
+            dh_insertion=dh_insertion,
         )
     return result
 
 
+def record_ingest(
+    spark: SparkSession,
+    control_table: str,
+    table: str,
+    path: str,
+    mode: str,
+    result: LoadResult,
+    *,
+    sheet: str | int | None = 0,
+    landed: bool = False,
+    table_format: str = "parquet",
+    inserted_by: str | None = None,
+    dh_insertion: str | None = None,
+) -> None:
+    """Write the control row of a load that worked, named after ``path``."""
+    catalog, schema, name = target_parts(spark, table)
+    create_control_table(spark, control_table, table_format)
+    # A link's name is taken from the whole path, an upload's from its last part.
+    source = plain_path(path)
+    named = F.lit(source if landed else source.rstrip("/").rsplit("/", 1)[-1])
+    record_load(
+        spark,
+        control_table,
+        inserted_by=inserted_by,
+        db_catalog=catalog,
+        db_schema=schema,
+        db_table=name,
+        insert_mode=mode,
+        transient=source if landed else None,
+        file_name=landed_file_name(named) if landed else uploaded_file_name(named),
+        file_format=file_format(named),
+        sheet=sheet if isinstance(sheet, str) and sheet else None,
+        n_rows=result.n_rows,
+        n_columns=result.n_columns,
+        dh_insertion=dh_insertion,
+    )
+
+
 def stored(spark: SparkSession, result: LoadResult, table: str) -> DataFrame:
     """The table after a load that has to have worked."""
     if not result.ok:

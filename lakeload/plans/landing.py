@@ -13,7 +13,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeload.session import shared_folder
@@ -89,6 +89,15 @@ def workbook_bytes(sheets: dict[str, Iterable[Iterable[object]]]) -> bytes:
     return target.getvalue()
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, found once on the driver as Spark's readers find it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+    # Hadoop writes file:/x, Arrow reads file:///x
+    return re.sub(r"^file:/+", "file:///", uri)
+
+
 def land_workbooks(
     df: DataFrame,
     key: str,
@@ -103,8 +112,7 @@ def land_workbooks(
     With ``first_sheet`` the data lies behind another sheet of that name.
     """
     folder = folder or shared_folder(df.sparkSession, label)
-    local = re.fullmatch(r"(?:file:/*)?(/.*|[^:]*)", folder)
-    uri = f"file:///{local[1].lstrip('/')}" if local else folder
+    uri = _qualified(df.sparkSession, folder)
 
     def write_book(group: pd.DataFrame) -> pd.DataFrame:
         number = int(group["book"].iloc[0])

@@ -4,8 +4,7 @@ _CUSTOMER = """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nation
     c_acctbal, c_mktsegment FROM customer"""
 _SUPPLIER = """SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey,
     s_acctbal FROM supplier"""
-_ORDERS = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
-    FROM orders"""
+_ORDERS = "SELECT * FROM orders"
 _NAME = "trim(regexp_replace(lower(regexp_replace(strip_accents({0}), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '_')"
 
 ORACLES: dict[str, str] = {
@@ -23,8 +22,8 @@ ORACLES: dict[str, str] = {
     "scan_xlsx": _CUSTOMER,
     "scan_xlsx_sheet": _SUPPLIER,
     "scan_parquet": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
-        l_extendedprice, l_discount, nullif(l_tax, 0) AS l_tax, l_returnflag, l_linestatus
-        FROM lineitem""",
+        l_extendedprice, l_discount, nullif(l_tax, 0) AS l_tax, l_returnflag, l_linestatus,
+        l_shipdate FROM lineitem""",
     "scan_any": """SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size,
         p_retailprice FROM part""",
     "source_manifest": """SELECT 'book-' || CAST(c_custkey // 100 AS VARCHAR) || '.xlsx' AS file_name,
@@ -35,15 +34,15 @@ ORACLES: dict[str, str] = {
     "dedupe_columns": """SELECT c_custkey AS "A", c_name AS "A_2", c_nationkey AS "A_3",
         c_acctbal AS "B", c_mktsegment AS "B_2" FROM customer""",
     "trim_text": "SELECT * FROM customer",
-    "null_markers": """SELECT o_orderkey, CASE WHEN o_orderpriority NOT IN ('3-MEDIUM', '5-LOW')
-        THEN o_orderpriority END AS o_orderpriority FROM orders""",
+    "null_markers": """SELECT * REPLACE (CASE WHEN o_orderpriority NOT IN ('3-MEDIUM', '5-LOW')
+        THEN o_orderpriority END AS o_orderpriority) FROM orders""",
     "drop_empty_columns": "SELECT * FROM part",
     "clean_table": """SELECT l_orderkey AS "L_ORDERKEY", l_partkey AS "L_PARTKEY",
         l_suppkey AS "L_SUPPKEY", CAST(l_linenumber AS BIGINT) AS "L_LINENUMBER",
         l_quantity AS "L_QUANTITY", l_extendedprice AS "L_EXTENDEDPRICE",
         l_discount AS "L_DISCOUNT", l_tax AS "L_TAX",
-        nullif(l_returnflag, 'N') AS "L_RETURNFLAG", l_linestatus AS "L_LINESTATUS"
-        FROM lineitem""",
+        nullif(l_returnflag, 'N') AS "L_RETURNFLAG", l_linestatus AS "L_LINESTATUS",
+        strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS "L_SHIPDATE" FROM lineitem""",
     "normalize_name": f"SELECT doc_id, {_NAME.format('text')} AS name FROM documents",
     "share_token": """SELECT page_id, 'u!' || replace(replace(replace(
         base64(encode(url)), '=', ''), '/', '_'), '+', '-') AS token FROM pages""",
@@ -66,16 +65,15 @@ ORACLES: dict[str, str] = {
     "overwrite_keeps_columns": """SELECT c_custkey, c_name, c_nationkey,
         CAST(NULL AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer""",
     "control_rows": """
-        SELECT 'customer' AS db_table, 'overwrite' AS insert_mode,
-            CAST(NULL AS VARCHAR) AS transient, 'customer' AS file_name, 'csv' AS file_format,
-            CAST(NULL AS VARCHAR) AS sheet, count(*) AS n_rows, CAST(5 AS INTEGER) AS n_columns
-        FROM customer
-        UNION ALL SELECT 'supplier', 'append', NULL, 'supplier', 'parquet', NULL, count(*), 4
-        FROM supplier
-        UNION ALL SELECT 'part', 'overwrite', NULL, 'part', 'xlsx', 'Dados', count(*), 6
-        FROM part""",
+        SELECT TRUE AS inserted_by, TRUE AS db_catalog, TRUE AS db_schema, db_table, insert_mode,
+            CAST(NULL AS VARCHAR) AS transient, db_table AS file_name, file_format, sheet, n_rows,
+            CAST(n_columns AS INTEGER) AS n_columns, '2024-01-31 12:00' AS dh_insertion
+        FROM (SELECT 'customer' AS db_table, 'overwrite' AS insert_mode, 'csv' AS file_format,
+                CAST(NULL AS VARCHAR) AS sheet, count(*) AS n_rows, 5 AS n_columns FROM customer
+            UNION ALL SELECT 'supplier', 'append', 'parquet', NULL, count(*), 4 FROM supplier
+            UNION ALL SELECT 'part', 'overwrite', 'xlsx', 'Dados', count(*), 6 FROM part)""",
     "load_metrics": "SELECT count(*) AS n_rows, CAST(6 AS INTEGER) AS n_columns FROM part",
-    "preview": "SELECT least(count(*), 100) AS n_rows FROM orders",
+    "preview": "SELECT least(count(*), 100) AS n_rows, least(count(*), 100) AS n_dates FROM orders",
     "ingest_job": """SELECT c_custkey AS "CODIGO", c_name AS "RAZAO_SOCIAL_NOME",
         CAST(c_nationkey AS BIGINT) AS "C_NATIONKEY", c_acctbal AS "PRECO_R$",
         nullif(c_mktsegment, 'BUILDING') AS "SEGMENTO" FROM customer""",
@@ -84,12 +82,26 @@ ORACLES: dict[str, str] = {
         TRUE AS kept_path, 'xlsx' AS file_format FROM supplier""",
     "incremental_ingest": """SELECT o_orderkey AS "O_ORDERKEY", o_custkey AS "O_CUSTKEY",
         o_orderstatus AS "O_ORDERSTATUS", o_totalprice AS "O_TOTALPRICE",
-        o_orderpriority AS "O_ORDERPRIORITY" FROM orders""",
+        o_orderpriority AS "O_ORDERPRIORITY",
+        strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS "O_ORDERDATE" FROM orders""",
+    "incremental_batches": """SELECT CAST(o_orderkey % 2 AS INTEGER) AS batch, count(*) AS n_rows,
+        TRUE AS told FROM orders GROUP BY 1""",
+    "scan_csv_overlong": """SELECT c_nationkey, c_nationkey % 3 <> 0 AS taken,
+        CASE WHEN c_nationkey % 3 <> 0 THEN count(*) END AS n_rows FROM customer GROUP BY c_nationkey""",
+    "scan_csv_encoding": """SELECT * FROM documents
+        WHERE NOT regexp_matches(text, '[^\\x{00}-\\x{FF}]')""",
+    "scan_csv_crlf": """SELECT doc_id, replace(text, chr(10), chr(13) || chr(10)) AS text, lang
+        FROM documents""",
+    "folder_headers": 'SELECT c_custkey AS "CODIGO", c_name AS "C_NAME" FROM customer',
+    "load_outcomes": """SELECT attempt, outcome,
+            CASE WHEN outcome = 'saved' THEN p.n END AS n_rows,
+            CASE WHEN outcome = 'saved' THEN 6 END AS n_columns, 2 * p.n AS in_table
+        FROM (VALUES ('overwrite', 'saved'), ('append', 'saved'), ('type conflict', 'refused'),
+            ('write mode', 'raised'), ('no target', 'raised'), ('no source', 'raised'),
+            ('too many parts', 'raised')) AS t(attempt, outcome),
+            (SELECT count(*) AS n FROM part) AS p""",
     "load_status": """SELECT 'customer_' || CAST(o_custkey AS VARCHAR) AS db_table,
         o_orderkey AS n_rows, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS dh_insertion
         FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey
         ORDER BY strftime(o_orderdate, '%Y-%m-%d %H:%M') DESC, o_orderkey DESC) = 1""",
-    "list_catalogs": "SELECT 'spark_catalog' AS catalog",
-    "list_schemas": "SELECT CAST(1 AS BIGINT) AS found",
-    "list_tables": """SELECT 'customer' AS "table" UNION ALL SELECT 'supplier'""",
 }

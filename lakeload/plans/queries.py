@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeload.functions import names, text, times
-from lakeload.operators import catalog, cleaning, control, tables
+from lakeload.operators import cleaning, control, tables
 from lakeload.plans.ingest import ingest, prepare, stored
 from lakeload.plans.landing import land_csv, land_parquet, land_workbooks
 from lakeload.session import shared_folder
@@ -19,6 +19,7 @@ from lakeload.sources.dispatch import (
     scan_xlsx,
     source_manifest,
 )
+from lakeload.sources.raw import InputError
 from lakeload.streaming.incremental import ingest_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,7 +91,7 @@ def q_scan_xlsx_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NaN and null are the same missing value after the scan."""
-    lineitem = _table(spark, sf_dir, "lineitem").drop("l_shipdate")
+    lineitem = _table(spark, sf_dir, "lineitem")
     tax = F.when(F.col("l_tax") == 0, F.lit(float("nan"))).otherwise(F.col("l_tax"))
     return scan_parquet(spark, land_parquet(lineitem.withColumn("l_tax", tax), "scan-parquet"))
 
@@ -134,7 +135,7 @@ def q_null_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = (
         F.when(priority == "3-MEDIUM", " - ").when(priority == "5-LOW", "None").otherwise(priority)
     )
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", marked.alias("o_orderpriority"))
+    orders = _table(spark, sf_dir, "orders").withColumn("o_orderpriority", marked)
     return cleaning.null_markers(cleaning.trim_strings(orders))
 
 
@@ -159,6 +160,7 @@ def _messy_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_tax").alias("l_táx"),
         F.when(flag == "N", " - ").otherwise(_padded("l_returnflag")).alias("l_returnflag%"),
         _padded("l_linestatus").alias("(l_linestatus)"),
+        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("l.shipdate"),
     )
 
 
@@ -214,7 +216,12 @@ def q_load_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").drop("o_orderdate")
+    return _table(spark, sf_dir, "orders")
+
+
+def _text_dates(orders: DataFrame) -> DataFrame:
+    """Orders as they go into CSV files, with a written form of the date that stays text."""
+    return orders.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _save(df: DataFrame, table: str, mode: str) -> None:
@@ -265,10 +272,99 @@ def q_control_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     for path, table, mode, sheet in loads:
         result = ingest(
-            spark, path, f"{schema}.{table}", mode, sheet, control_table=control_table
+            spark,
+            path,
+            f"{schema}.{table}",
+            mode,
+            sheet,
+            control_table=control_table,
+            dh_insertion="2024-01-31 12:00",
         )
         stored(spark, result, control_table)
-    return spark.table(control_table).drop("inserted_by", "db_catalog", "db_schema", "dh_insertion")
+    same = {
+        "inserted_by": F.col("inserted_by") == F.current_user(),
+        "db_catalog": F.col("db_catalog") == spark.catalog.currentCatalog(),
+        "db_schema": F.col("db_schema") == schema,
+    }
+    return spark.table(control_table).withColumns(same)
+
+
+def q_load_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of good and bad loads of one table: outcome, rows and columns of each."""
+    part, schema = _table(spark, sf_dir, "part"), _schema(spark)
+    table, good = f"{schema}.`order`", land_csv(part, "outcomes")
+    text_keys = part.withColumn("p_partkey", F.lit("no key"))
+    tries: list[tuple[str, Callable[[], tables.LoadResult]]] = [
+        ("overwrite", lambda: ingest(spark, good, table, "overwrite")),
+        ("append", lambda: ingest(spark, good, table, "append")),
+        ("type conflict", lambda: ingest(spark, land_csv(text_keys, "conflict"), table, "append")),
+        ("write mode", lambda: ingest(spark, good, table, "merge")),
+        ("no target", lambda: ingest(spark, good, " None ", "append")),
+        ("no source", lambda: ingest(spark, "", table, "append")),
+        ("too many parts", lambda: ingest(spark, good, "a.b.c.d", "append")),
+    ]
+    rows = []
+    for name, attempt in tries:
+        try:
+            result = attempt()
+            rows.append((name, "saved" if result.ok else "refused", result.n_rows, result.n_columns))
+        except ValueError:
+            rows.append((name, "raised", None, None))
+    outcomes = spark.createDataFrame(rows, "attempt string, outcome string, n_rows bigint, n_columns int")
+    total = spark.table(table).agg(F.count(F.lit(1)).alias("in_table"))
+    return outcomes.crossJoin(total)  # one row on the right
+
+
+def q_scan_csv_overlong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers landed one file a nation; every third file has a field too many in its rows."""
+    customer, folder = _customer(spark, sf_dir), shared_folder(spark, "overlong")
+    fields = F.concat_ws(",", "c_custkey", "c_name", "c_nationkey")
+    spare = F.when(F.col("c_nationkey") % 3 == 0, F.concat(fields, F.lit(",,LOST"))).otherwise(fields)
+    lines = customer.select(spare.alias("value"), "c_nationkey")
+    header = lines.select("c_nationkey").distinct().select(F.lit("key,name,nation").alias("value"), "c_nationkey")
+    ordered = header.unionByName(lines).repartition("c_nationkey")
+    ordered = ordered.sortWithinPartitions("c_nationkey", F.col("value") != "key,name,nation")
+    ordered.write.partitionBy("c_nationkey").text(folder)
+    nations = sorted(row.c_nationkey for row in header.select("c_nationkey").collect())
+    rows = []
+    for nation in nations:
+        try:
+            rows.append((nation, True, scan_csv(spark, f"{folder}/c_nationkey={nation}").count()))
+        except InputError:
+            rows.append((nation, False, None))
+    return spark.createDataFrame(rows, "c_nationkey int, taken boolean, n_rows bigint")
+
+
+def q_scan_csv_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that Latin-1 can hold, landed in that encoding."""
+    documents = _table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\xFF]"))
+    folder = shared_folder(spark, "latin")
+    options = {"header": "true", "escape": '"', "emptyValue": "", "encoding": "ISO-8859-1"}
+    options |= {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    documents.write.options(**options).csv(folder)
+    return scan_csv(spark, folder, encoding="ISO-8859-1")
+
+
+def q_scan_csv_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line ends of two characters, inside cells and between records."""
+    documents = _table(spark, sf_dir, "documents")
+    folder = shared_folder(spark, "crlf")
+    text = F.replace("text", F.lit("\n"), F.lit("\r\n"))
+    cell = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    record = F.concat_ws(",", "doc_id", cell, F.coalesce("lang", F.lit("")))
+    header = spark.range(1).select(F.lit("doc_id,text,lang").alias("value"))
+    lines = header.unionByName(documents.select(record.alias("value"))).coalesce(1)
+    lines.write.option("lineSep", "\r\n").text(folder)
+    return scan_csv(spark, folder)
+
+
+def q_folder_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table landed under three spellings of its header, a file each."""
+    customer, folder = _customer(spark, sf_dir), shared_folder(spark, "spellings")
+    for k, name in enumerate(("Código", "CODIGO", "código")):
+        part = customer.where(F.col("c_custkey") % 3 == k)
+        land_csv(part.select(F.col("c_custkey").alias(name), "c_name"), "h", folder, f"part{k}.csv")
+    return prepare(spark, folder).frame
 
 
 # --- counts, jobs --------------------------------------------------------------------------
@@ -280,8 +376,8 @@ def q_load_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = cleaning.preview(prepare(spark, land_csv(_orders(spark, sf_dir), "preview")).frame)
-    return shown.agg(F.count(F.lit(1)).alias("n_rows"))
+    shown = cleaning.preview(prepare(spark, land_csv(_text_dates(_orders(spark, sf_dir)), "preview")).frame)
+    return shown.agg(F.count(F.lit(1)).alias("n_rows"), F.count("O_ORDERDATE").alias("n_dates"))
 
 
 def q_ingest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,37 +407,60 @@ def q_ingest_link_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{base}/big_data/Plan.xlsx"
     land_workbooks(_table(spark, sf_dir, "supplier"), "s_suppkey", "link", folder)
     result = ingest(spark, folder, table, "append", landed=True, control_table=control_table)
-    # The control table is one row per load, here a single one.
     loads = spark.table(control_table).select(
         "db_table", (F.col("transient") == folder).alias("kept_path"), "file_format"
     )
-    return stored(spark, result, table).join(F.broadcast(loads), F.col("db_table") == "supplier").drop("db_table")
+    return stored(spark, result, table).join(loads, F.col("db_table") == "supplier").drop("db_table")
 
 
 def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two landings and three runs: every file is loaded once."""
-    orders, schema = _orders(spark, sf_dir), _schema(spark)
+    """Three landings, the last one early in name; a lost checkpoint: every file is loaded once."""
+    orders, schema = _text_dates(_orders(spark, sf_dir)), _schema(spark)
     base = shared_folder(spark, "incremental")
     table, landing = f"{schema}.orders", f"{base}/landing"
 
-    def run() -> None:
+    def run(checkpoint: str = "checkpoint") -> None:
         ingest_new_files(
             spark,
             landing,
             table,
-            checkpoint=f"{base}/checkpoint",
+            checkpoint=f"{base}/{checkpoint}",
             control_table=f"{schema}.load_control",
         )
 
-    even = F.col("o_orderkey") % 2 == 0
-    land_csv(orders.where(even), "i", landing, "first")
+    third = F.col("o_orderkey") % 3
+    land_csv(orders.where(third == 0), "i", landing, "first")
     run()
-    land_csv(orders.where(~even), "i", landing, "second")
+    land_csv(orders.where(third == 1), "i", landing, "second")
     run()
     run()
+    land_csv(orders.where(third == 2), "i", landing, "a-third")
+    run("other")
     return spark.table(table)
 
 
+def q_incremental_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two landings with a batch column: rows by batch, next to what the control table says."""
+    orders, schema = _text_dates(_orders(spark, sf_dir)), _schema(spark)
+    base = shared_folder(spark, "batches")
+    table, control_table = f"{schema}.orders", f"{schema}.load_control"
+    even = F.col("o_orderkey") % 2 == 0
+    for k, part in enumerate((orders.where(even), orders.where(~even))):
+        land_csv(part, "b", f"{base}/landing", f"part{k}")
+        ingest_new_files(
+            spark,
+            f"{base}/landing",
+            table,
+            checkpoint=f"{base}/checkpoint",
+            control_table=control_table,
+            batch_column="load_batch",
+        )
+    batch = F.substring_index("load_batch", "-", -1).cast("int").alias("batch")
+    counts = spark.table(table).groupBy(batch).agg(F.count(F.lit(1)).alias("n_rows"))
+    told = spark.table(control_table).groupBy("n_rows").agg(F.count(F.lit(1)).alias("n_loads"))
+    return counts.join(told, "n_rows").select("batch", "n_rows", (F.col("n_loads") > 0).alias("told"))
+
+
 def q_load_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest of the loads that orders stand for, one target per customer."""
     filled = {
@@ -359,32 +478,6 @@ def q_load_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.load_status(loads).select("db_table", "n_rows", "dh_insertion")
 
 
-# --- catalog -------------------------------------------------------------------------------
-
-
-def _loaded(spark: SparkSession, sf_dir: str) -> str:
-    """A schema with two loaded tables."""
-    schema = _schema(spark)
-    _save(_customer(spark, sf_dir), f"{schema}.customer", "overwrite")
-    _save(_table(spark, sf_dir, "supplier"), f"{schema}.supplier", "overwrite")
-    return schema
-
-
-def q_list_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _loaded(spark, sf_dir)
-    return catalog.list_catalogs(spark).where(F.col("catalog") == spark.catalog.currentCatalog())
-
-
-def q_list_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = _loaded(spark, sf_dir)
-    found = catalog.list_schemas(spark, spark.catalog.currentCatalog())
-    return found.agg(F.count_if(F.col("schema") == schema).alias("found"))
-
-
-def q_list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.list_tables(spark, spark.catalog.currentCatalog(), _loaded(spark, sf_dir))
-
-
 QUERIES: dict[str, Query] = {
     name.removeprefix("q_"): query for name, query in list(globals().items()) if name.startswith("q_")
 }

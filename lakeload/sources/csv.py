@@ -13,15 +13,15 @@ import csv
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-from lakeload.functions.names import reader_names
+from lakeload.functions.names import Naming, reader_names
 from lakeload.functions.text import missing_to_null
 from lakeload.sources.listing import Paths, as_list, literal_path, suffix_filter
-from lakeload.session import shared_folder
+from lakeload.session import remove_folders, shared_folder
 from lakeload.sources.raw import InputError, RawTable
 
 # One complete field: quoted (with anything up to the delimiter after the
@@ -33,13 +33,13 @@ _OPEN_FIELD = r'"(?:[^"]++|"")*+\z'
 OPEN_FROM_OUTSIDE = rf"^(?:{_FIELD},)*+{_OPEN_FIELD}"
 OPEN_FROM_INSIDE = rf'^(?:[^"]++|"")*+(?:\z|"[^,]*+,(?:{_FIELD},)*+{_OPEN_FIELD})'
 
-BLANK_LINE = r"^[ \t]*\z"
+BLANK_LINE = r"^[ \t]*\r?\z"
 
-# Up to this number, files are named to the reader one by one.
-MANY_FILES = 10_000
-
-# From this size on a look at the first rows is worth a small job of its own.
-PROBE_BYTES = 16 * 1024 * 1024
+# Columns of a file, and characters of one header field, that the parsers take.
+MAX_COLUMNS = 1_000_000
+MAX_FIELD = 2**31 - 1
+# A header over more lines than this is refused as an open quote.
+HEADER_LINES = 16**3
 
 
 @dataclass(frozen=True)
@@ -49,14 +49,6 @@ class _Group:
     header: list[str]
     paths: list[str]
     joined: bool
-    by_suffix: bool = False
-    listed: list[str] | None = None
-
-    def checked(self, frame: DataFrame) -> DataFrame:
-        """The frame, if it reads the files that the layout pass has seen."""
-        if self.listed is not None and sorted(frame.inputFiles()) != sorted(self.listed):
-            raise InputError("files were added or removed while they were read")
-        return frame
 
 
 def _reader(spark: SparkSession, by_suffix: bool) -> DataFrameReader:
@@ -64,9 +56,11 @@ def _reader(spark: SparkSession, by_suffix: bool) -> DataFrameReader:
     return reader.option("pathGlobFilter", suffix_filter("csv")) if by_suffix else reader
 
 
-def _lines(spark: SparkSession, paths: list[str], by_suffix: bool = False) -> DataFrame:
-    """Physical lines with their file, split and order."""
-    return _reader(spark, by_suffix).text(paths).select(
+def _lines(
+    spark: SparkSession, paths: list[str], by_suffix: bool = False, line_end: str | None = None
+) -> DataFrame:
+    """Physical lines, as their bytes are, with their file, split and order."""
+    return _reader(spark, by_suffix).text(paths, lineSep=line_end).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_size").alias("size"),
@@ -84,29 +78,46 @@ def _is_open(lines: list[str]) -> bool:
     return False
 
 
-def _header_record(spark: SparkSession, path: str) -> list[str]:
+def _decoded(value: Column, encoding: str) -> Column:
+    """Text of a line that was read as bytes; the line structure is ASCII in every known encoding."""
+    return value if _is_utf8(encoding) else F.decode(value.cast("binary"), encoding)
+
+
+def _is_utf8(encoding: str) -> bool:
+    return encoding.upper().replace("-", "") == "UTF8"
+
+
+def _header_record(spark: SparkSession, path: str, encoding: str) -> list[str]:
     """The first record of one file; reads only as many lines as it spans."""
+    csv.field_size_limit(MAX_FIELD)
     lines = spark.read.text(path).where(~F.col("value").rlike(BLANK_LINE))
+    lines = lines.select(_decoded(F.col("value"), encoding).alias("value"))
     wanted = 1
     head = [row.value for row in lines.head(wanted)]
-    while len(head) == wanted and _is_open(head):
+    while len(head) == wanted < HEADER_LINES and _is_open(head):
         wanted *= 16
         head = [row.value for row in lines.head(wanted)]
-    return next(csv.reader(line + "\n" for line in head))
+    if _is_open(head):
+        raise InputError(f"a quoted field in the header of {path} does not end within {wanted} lines")
+    try:
+        return next(csv.reader(line + "\n" for line in head))
+    except csv.Error as error:
+        raise InputError(f"the header of {path} cannot be read: {error}") from None
 
 
 def _groups(
-    spark: SparkSession, paths: list[str], by_suffix: bool
-) -> tuple[list[_Group], int]:
-    """Group the files by header and by reading; also their size in bytes.
+    spark: SparkSession, paths: list[str], by_suffix: bool, encoding: str
+) -> list[_Group]:
+    """Group the files by header and by reading.
 
     One row per file and task is shuffled. The header line is compared by two
     64-bit hashes: with fixed-width buffers the aggregate hashes its groups and
     never sorts lines. The driver learns file names, as any file scan's does,
-    and both later passes read exactly these files. Very many files of one
-    header are listed by Spark once more instead, and the lists compared.
+    and both later passes read exactly these files. Files with bytes that are
+    not text in their encoding are refused.
     """
     lines = _lines(spark, paths, by_suffix).where(~F.col("value").rlike(BLANK_LINE))
+    invalid = ~F.is_valid_utf8("value") if _is_utf8(encoding) else F.lit(False)
     is_open = F.col("value").contains('"') & F.col("value").rlike(OPEN_FROM_OUTSIDE)
     head = F.when(F.col("block") == 0, F.col("pos"))
     per_file = lines.groupBy("file", "size").agg(
@@ -114,43 +125,66 @@ def _groups(
         F.min_by(F.xxhash64(F.reverse("value")), head).alias("hash_b"),
         F.min_by(is_open, head).alias("open_header"),
         F.bool_or(is_open).alias("joined"),
+        F.bool_or(invalid).alias("invalid"),
     )
     # A header that runs over several lines is known only by its file.
     own_header = F.when(F.col("open_header"), F.col("file"))
     grouped = (
         per_file.groupBy("hash_a", "hash_b", "joined", own_header)
-        .agg(F.sort_array(F.collect_list("file")).alias("files"), F.sum("size").alias("size"))
+        .agg(
+            F.sort_array(F.collect_list("file")).alias("files"),
+            F.min(F.when(F.col("invalid"), F.col("file"))).alias("invalid"),
+        )
         .collect()
     )
     if not grouped:
         raise InputError(f"no CSV lines in {', '.join(paths)}")
+    wrong = min((row.invalid for row in grouped if row.invalid), default=None)
+    if wrong:
+        raise InputError(f"{wrong} is not {encoding}; give the encoding of the file")
     groups = []
     for row in sorted(grouped, key=lambda row: row.files[0]):
-        header = _header_record(spark, literal_path(row.files[0]))
-        if len(grouped) == 1 and len(row.files) > MANY_FILES:
-            groups.append(_Group(header, paths, row.joined, by_suffix, lines.inputFiles()))
-        else:
-            groups.append(_Group(header, [literal_path(f) for f in row.files], row.joined))
-    return groups, sum(row["size"] for row in grouped)
+        header = _header_record(spark, literal_path(row.files[0]), encoding)
+        groups.append(_Group(header, [literal_path(f) for f in row.files], row.joined))
+    return groups
 
 
 def _schema(width: int) -> T.StructType:
-    """Text columns for the header, one for a field too many, and one unused.
+    """Text columns for the header, and the whole record where its number of fields is another."""
+    fields = [T.StructField(f"f{i}", T.StringType()) for i in range(width)]
+    return T.StructType([*fields, T.StructField(RECORD, T.StringType())])
 
-    The unused column keeps the scan column-pruned, in which case rows shorter
-    than the schema are not treated as malformed one by one.
-    """
-    return T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(width + 2)])
+
+# The record of a row whose number of fields differs from the header's.
+RECORD = "odd_record"
 
 
 def _options(width: int) -> dict[str, str]:
-    return {"escape": '"', "mode": "PERMISSIVE", "maxColumns": str(max(20480, width + 2))}
+    return {
+        "escape": '"',
+        "mode": "PERMISSIVE",
+        "maxColumns": str(max(MAX_COLUMNS, width)),
+        "columnNameOfCorruptRecord": RECORD,
+        # fields beyond the header are only seen where every field is read
+        "columnPruning": "false",
+    }
+
+
+def too_long(record: Column, width: int) -> Column:
+    """The record, if it has more than ``width`` fields, whatever these hold; else null.
+
+    A record with ``width`` complete fields that each end in a comma has one more.
+    """
+    commas = F.length(record) - F.length(F.replace(record, F.lit(","), F.lit("")))
+    return F.when((commas >= width) & record.rlike(rf"(?s)^(?:{_FIELD},){{{width}}}"), record)
 
 
-def _read_split(spark: SparkSession, group: _Group) -> DataFrame:
+def _read_split(spark: SparkSession, group: _Group, encoding: str) -> DataFrame:
     width = len(group.header)
-    reader = _reader(spark, group.by_suffix).schema(_schema(width))
-    return group.checked(reader.options(header="true", **_options(width)).csv(group.paths))
+    reader = spark.read.schema(_schema(width)).option("encoding", encoding)
+    frame = reader.options(header="true", **_options(width)).csv(group.paths)
+    # the reader does not give the record alone, so a cell goes with it
+    return frame.withColumn(RECORD, F.concat(too_long(F.col(RECORD), width), F.coalesce("f0", F.lit(""))))
 
 
 def _run(frame: DataFrame, window: WindowSpec) -> DataFrame:
@@ -253,15 +287,20 @@ def join_lines(parts: DataFrame) -> DataFrame:
     )
 
 
-def _read_joined(spark: SparkSession, group: _Group, folder: str) -> DataFrame:
+def _read_joined(spark: SparkSession, group: _Group, folder: str, encoding: str) -> DataFrame:
     """Records of files with line ends in quotes.
 
+    Lines end at a line feed; a carriage return before it stays inside quotes
+    and goes at the end of a record.
+
     Placed lines and joined records are stored once in the shared folder, as
     both later passes need them. A quote left open would make one record of
     the rest of its file, so it is refused before lines are joined.
     """
-    found = group.checked(_lines(spark, group.paths, group.by_suffix))
-    place_lines(found).write.parquet(f"{folder}/lines")
+    found = _lines(spark, group.paths, line_end="\n")
+    placed = place_lines(found).withColumn("value", _decoded(F.col("value"), encoding))
+    ended = F.when(F.col("after") == 0, F.regexp_replace("value", r"\r\z", "")).otherwise(F.col("value"))
+    placed.withColumn("value", ended).write.parquet(f"{folder}/lines")
     lines = spark.read.parquet(f"{folder}/lines")
     refused = open_files(lines).head(1)
     if refused:
@@ -272,40 +311,55 @@ def _read_joined(spark: SparkSession, group: _Group, folder: str) -> DataFrame:
     single = lines.where(on_one_line & ~F.col("is_header"))
     every = single.select(F.col("value").alias("record")).unionAll(joined)
     width = len(group.header)
-    fields = F.from_csv("record", _schema(width).simpleString(), _options(width))
-    return every.select(fields.alias("fields")).select("fields.*")
-
-
-def scan_csv_text(spark: SparkSession, paths: Paths, by_suffix: bool = False) -> RawTable:
+    # with multiLine the parser leaves line ends in quotes as they are
+    options = {**_options(width), "multiLine": "true"}
+    fields = F.from_csv("record", _schema(width).simpleString(), options)
+    parsed = every.select("record", fields.alias("fields")).select("record", "fields.*")
+    return parsed.withColumn(RECORD, too_long(F.col("record"), width)).drop("record")
+
+
+def scan_csv_text(
+    spark: SparkSession,
+    paths: Paths,
+    by_suffix: bool = False,
+    naming: Naming = reader_names,
+    encoding: str = "UTF-8",
+) -> RawTable:
     """All CSV files below ``paths`` as one table of text columns.
 
-    Columns are matched by header name, not by position; a column that a file
-    lacks is null there. Short rows are filled with nulls; rows with too many
-    fields make the profile fail. Missing tokens are null.
+    Columns are matched by the names that ``naming`` gives to the header of
+    each file, not by position; a column that a file lacks is null there. Short
+    rows are filled with nulls; rows with too many fields make the profile
+    fail, whatever these fields hold. Missing tokens are null. ``encoding`` is
+    UTF-8 or another one whose first 128 characters are ASCII.
     """
-    groups, size = _groups(spark, as_list(paths), by_suffix)
-    headers = [reader_names(group.header) for group in groups]
+    groups = _groups(spark, as_list(paths), by_suffix, encoding)
+    headers = [naming(group.header) for group in groups]
     names = list(dict.fromkeys(name for header in headers for name in header))
     frames, stored = [], []
     for group, header in zip(groups, headers):
         place = {name: i for i, name in enumerate(header)}
         if group.joined:
             stored.append(shared_folder(spark, "csv-records"))
-            frame = _read_joined(spark, group, stored[-1])
+            try:
+                frame = _read_joined(spark, group, stored[-1], encoding)
+            except BaseException:
+                remove_folders(spark, stored)
+                raise
         else:
-            frame = _read_split(spark, group)
+            frame = _read_split(spark, group, encoding)
         null = F.lit(None).cast("string")
         cells = [
             (missing_to_null(f"f{place[name]}") if name in place else null).alias(f"c{k}")
             for k, name in enumerate(names)
         ]
-        frames.append(frame.select(*cells, F.col(f"f{len(header)}").alias("overflow")))
+        frames.append(frame.select(*cells, F.col(RECORD).alias("overflow")))
     return RawTable(
         frame=reduce(DataFrame.unionAll, frames),
         names=names,
         cells=[F.col(f"c{k}") for k in range(len(names))],
         is_text=True,
         overflow=F.col("overflow"),
-        probe=size >= PROBE_BYTES,
+        probe=True,
         stored=stored,
     )

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeload.functions.names import reader_names
+from lakeload.functions.names import Naming, reader_names
 from lakeload.functions.text import missing_to_null
 from lakeload.operators.inference import KIND_BOOLEAN, KIND_DATE, KIND_NUMBER, KIND_TEXT
 from lakeload.session import shared_folder
@@ -220,12 +220,16 @@ def workbook_rows(books: DataFrame, sheet: str | int = 0) -> DataFrame:
 
 
 def scan_xlsx_text(
-    spark: SparkSession, paths: Paths, sheet: str | int | None = 0, by_suffix: bool = False
+    spark: SparkSession,
+    paths: Paths,
+    sheet: str | int | None = 0,
+    by_suffix: bool = False,
+    naming: Naming = reader_names,
 ) -> RawTable:
     """One sheet of every workbook below ``paths`` as text columns with kinds.
 
     ``sheet`` is a name or a 0-based position; none or an empty name is the
-    first. The first row is the header; columns are matched by header name.
+    first. The first row is the header; columns are matched by ``naming``.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if by_suffix:
@@ -238,7 +242,7 @@ def scan_xlsx_text(
     widths = rows.groupBy("header_id").agg(F.max(F.size("cells")).alias("width"))
     heads = rows.where("row_no = 1").select("header_id", "cells").distinct()
     headers = {
-        row.header_id: reader_names(row.cells + [None] * (row.width - len(row.cells)))
+        row.header_id: naming(row.cells + [None] * (row.width - len(row.cells)))
         for row in heads.join(widths, "header_id").orderBy("header_id").collect()
     }
     if not headers:

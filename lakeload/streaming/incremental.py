@@ -7,31 +7,57 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeload.operators.tables import LoadResult, check_mode, replace_batch
-from lakeload.plans.ingest import ingest, prepare, target_parts
+from lakeload.functions.names import qualified_name
+from lakeload.operators.tables import (
+    LoadResult,
+    check_mode,
+    replace_batch,
+    target_parts,
+    write_table,
+)
+from lakeload.plans.ingest import ingest, prepare, record_ingest
 from lakeload.session import remove_folders
 from lakeload.sources.dispatch import SUFFIXES
-from lakeload.sources.listing import escape_glob, plain_path, suffix_of
+from lakeload.sources.listing import escape_glob, suffix_of
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 # Files of one append batch; their names, not their contents, reach the driver.
 FILES_PER_BATCH = 1000
 
+# The stream would pass over files that are older than this, so no file may be.
+NO_AGE_LIMIT = "100000d"
 
-def _is_recorded(
-    spark: SparkSession, control_table: str | None, table: str, landed_path: str
-) -> bool:
-    if control_table is None or not spark.catalog.tableExists(control_table):
-        return False
+_FILES_SCHEMA = "db_catalog string, db_schema string, db_table string, batch string, path string"
+
+
+def files_table(spark: SparkSession, control_table: str) -> str:
+    """The table beside the control table that names every loaded file."""
+    catalog, schema, name = target_parts(spark, control_table)
+    return qualified_name(catalog, schema, f"{name}_files")
+
+
+def _not_recorded(
+    spark: SparkSession, batch: DataFrame, control_table: str | None, table: str, own: str | None = None
+) -> DataFrame:
+    """The files of a batch that no load of the table, other than batch ``own``, has taken."""
+    if control_table is None or not spark.catalog.tableExists(files_table(spark, control_table)):
+        return batch
     catalog, schema, name = target_parts(spark, table)
-    recorded = spark.table(control_table).where(
-        (F.col("db_catalog") == catalog)
-        & (F.col("db_schema") == schema)
-        & (F.col("db_table") == name)
-        & (F.col("transient") == landed_path)
+    known = spark.table(files_table(spark, control_table)).where(
+        (F.col("db_catalog") == catalog) & (F.col("db_schema") == schema) & (F.col("db_table") == name)
     )
-    return bool(recorded.head(1))
+    if own is not None:
+        known = known.where(F.col("batch") != own)
+    return batch.join(known.select("path"), "path", "left_anti")
+
+
+def _record_files(
+    spark: SparkSession, control_table: str, table: str, batch: str, paths: list[str], table_format: str
+) -> None:
+    parts = target_parts(spark, table)
+    named = spark.createDataFrame([(*parts, batch, path) for path in paths], _FILES_SCHEMA)
+    write_table(named, files_table(spark, control_table), "append", table_format)
 
 
 def ingest_new_files(
@@ -46,61 +72,86 @@ def ingest_new_files(
     missing_text: str | None = None,
     files_per_batch: int = FILES_PER_BATCH,
     batch_column: str | None = None,
+    encoding: str = "UTF-8",
 ) -> list[LoadResult]:
     """Load every file that has landed since the last run, then stop.
 
     The stream carries file names only; each batch is an ordinary load of its
-    files. In overwrite mode files are applied one by one in order of arrival,
-    so the last one wins. Each landing needs a new file name.
+    files. A file is taken whatever its age, once by its name; the checkpoint
+    therefore keeps all names. In overwrite mode all pending files are one
+    batch, of which only the newest (by time, then name) is read. Files of an
+    unknown suffix are told in a refused result and not loaded.
 
-    A batch that is replayed after a crash is skipped if its control row (kept
-    under the first landed path) exists. The row follows the data, so a crash
-    between the two would append twice; with ``batch_column`` the table is
-    partitioned by batch and a replay replaces its own partition instead.
+    With a control table the path of every loaded file is kept beside it, so a
+    batch that is replayed, or a new checkpoint, only takes the files that no
+    load has taken. The paths follow the data, so a crash between the two would
+    append twice; with ``batch_column`` the table is partitioned by batch and a
+    replay replaces its own partition instead.
     """
     check_mode(mode)
+    target_parts(spark, table)
     if batch_column is not None and mode != "append":
         raise ValueError("batch_column is for append loads")
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:8]
     results: list[LoadResult] = []
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        names = batch.where(suffix_of(F.col("path")).isin(*SUFFIXES)).select("path").collect()
-        paths = sorted(escape_glob(row.path) for row in names)
+        known = suffix_of(F.col("path")).isin(*SUFFIXES)
+        refused = batch.where(~known).agg(F.count("path").alias("n"), F.min("path").alias("path")).first()
+        if refused.n:
+            known_suffixes = ", ".join(SUFFIXES)
+            message = f"{refused.n} file(s) not loaded, such as {refused.path}; known are {known_suffixes}"
+            results.append(LoadResult(False, message))
+        files = batch.where(known)
+        mark = f"{run}-{batch_id}"
+        if mode == "overwrite":
+            newest = F.max_by("path", F.struct("modificationTime", "path")).alias("path")
+            files = files.agg(newest).where("path IS NOT NULL")
+        taken = _not_recorded(spark, files, control_table, table)
+        if batch_column is not None and taken.head(1):
+            # a replay that is not complete writes its partition in full
+            taken = _not_recorded(spark, files, control_table, table, mark)
+        names = sorted(row.path for row in taken.select("path").collect())
+        paths = [escape_glob(name) for name in names]
         if not paths:
             return
         if batch_column is not None:
-            cleaned = prepare(spark, paths, missing_text=missing_text)
-            replace_batch(cleaned.frame, table, batch_column, f"{run}-{batch_id}", table_format)
-            remove_folders(spark, cleaned.stored)
-            results.append(LoadResult(True, f"{table} saved", cleaned.n_rows, cleaned.n_columns))
-            return
-        if _is_recorded(spark, control_table, table, plain_path(paths[0])):
-            return
-        result = ingest(
-            spark,
-            paths,
-            table,
-            mode,
-            landed=True,
-            control_table=control_table,
-            table_format=table_format,
-            missing_text=missing_text,
-        )
+            cleaned = prepare(spark, paths, missing_text=missing_text, encoding=encoding)
+            try:
+                replace_batch(cleaned.frame, table, batch_column, mark, table_format)
+            finally:
+                remove_folders(spark, cleaned.stored)
+            result = LoadResult(True, f"{table} saved", cleaned.n_rows, cleaned.n_columns)
+            if control_table is not None:
+                record_ingest(
+                    spark, control_table, table, paths[0], mode, result, landed=True, table_format=table_format
+                )
+        else:
+            result = ingest(
+                spark,
+                paths,
+                table,
+                mode,
+                landed=True,
+                control_table=control_table,
+                table_format=table_format,
+                missing_text=missing_text,
+                encoding=encoding,
+            )
         if not result.ok:
             raise RuntimeError(result.message)
+        if control_table is not None:
+            _record_files(spark, control_table, table, mark, names, table_format)
         results.append(result)
 
-    files = (
-        spark.readStream.format("binaryFile")
-        .schema(_FILE_SCHEMA)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", 1 if mode == "overwrite" else files_per_batch)
-        .load(folder)
-        .select("path")
-    )
+    reader = spark.readStream.format("binaryFile").schema(_FILE_SCHEMA).option("recursiveFileLookup", "true")
+    reader = reader.option("maxFileAge", NO_AGE_LIMIT)
+    if mode == "append":
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     query = (
-        files.writeStream.foreachBatch(load)
+        reader.load(folder)
+        .select("path", "modificationTime")
+        .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

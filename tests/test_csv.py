@@ -232,21 +232,44 @@ def test_settled_columns_leave_the_full_pass(spark, tmp_path):
 
 
 @pytest.mark.parametrize("cell", ["x", '"x\ny"'])
-def test_very_many_files(spark, tmp_path, monkeypatch, cell):
-    """Above the limit a folder is listed again, and a changed list is refused."""
-    monkeypatch.setattr(csv_source, "MANY_FILES", 2)
+def test_many_files_of_one_header(spark, tmp_path, cell):
     for number in range(4):
         _file(tmp_path, f"a,b\n{number},{cell}\n", f"{number}.CSV")
     _file(tmp_path, "\n", "blank.csv")
     (tmp_path / "note.txt").write_text("x")
     raw = scan_csv_text(spark, str(tmp_path), by_suffix=True)
     assert raw.frame.count() == 4
-    real = csv_source._header_record
 
-    def header_and_new_file(session, path):
-        _file(tmp_path, "a,b\n9,z\n", "late.csv")
-        return real(session, path)
 
-    monkeypatch.setattr(csv_source, "_header_record", header_and_new_file)
-    with pytest.raises(InputError, match="added or removed"):
-        scan_csv_text(spark, str(tmp_path), by_suffix=True)
+@pytest.mark.parametrize("row", ["3,4,,X", "3,4,", "3,4,,", "3,4,5", '3,4,"x\ny"', '"3\n",4,,X'])
+def test_rows_with_a_field_too_many_are_refused(spark, tmp_path, row):
+    with pytest.raises(InputError, match="more fields"):
+        scan_csv(spark, _file(tmp_path, f"a,b\n1,2\n{row}\n"))
+    with pytest.raises(InputError, match="more fields"):  # with columns that the first rows settle
+        scan_csv(spark, _file(tmp_path, "a,b\n" + "x,y\n" * 1500 + f"{row}\n"))
+
+
+def test_short_rows_and_commas_in_quotes_are_kept(spark, tmp_path, rows):
+    found = scan_csv(spark, _file(tmp_path, 'a,b\n1\n2,"x,y,z"\n3,"x,\ny,z"\n'))
+    assert rows(found) == [(1, None), (2, "x,y,z"), (3, "x,\ny,z")]
+
+
+def test_open_quote_in_the_header_is_refused(spark, tmp_path):
+    with pytest.raises(InputError):
+        scan_csv(spark, _file(tmp_path, 'a,"b\n' + "1,2\n" * 30_000))
+
+
+def test_bytes_that_are_not_text_are_refused(spark, tmp_path, rows):
+    path = tmp_path / "latin.csv"
+    path.write_bytes('nome,b\nSão,"x\ny"\n'.encode("latin-1"))
+    with pytest.raises(InputError, match="latin.csv"):
+        scan_csv(spark, str(path))
+    assert rows(scan_csv(spark, str(path), encoding="ISO-8859-1")) == [("São", "x\ny")]
+    path.write_bytes("nome,b\nSão,ü\n".encode("latin-1"))
+    assert rows(scan_csv(spark, str(path), encoding="ISO-8859-1")) == [("São", "ü")]
+
+
+def test_line_ends_in_quotes_are_kept(spark, tmp_path, rows):
+    path = tmp_path / "ends.csv"
+    path.write_bytes(b'a,b\r\n1,"x\r\ny"\r\n\r\n2,"p\nq"\r\n3,z\r\n')
+    assert rows(scan_csv(spark, str(path))) == [(1, "x\r\ny"), (2, "p\nq"), (3, "z")]

@@ -21,7 +21,9 @@ def test_append_takes_new_files_once(spark, schema, tmp_path, rows):
     table, ctl = f"{schema}.t", f"{schema}.ctl"
     _land(tmp_path, "1.csv", "a,b\n1,x\n2,y\n")
     _land(tmp_path, "note.txt", "not a source")
-    assert [r.n_rows for r in _run(spark, tmp_path, table, control_table=ctl)] == [2]
+    first = _run(spark, tmp_path, table, control_table=ctl)
+    assert [(r.ok, r.n_rows) for r in first] == [(False, None), (True, 2)]
+    assert "note.txt" in first[0].message
     assert _run(spark, tmp_path, table, control_table=ctl) == []
     _land(tmp_path, "2.csv", "b,a,c\nz,3,-\n")
     _land(tmp_path, "[3].csv", "a,b\n4,w\n")
@@ -85,3 +87,56 @@ def test_one_batch_of_several_formats(spark, schema, tmp_path, rows):
     spark.createDataFrame([(3, "w")], "a int, b string").write.parquet(f"{tmp_path}/landing/3")
     _run(spark, tmp_path, f"{schema}.t")
     assert rows(spark.table(f"{schema}.t")) == [(1, "x\ny"), (2, "z"), (3, "w")]
+
+
+def _other(spark, tmp_path, table, ctl, name="other", **options):
+    return ingest_new_files(
+        spark, f"{tmp_path}/landing", table, checkpoint=f"{tmp_path}/{name}", control_table=ctl, **options
+    )
+
+
+def test_each_file_is_taken_once_whatever_its_name_or_age(spark, schema, tmp_path, rows):
+    import os
+
+    table, ctl = f"{schema}.t", f"{schema}.ctl"
+    _land(tmp_path, "1.csv", "a\n1\n")
+    _run(spark, tmp_path, table, control_table=ctl)
+    _land(tmp_path, "0.csv", "a\n0\n")
+    _land(tmp_path, "2.csv", "a\n2\n")
+    os.utime(tmp_path / "landing" / "2" / "2.csv", (10**9, 10**9))
+    assert [r.n_rows for r in _other(spark, tmp_path, table, ctl)] == [2]
+    assert rows(spark.table(table)) == [(0,), (1,), (2,)]
+    _land(tmp_path, "3.csv", "a\n3\n")
+    os.utime(tmp_path / "landing" / "3" / "3.csv", (10**9, 10**9))
+    _run(spark, tmp_path, table, control_table=ctl)
+    assert rows(spark.table(table)) == [(0,), (1,), (2,), (3,)]
+
+
+def test_batches_do_not_change_the_result(spark, schema, tmp_path, rows):
+    _land(tmp_path, "1.csv", "Código,b\n1,x\n")
+    _land(tmp_path, "2.csv", "CODIGO,B\n2,y\n")
+    for size, table in ((1, f"{schema}.one"), (1000, f"{schema}.all")):
+        _other(spark, tmp_path, table, None, f"c{size}", files_per_batch=size)
+        assert spark.table(table).columns == ["CODIGO", "B"]
+        assert rows(spark.table(table)) == [(1, "x"), (2, "y")]
+
+
+def test_overwrite_reads_the_newest_file_only(spark, schema, tmp_path, rows):
+    table, ctl = f"{schema}.t", f"{schema}.ctl"
+    _land(tmp_path, "1.csv", "a\n1,2,3\n")
+    _land(tmp_path, "2.csv", "a\n2\n")
+    import os
+
+    os.utime(tmp_path / "landing" / "1" / "1.csv", (10**9, 10**9))
+    assert [r.n_rows for r in _run(spark, tmp_path, table, "overwrite", control_table=ctl)] == [1]
+    assert rows(spark.table(table)) == [(2,)]
+    again = _other(spark, tmp_path, table, ctl, mode="overwrite")
+    assert again == [] and rows(spark.table(table)) == [(2,)]
+
+
+def test_batch_column_keeps_its_control_row(spark, schema, tmp_path):
+    table, ctl = f"{schema}.t", f"{schema}.ctl"
+    _land(tmp_path, "1.csv", "a\n1\n")
+    _run(spark, tmp_path, table, batch_column="load_batch", control_table=ctl)
+    assert [r.n_rows for r in spark.table(ctl).collect()] == [1]
+    assert _other(spark, tmp_path, table, ctl, batch_column="load_batch") == []

@@ -7,7 +7,7 @@ import pytest
 from lakeload.operators import catalog, control
 from lakeload.operators.tables import save_table, type_conflicts, write_table
 from lakeload.plans.ingest import ingest, prepare, target_parts
-from lakeload.plans.landing import workbook_bytes
+from lakeload.plans.landing import land_csv, workbook_bytes
 from lakeload.session import remove_folders
 from lakeload.sources.dispatch import read_raw, read_source, scan_parquet, source_manifest
 from lakeload.sources.raw import InputError
@@ -210,3 +210,23 @@ def test_manifest_reads_no_content(spark, tmp_path):
     row = manifest.first()
     assert (row.file_name, row.file_format, row.length) == ("A b.CSV", "csv", 4)
     assert "content:binary" not in manifest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_are_quoted_everywhere(spark, schema):
+    table, ctl = f"{schema}.`order`", f"{schema}.`table`"
+    path = land_csv(spark.createDataFrame([(1, "x")], "a int, b string"), "quoted")
+    for _ in range(2):
+        assert ingest(spark, path, table, "append", control_table=ctl).ok
+    assert spark.table(table).count() == spark.table(ctl).count() == 2
+
+
+def test_refused_load_leaves_no_rows_behind(spark, schema, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    import lakeload.session as session
+
+    monkeypatch.setattr(session, "_LOCAL_BASE", str(tmp_path))
+    (tmp_path / "x.csv").write_text('a,b\n1,"x\ny"\n3,4,,5\n')
+    with pytest.raises(InputError, match="more fields"):
+        ingest(spark, f"{tmp_path}/x.csv", f"{schema}.t")
+    assert not list(Path(tmp_path).glob("lakeload/*"))
