@@ -7,7 +7,10 @@ sets of pairs, 2 |A and B| / (|A| + |B|), is at least ``threshold``.
 
 Size bounds prune: a coefficient of t needs t / (2 - t) <= |A| / |B| <= (2 - t) / t,
 so a passage meets only templates of about its size, and a passage with fewer
-words than the smallest template allows is left before its pairs are built.
+words than the smallest template allows is left before its pairs are built. A
+match also shares at least t / (2 - t) of the template's pairs. For each template
+some words are chosen so that fewer pairs than that are without them; a passage
+with none of these words cannot match and is left before anything is built.
 
 Everything is a DataFrame expression: one scan, no shuffle, no Python on the
 executors. A null text has no passage; line 0 is the whole text, lines count from
@@ -17,6 +20,8 @@ executors. A null text has no passage; line 0 is the whole text, lines count fro
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +109,25 @@ def _template_words(text: str) -> list[str]:
     return kept.split()
 
 
+def key_words(pairs: list[str], threshold: float) -> list[str]:
+    """Words of which every match holds one, until too few pairs are without them.
+
+    Long words come first, then numbers: short words are part of too many others.
+    """
+    needed = threshold * len(pairs) / (2 - threshold)
+    words = {w for pair in pairs for w in pair.split()}
+    words = sorted(words, key=lambda w: (len(w) < 5, not w.isdigit(), -len(w), w))
+    chosen: list[str] = []
+    rest = [pair.split() for pair in pairs]
+    for word in words:
+        if len(rest) < needed - 1e-9:
+            break
+        if any(word in pair for pair in rest):
+            chosen.append(word)
+            rest = [pair for pair in rest if word not in pair]
+    return chosen
+
+
 def scan(
     docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -112,13 +136,14 @@ def scan(
     ``template`` is the place in the list, from 0. ``threshold`` lies above 0.
     """
     templates = TEMPLATES if templates is None else templates
-    known, literals = [], []
+    known, literals, keys = [], [], set()
     for place, (name, text) in enumerate(templates):
         words = _template_words(text)
         pairs = list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
         if not pairs:
             continue
         known.append(len(pairs))
+        keys.update(key_words(pairs, threshold))
         literals.append(
             F.struct(
                 F.lit(place).alias("template"),
@@ -134,9 +159,21 @@ def scan(
             [], "doc_id bigint, line int, template int, license string, dice double"
         )
     fewest = math.floor(min(known) * threshold / (2 - threshold)) + 1
+
+    # a word that holds another one needs no test of its own
+    tested = sorted(w for w in keys if not any(other in w for other in keys - {w}))
+
+    def may_match(text: str) -> Column:
+        # as an element of an array, the text is put in lower case once for all tests
+        return F.exists(
+            F.array(F.lower(text)),
+            lambda low: reduce(operator.or_, (F.contains(low, F.lit(word)) for word in tested)),
+        )
+
     lines = F.split("text", "\n")
     passages = F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(F.array("text"))
-    units = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(passages).alias("line", "passage"))
+    able = docs.where(may_match("text"))
+    units = able.select("doc_id", F.posexplode(passages).alias("line", "passage")).where(may_match("passage"))
     words = units.withColumn("words", _words(F.col("passage"))).where(F.size("words") >= fewest)
     paired = words.select("doc_id", "line", _pairs(F.col("words")).alias("own"))
     sized = F.size("own")

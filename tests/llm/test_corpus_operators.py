@@ -341,6 +341,19 @@ def test_shards_round_trip_and_resume(spark, odd, tmp_path, small_splits):
     assert shards.write_shards(docs.limit(0), f"{tmp_path}/none").count() == 0
 
 
+def test_shards_of_token_ids(spark, tmp_path):
+    rows = [(k, [(k * 7 + i) % 50_000 for i in range(k % 90)] if k % 5 else None) for k in range(200)]
+    spark.createDataFrame(rows, "doc_id bigint, ids array<int>").repartition(3).write.parquet(f"{tmp_path}/ids")
+    docs, kind = spark.read.parquet(f"{tmp_path}/ids"), shards.Tokens("ids", 2, 50_256, 50_257)
+    found = shards.write_shards(docs, f"{tmp_path}/out", 3, 32, 50, kind).collect()
+    stream = [i for r in docs.collect() for i in [*(r["ids"] or []), 50_256]]
+    count = -(-len(stream) // 32)
+    grid = shards.read_slots(f"{tmp_path}/out", 0, count, 32, 50, 2)
+    ordered = grid[shards.Permutation(count, 3).slot(np.arange(count))].reshape(-1).tolist()
+    assert ordered[: len(stream)] == stream and set(ordered[len(stream) :]) <= {50_257}
+    assert sorted(r["slot"] for r in found) == list(range(count))
+
+
 def plain_scores(rows, order, a):
     tokens = {}
     train = Counter()
