@@ -13,9 +13,9 @@
    name and then renamed. A shard that is there in full is not written again, so
    a stopped run goes on where it was; readers can seek to any slot.
 
-Tokens here are bytes of UTF-8: 0 to 244 are bytes that texts can hold, 255 ends
-a document, 254 pads (neither occurs in UTF-8). A null text has no bytes, only an
-end; a null id is given as -1.
+Tokens are those of a column of ids, or else the bytes of the text: 0 to 244 are
+bytes that UTF-8 can hold, 255 ends a document, 254 pads. A null text or list has
+no tokens, only an end; a null id is given as -1.
 The table has to give the same rows in the same order each time it is read, as
 files do.
 """
@@ -32,7 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 2048
@@ -41,6 +41,41 @@ END, PAD = 255, 254
 ROUNDS = 4
 
 
+@dataclass(frozen=True)
+class Tokens:
+    """What a token is: the column, its bytes as stored (little-endian), and the two special ids.
+
+    ``column`` holds an array of ids of less than ``end`` and ``pad``; without
+    it, the tokens are the bytes of ``text``.
+    """
+
+    column: str | None = None
+    width: int = 1
+    end: int = END
+    pad: int = PAD
+
+    def count(self) -> Column:
+        size = F.octet_length("text") if self.column is None else F.size(self.column)
+        return F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("bigint") + 1
+
+    def stream(self, values: list) -> tuple[bytes, np.ndarray]:
+        """Tokens of documents with their ends, and the byte where each document begins."""
+        end, parts, starts, at = self.end.to_bytes(self.width, "little"), [], [], 0
+        for value in values:
+            if self.column is None:
+                data = (value or "").encode("utf-8") + end
+            else:
+                data = np.array(value or [], f"<u{self.width}").tobytes() + end
+            parts.append(data)
+            starts.append(at)
+            at += len(data)
+        return b"".join(parts), np.array(starts, np.int64)
+
+    def padding(self, count: int) -> np.ndarray:
+        one = np.frombuffer(self.pad.to_bytes(self.width, "little"), np.uint8)
+        return np.tile(one, count)
+
+
 @dataclass(frozen=True)
 class Permutation:
     """A keyed permutation of 0..count-1."""
@@ -85,21 +120,10 @@ class Permutation:
         return self._walk(slot, range(ROUNDS - 1, -1, -1))
 
 
-def _stream(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
-    """Tokens of texts with their ends, and where each text begins."""
-    parts, starts, at = [], [], 0
-    for text in texts:
-        data = (text or "").encode("utf-8") + b"\xff"
-        parts.append(data)
-        starts.append(at)
-        at += len(data)
-    return b"".join(parts), np.array(starts, np.int64)
-
-
-def _plan(docs: DataFrame) -> dict[int, int]:
-    """Tokens before each scan partition; one number a partition reaches the driver."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1
-    rows = docs.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(size).alias("n")).collect()
+def _plan(docs: DataFrame, tokens: Tokens) -> dict[int, int]:
+    """Bytes before each scan partition; one number a partition reaches the driver."""
+    size = F.sum(tokens.count() * tokens.width).alias("n")
+    rows = docs.groupBy(F.spark_partition_id().alias("part")).agg(size).collect()
     starts, at = {}, 0
     for row in sorted(rows, key=lambda r: r["part"]):
         starts[row["part"]] = at
@@ -114,14 +138,16 @@ def write_shards(
     key: int = 1,
     length: int = LENGTH,
     shard_sequences: int = SHARD_SEQUENCES,
+    tokens: Tokens = Tokens(),
 ) -> DataFrame:
     """Write the shards and return (sequence, slot, shard, place, crc32, doc_ids) of every sequence.
 
     ``place`` is the offset in the shard's file, ``doc_ids`` are the documents
     that begin in the sequence. Shards are written when the result is computed.
     """
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
-    starts = _plan(docs)
+    spark, docs = docs.sparkSession, docs.select("doc_id", tokens.column or "text")
+    length *= tokens.width  # from here on all is counted in bytes
+    starts = _plan(docs, tokens)
     total = starts.pop(-1)
     count = -(-total // length)
     if not count:
@@ -133,7 +159,7 @@ def write_shards(
         at = places.value.get(TaskContext.get().partitionId(), 0)
         compress = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            data, begins = _stream(batch.column(1).to_pylist())
+            data, begins = tokens.stream(batch.column(1).to_pylist())
             doc_ids = np.array([-1 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
             first, last = at // length, (at + len(data) - 1) // length
             sequences = np.arange(first, last + 1)
@@ -167,7 +193,7 @@ def write_shards(
         number = int(frame["shard"].iloc[0])
         first = number * shard_sequences
         held = min(shard_sequences, count - first)
-        grid = np.full(held * length, PAD, np.uint8)
+        grid = tokens.padding(held * length // tokens.width)
         begun: dict[int, list[int]] = {}
         expand = zstandard.ZstdDecompressor()
         for head, ids, body in zip(frame["head"], frame["ids"], frame["body"], strict=True):
@@ -215,7 +241,14 @@ def _put(path: str, data: bytes) -> None:
     store.move(attempt, name)
 
 
-def read_slots(folder: str, first: int, count: int, length: int = LENGTH, shard_sequences: int = SHARD_SEQUENCES) -> np.ndarray:
+def read_slots(
+    folder: str,
+    first: int,
+    count: int,
+    length: int = LENGTH,
+    shard_sequences: int = SHARD_SEQUENCES,
+    width: int = 1,
+) -> np.ndarray:
     """Sequences at ``first`` and the following slots, as rows of tokens; reads only these bytes."""
     store, root = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
     rows = []
@@ -223,7 +256,7 @@ def read_slots(folder: str, first: int, count: int, length: int = LENGTH, shard_
         shard, offset = divmod(first, shard_sequences)
         take = min(count, shard_sequences - offset)
         with store.open_input_file(f"{root}/shard-{shard:08d}.bin") as file:
-            file.seek(offset * length)
-            rows.append(np.frombuffer(file.read(take * length), np.uint8).reshape(-1, length))
+            file.seek(offset * length * width)
+            rows.append(np.frombuffer(file.read(take * length * width), f"<u{width}").reshape(-1, length))
         first, count = first + take, count - take
-    return np.concatenate(rows) if rows else np.empty((0, length), np.uint8)
+    return np.concatenate(rows) if rows else np.empty((0, length), f"<u{width}")
