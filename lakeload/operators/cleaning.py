@@ -65,12 +65,30 @@ def read_types(raw: RawTable, found: Profile | None = None) -> DataFrame:
     )
 
 
-def clean_raw(raw: RawTable, missing_text: str | None = None) -> CleanTable:
+def _exact_doubles(raw: RawTable, cells: dict[str, Column]) -> None:
+    """Refuse whole numbers that a double cannot hold; a pass over these columns only."""
+    if not cells:
+        return
+    limit = 2**53
+    outside = [F.bool_or(~cell.between(-limit, limit)).alias(f"w{i}") for i, cell in enumerate(cells.values())]
+    wide = [name for name, hit in zip(cells, raw.frame.agg(*outside).first()) if hit]
+    if wide:
+        raise InputError(f"whole numbers beyond 2^53 for double columns: {', '.join(wide)}")
+
+
+def clean_raw(
+    raw: RawTable, missing_text: str | None = None, target: dict[str, str] | None = None
+) -> CleanTable:
     """Types, names, text and empty columns of an input in one profile pass.
 
     Types are inferred before markers become null, and suffixes of repeated
     names are given before empty columns go. ``missing_text`` stands for
     missing cells of text columns (``nan`` gives what pandas would store).
+
+    ``target`` gives types by lower-case name that a table has already. Whole
+    numbers go into its decimal columns if they fit exactly, and cells of text
+    inputs go into its text columns as they are written, so that a feed does
+    not depend on the values of each file. Other types stay as inferred.
     """
     found = profile(raw, keep_missing=missing_text is not None and raw.is_text)
     if not found.n_rows:
@@ -78,14 +96,25 @@ def clean_raw(raw: RawTable, missing_text: str | None = None) -> CleanTable:
     types = {field.name: field.dataType.typeName() for field in raw.frame.schema.fields}
     frame_columns = raw.frame.columns
     kept: list[Column] = []
+    doubles: dict[str, Column] = {}
     for i, (name, bits) in enumerate(zip(column_names(raw.names), found.bits)):
         if is_empty(bits, keep_missing=missing_text is not None):
             continue
         cell = typed_cell(raw, i, bits, missing_text)
-        is_string = spark_type(bits) == "string" if raw.is_text else types[frame_columns[i]] == "string"
+        found_type = spark_type(bits) if raw.is_text else types[frame_columns[i]]
+        is_string = found_type == "string"
+        wanted = (target or {}).get(name.lower())
+        if wanted == "string" and raw.is_text and not is_string:
+            cell, is_string = raw.cells[i], True
+            if missing_text is not None:
+                cell = F.coalesce(cell, F.lit(missing_text))
+        elif wanted == "double" and found_type in ("bigint", "long"):
+            doubles[name] = cell
+            cell = cell.cast("double")
         kept.append((clean_text(cell) if is_string else cell).alias(name))
     if not kept:
         raise InputError("no column of the input holds a value")
+    _exact_doubles(raw, doubles)
     return CleanTable(raw.frame.select(*kept), found.n_rows, len(kept), raw.stored)
 
 

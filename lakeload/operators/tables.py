@@ -71,6 +71,14 @@ def check_mode(mode: str) -> None:
         raise ValueError(f"mode must be one of {', '.join(WRITE_MODES)}, not {mode!r}")
 
 
+def table_types(spark: SparkSession, table: str) -> dict[str, str]:
+    """Types of a table by lower-case column name; none if there is no table yet."""
+    name = full_name(spark, table)
+    if not spark.catalog.tableExists(name):
+        return {}
+    return {field.name.lower(): field.dataType.simpleString() for field in spark.table(name).schema.fields}
+
+
 def new_columns(table: T.StructType, incoming: T.StructType) -> list[T.StructField]:
     """Incoming columns that the table lacks, by case-insensitive name."""
     known = {field.name.lower() for field in table.fields}

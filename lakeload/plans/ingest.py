@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakeload.functions.names import file_format, landed_file_name, table_names, uploaded_file_name
 from lakeload.operators.cleaning import CleanTable, clean_raw
 from lakeload.operators.control import create_control_table, record_load
-from lakeload.operators.tables import LoadResult, check_mode, save_table, target_parts
+from lakeload.operators.tables import LoadResult, check_mode, save_table, table_types, target_parts
 from lakeload.session import remove_folders
 from lakeload.sources.dispatch import read_raw
 from lakeload.sources.listing import Paths, as_list, plain_path
@@ -20,6 +20,7 @@ def prepare(
     sheet: str | int | None = 0,
     missing_text: str | None = None,
     encoding: str = "UTF-8",
+    target: dict[str, str] | None = None,
 ) -> CleanTable:
     """Read and clean an input; the frame is lazy, its counts are known.
 
@@ -28,7 +29,7 @@ def prepare(
     """
     raw = read_raw(spark, paths, sheet, naming=table_names, encoding=encoding)
     try:
-        return clean_raw(raw, missing_text)
+        return clean_raw(raw, missing_text, target)
     except BaseException:
         remove_folders(spark, raw.stored)
         raise
@@ -48,6 +49,7 @@ def ingest(
     inserted_by: str | None = None,
     dh_insertion: str | None = None,
     encoding: str = "UTF-8",
+    target_types: bool = False,
 ) -> LoadResult:
     """Load files into a table and record the load.
 
@@ -55,7 +57,8 @@ def ingest(
     ``landed`` says that the path is the landed copy of a link: its first
     sheet is read and the path is kept as ``transient``. The control row of
     several paths is named after the first; user and time are the current ones
-    unless given. ``encoding`` is that of CSV files.
+    unless given. ``encoding`` is that of CSV files. With ``target_types`` cells
+    take the types of the table where these can hold them (see ``clean_raw``).
     """
     check_mode(mode)
     listed = as_list(paths)
@@ -63,7 +66,8 @@ def ingest(
         raise ValueError("no source path given")
     target_parts(spark, table)
     sheet = 0 if landed else sheet
-    cleaned = prepare(spark, paths, sheet, missing_text, encoding)
+    target = table_types(spark, table) if target_types else None
+    cleaned = prepare(spark, paths, sheet, missing_text, encoding, target)
     try:
         result = save_table(cleaned.frame, table, mode, table_format)
     finally:

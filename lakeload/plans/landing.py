@@ -5,6 +5,7 @@ Everything is written by Spark tasks below the shared folder.
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
 import zipfile
@@ -51,9 +52,17 @@ def land_parquet(
     return path
 
 
+_STYLES = (
+    f'<styleSheet xmlns="{_MAIN_NS}"><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>'
+)
+_DAY_ZERO = dt.datetime(1899, 12, 30)
+
+
 def _cell_xml(value: object) -> str:
     if value is None or value != value:
         return "<c/>"
+    if isinstance(value, dt.datetime):
+        return f'<c s="1"><v>{(value - _DAY_ZERO) / dt.timedelta(days=1)!r}</v></c>'
     if isinstance(value, str):
         return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
     return f"<c><v>{value!r}</v></c>"
@@ -84,6 +93,7 @@ def workbook_bytes(sheets: dict[str, Iterable[Iterable[object]]]) -> bytes:
         book.writestr(
             "xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PKG_NS}">{links}</Relationships>'
         )
+        book.writestr("xl/styles.xml", _STYLES)
         for i, (_, rows) in numbered:
             book.writestr(f"xl/worksheets/sheet{i}.xml", _sheet_xml(rows))
     return target.getvalue()

@@ -21,6 +21,7 @@ ORACLES: dict[str, str] = {
         FROM orders""",
     "scan_xlsx": _CUSTOMER,
     "scan_xlsx_sheet": _SUPPLIER,
+    "scan_xlsx_dates": "SELECT * FROM orders",
     "scan_parquet": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
         l_extendedprice, l_discount, nullif(l_tax, 0) AS l_tax, l_returnflag, l_linestatus,
         l_shipdate FROM lineitem""",
@@ -57,6 +58,10 @@ ORACLES: dict[str, str] = {
         FROM events""",
     "save_overwrite": _ORDERS,
     "save_append": f"{_ORDERS} UNION ALL {_ORDERS}",
+    "append_target_types": """SELECT o_orderkey AS "O_ORDERKEY",
+        CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) ELSE o_totalprice END AS "O_TOTALPRICE",
+        CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE 'x' END AS "NOTE"
+        FROM orders""",
     "save_merge_schema": """SELECT c_custkey, c_name, c_nationkey, c_mktsegment,
         CAST(NULL AS DOUBLE) AS c_acctbal FROM customer
         UNION ALL BY NAME

@@ -89,6 +89,13 @@ def q_scan_xlsx_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_xlsx(spark, folder, sheet="Outros")
 
 
+def q_scan_xlsx_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as workbooks keep them: numbers with a date format."""
+    orders = _table(spark, sf_dir, "orders")
+    found = scan_xlsx(spark, land_workbooks(orders, "o_orderkey", "scan-xlsx-dates"))
+    return found.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
 def q_scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NaN and null are the same missing value after the scan."""
     lineitem = _table(spark, sf_dir, "lineitem")
@@ -245,6 +252,17 @@ def q_save_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(table)
 
 
+def q_append_target_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices with decimals first, then a file of whole numbers, into the types of the table."""
+    orders, table = _table(spark, sf_dir, "orders"), f"{_schema(spark)}.orders"
+    whole = F.col("o_orderkey") % 2 == 0
+    first = orders.select("o_orderkey", "o_totalprice", F.lit("x").alias("note"))
+    second = orders.select("o_orderkey", F.floor("o_totalprice").alias("o_totalprice"), "o_custkey")
+    for part in (first.where(~whole), second.where(whole).withColumnRenamed("o_custkey", "note")):
+        stored(spark, ingest(spark, land_csv(part, "types"), table, "append", target_types=True), table)
+    return spark.table(table)
+
+
 def q_save_merge_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, table = _customer(spark, sf_dir), f"{_schema(spark)}.customer"
     _save(customer.drop("c_acctbal"), table, "append")

@@ -12,6 +12,7 @@ from lakeload.operators.tables import (
     LoadResult,
     check_mode,
     replace_batch,
+    table_types,
     target_parts,
     write_table,
 )
@@ -73,6 +74,7 @@ def ingest_new_files(
     files_per_batch: int = FILES_PER_BATCH,
     batch_column: str | None = None,
     encoding: str = "UTF-8",
+    target_types: bool = False,
 ) -> list[LoadResult]:
     """Load every file that has landed since the last run, then stop.
 
@@ -86,7 +88,8 @@ def ingest_new_files(
     batch that is replayed, or a new checkpoint, only takes the files that no
     load has taken. The paths follow the data, so a crash between the two would
     append twice; with ``batch_column`` the table is partitioned by batch and a
-    replay replaces its own partition instead.
+    replay replaces its own partition instead. ``encoding`` and ``target_types``
+    are those of ``ingest``.
     """
     check_mode(mode)
     target_parts(spark, table)
@@ -116,7 +119,8 @@ def ingest_new_files(
         if not paths:
             return
         if batch_column is not None:
-            cleaned = prepare(spark, paths, missing_text=missing_text, encoding=encoding)
+            target = table_types(spark, table) if target_types else None
+            cleaned = prepare(spark, paths, missing_text=missing_text, encoding=encoding, target=target)
             try:
                 replace_batch(cleaned.frame, table, batch_column, mark, table_format)
             finally:
@@ -137,6 +141,7 @@ def ingest_new_files(
                 table_format=table_format,
                 missing_text=missing_text,
                 encoding=encoding,
+                target_types=target_types,
             )
         if not result.ok:
             raise RuntimeError(result.message)

@@ -212,6 +212,20 @@ def test_manifest_reads_no_content(spark, tmp_path):
     assert "content:binary" not in manifest._jdf.queryExecution().executedPlan().toString()
 
 
+def test_target_types_keep_a_feed_going(spark, schema, tmp_path, rows):
+    table = f"{schema}.t"
+    for name, text in (("1", "a,b,c\n1.5,-,x\n"), ("2", "a,b,c\n2,3,007\n"), ("3", "a,b,c\n3,4,True\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+        assert ingest(spark, f"{tmp_path}/{name}.csv", table, "append", target_types=True).ok
+    found = spark.table(table)
+    assert [f.dataType.simpleString() for f in found.schema.fields] == ["double", "string", "bigint"]
+    assert rows(found) == [(1.5, "x", None), (2.0, "007", 3), (3.0, "True", 4)]
+    (tmp_path / "4.csv").write_text(f"a\n{2**53 + 1}\n")
+    with pytest.raises(InputError, match="2.53"):
+        ingest(spark, f"{tmp_path}/4.csv", table, "append", target_types=True)
+    assert not ingest(spark, f"{tmp_path}/3.csv", table, "append").ok
+
+
 def test_names_are_quoted_everywhere(spark, schema):
     table, ctl = f"{schema}.`order`", f"{schema}.`table`"
     path = land_csv(spark.createDataFrame([(1, "x")], "a int, b string"), "quoted")
