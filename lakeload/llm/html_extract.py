@@ -65,6 +65,7 @@ _CLOSES = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
+_WHOLE = frozenset("html body main article".split())
 _SCOPE = frozenset("article section div body td th li blockquote main aside nav header footer form button table".split())
 
 _TOKEN = re.compile(
@@ -107,7 +108,8 @@ def parse(page: str) -> Node:
         _close_implied(stack, tag)
         attributes = match.group(3)
         names, drop = _read_attributes(attributes) if attributes else ("", False)
-        node = Node(tag, names, drop or tag in _NEVER)
+        # the class of a whole page or article often tells of its furniture
+        node = Node(tag, names, drop and tag not in _WHOLE or tag in _NEVER)
         stack[-1].children.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -163,18 +165,23 @@ def _read_attributes(attributes: str) -> tuple[str, bool]:
 
 
 def _main(root: Node) -> list[Node]:
-    """Outermost articles outside page furniture, else main elements, else everything."""
-    for wanted in ("article", "main"):
-        found: list[Node] = []
-        todo = [root]
-        while todo:
-            node = todo.pop()
-            if node.tag == wanted and not (node.drop and node.tag in _NEVER):
-                found.append(node)
-            elif not node.drop:
-                todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
-        if found:
-            return found
+    """Outermost articles outside page furniture, else main elements, else everything.
+
+    Where all of them lie in elements that only their names make furniture,
+    such as a frame called ``with-sidebar``, these are looked into as well.
+    """
+    for strict in (True, False):
+        for wanted in ("article", "main"):
+            found: list[Node] = []
+            todo = [root]
+            while todo:
+                node = todo.pop()
+                if node.tag == wanted:
+                    found.append(node)
+                elif node.tag not in _NEVER and not (strict and node.drop):
+                    todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+            if found:
+                return found
     return [root]
 
 

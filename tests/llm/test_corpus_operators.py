@@ -206,6 +206,10 @@ def test_text_of_one_page():
     assert html_extract.main_text(None) == html_extract.main_text("") == ""
     assert html_extract.main_text("<p>a<p>b < c &amp; d<td>x") == "a\nb < c & d x"
     assert html_extract.main_text("just text") == "just text"
+    inner = '<article class="with-sidebar"><p>Text</p></article>'
+    comment = '<section id="comments"><article>No</article></section>'
+    for page in (f'<body class="has-menu"><div class="with-sidebar">{inner}</div>', f"<body>{inner}{comment}"):
+        assert html_extract.main_text(page) == "Text"
 
 
 def test_odd_markup_is_linear():
