@@ -4,19 +4,22 @@ A first pass over the plain lines finds, per file, its header line and
 whether any quoted field runs past a line end. Files where none does are read
 by Spark's CSV reader line by line, so that a large file is split over many
 tasks. In the others the physical lines are first joined into records: also
-in parallel, as each line only says how it changes the "inside quotes" state.
+in parallel, as each line only says how it changes the "inside quotes" state,
+and a task that knows the state at the start of its split needs no other.
 """
 
 from __future__ import annotations
 
 import csv
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import WindowSpec
 
 from lakeload.functions.names import Naming, reader_names
 from lakeload.functions.text import missing_to_null
@@ -33,8 +36,14 @@ _OPEN_FIELD = r'"(?:[^"]++|"")*+\z'
 OPEN_FROM_OUTSIDE = rf"^(?:{_FIELD},)*+{_OPEN_FIELD}"
 OPEN_FROM_INSIDE = rf'^(?:[^"]++|"")*+(?:\z|"[^,]*+,(?:{_FIELD},)*+{_OPEN_FIELD})'
 
+# The same for Python, where the end of the text is written in another way.
+_OPEN_OUTSIDE = re.compile(OPEN_FROM_OUTSIDE.replace(r"\z", r"\Z"))
+_OPEN_INSIDE = re.compile(OPEN_FROM_INSIDE.replace(r"\z", r"\Z"))
+
 BLANK_LINE = r"^[ \t]*\r?\z"
 
+_BLANK = re.compile(BLANK_LINE.replace(r"\z", r"\Z"))
+
 # Columns of a file, and characters of one header field, that the parsers take.
 MAX_COLUMNS = 1_000_000
 MAX_FIELD = 2**31 - 1
@@ -187,129 +196,147 @@ def _read_split(spark: SparkSession, group: _Group, encoding: str) -> DataFrame:
     return frame.withColumn(RECORD, F.concat(too_long(F.col(RECORD), width), F.coalesce("f0", F.lit(""))))
 
 
-def _run(frame: DataFrame, window: WindowSpec) -> DataFrame:
-    """Running composition of state changes, as ``base`` and ``swaps``.
+def _changes(line: str) -> tuple[int, int]:
+    """The state "inside quotes" after a line, from outside and from inside."""
+    if '"' not in line:
+        return 0, 1
+    return int(_OPEN_OUTSIDE.match(line) is not None), int(_OPEN_INSIDE.match(line) is not None)
 
-    Each row either resets the 0/1 state (``reset`` is the new state) or adds
-    ``swap`` to it modulo 2. The state after a row is then ``base + swaps``
-    modulo 2, or start + ``swaps`` as long as ``base`` is null.
-    """
-    return frame.withColumn("swaps", F.sum("swap").over(window)).withColumn(
-        "base",
-        F.last((F.col("reset") + F.col("swaps")) % 2, ignorenulls=True).over(window),
-    )
+
+def _rows(batches: Iterator[pa.RecordBatch], encoding: str) -> Iterator[tuple[str, tuple[str, int]]]:
+    """Lines of a task in the order of the scan, with their split (file and first byte)."""
+    for batch in batches:
+        files, blocks = batch.column("file").to_pylist(), batch.column("block").to_pylist()
+        for line, file, block in zip(batch.column("line").to_pylist(), files, blocks, strict=True):
+            yield line.decode(encoding), (file, block)
 
 
-def place_lines(lines: DataFrame) -> DataFrame:
-    """Tell for every line whether it starts (``before``) and ends (``after``) in quotes.
+def _splits(lines: DataFrame, encoding: str) -> tuple[set[tuple[str, int]], str | None]:
+    """The splits that start inside quotes, and a file that ends inside quotes.
 
-    A line maps the state "inside quotes" at its start to the state at its
-    end. These maps are composed within each split of a file, then over the
-    split totals, which are joined back. A split is the largest group any
-    task holds, however large the file. Blank lines between records go.
+    A line maps the state at its start to the state at its end. A task composes
+    these maps over each of its splits; the driver, which knows the files and
+    their splits anyway, follows the results, one row a split.
     """
-    order = Window.partitionBy("file", "block").orderBy("pos")
-    splits = Window.partitionBy("file").orderBy("block")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto_split = splits.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    value, has_quote = F.col("value"), F.col("value").contains('"')
-    steps = lines.select(
-        "value",
-        "file",
-        "block",
-        "pos",
-        (has_quote & value.rlike(OPEN_FROM_OUTSIDE)).cast("int").alias("outside"),
-        (~has_quote | value.rlike(OPEN_FROM_INSIDE)).cast("int").alias("inside"),
-    ).select(
-        "value",
-        "file",
-        "block",
-        "pos",
-        F.when(F.col("outside") == F.col("inside"), F.col("outside")).alias("reset"),
-        (F.col("outside") > F.col("inside")).cast("int").alias("swap"),
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, int], tuple[int, int]] = {}
+        for line, split in _rows(batches, encoding):
+            before = found.get(split, (0, 1))
+            change = _changes(line)
+            found[split] = change[before[0]], change[before[1]]
+        columns = [(*split, *ends) for split, ends in found.items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in columns], schema)
+
+    schema = pa.schema(
+        [("file", pa.string()), ("block", pa.int64()), ("outside", pa.int32()), ("inside", pa.int32())]
     )
-    steps = _run(steps, upto)
+    rows = lines.mapInArrow(run, "file string, block bigint, outside int, inside int").collect()
+    inside: set[tuple[str, int]] = set()
+    ends: dict[str, int] = {}
+    for row in sorted(rows):
+        state = ends.get(row.file, 0)
+        if state:
+            inside.add((row.file, row.block))
+        ends[row.file] = row.inside if state else row.outside
+    return inside, min((file for file, state in ends.items() if state), default=None)
 
-    totals = steps.groupBy("file", "block").agg(
-        F.max("swaps").alias("swap"), F.max_by("base", "pos").alias("last_base")
-    )
-    totals = totals.withColumn("reset", (F.col("last_base") + F.col("swap")) % 2)
-    # A file starts outside quotes, a split in the state the one before ends in.
-    end = (F.coalesce("base", F.lit(0)) + F.col("swaps")) % 2
-    totals = _run(totals, upto_split).withColumn("end", end)
-    starts = totals.select("file", "block", F.lag("end", 1, 0).over(splits).alias("start"))
 
-    after = (F.coalesce("base", "start") + F.col("swaps")) % 2
-    return (
-        steps.join(starts, ["file", "block"])
-        .withColumn("after", after)
-        .withColumn("before", F.coalesce(F.lag("after").over(order), "start"))
-        .where((F.col("before") == 1) | ~value.rlike(BLANK_LINE))
-        .withColumn("begin", F.when(F.col("before") == 0, F.col("pos")))
-        .withColumn("is_header", (F.col("block") == 0) & (F.count("begin").over(upto) == 1))
-        .select("value", "file", "block", "pos", "before", "after", "begin", "is_header")
-    )
+# What a task makes of its lines: whole records, and pieces of those that cross the edge of a split.
+_WHOLE, _END, _START, _MIDDLE, _HEADER_START = range(5)
+_PIECES = "file string, block bigint, kind int, record string"
 
 
-def open_files(lines: DataFrame) -> DataFrame:
-    """Files whose last placed line ends inside quotes."""
-    per_split = lines.groupBy("file", "block").agg(F.max_by("after", "pos").alias("after"))
-    per_file = per_split.groupBy("file").agg(F.max_by("after", "block").alias("after"))
-    return per_file.where("after = 1").select("file")
+def _pieces(lines: DataFrame, inside: set[tuple[str, int]], encoding: str) -> DataFrame:
+    """Records and pieces of records, in the task that reads their lines.
 
+    The header of each file, its first record, is left out, and so are blank
+    lines between records. A carriage return before the line end stays inside
+    quotes and goes at the end of a record.
+    """
 
-def join_lines(parts: DataFrame) -> DataFrame:
-    """Join the placed lines of records over several lines into ``record``."""
-    upto = (
-        Window.partitionBy("file", "block")
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[str, int, int, str]] = []
+        here, state, head, header = ("", -1), 0, False, False
+        open_lines: list[str] = []
+
+        def leave() -> None:
+            if open_lines:
+                kind = _MIDDLE if head else _HEADER_START if header else _START
+                done.append((*here, kind, "\n".join(open_lines)))
+                open_lines.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*done)) or [[]] * len(schema)
+            done.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema
+            )
+
+        for line, split in _rows(batches, encoding):
+            if split != here:
+                leave()
+                here, header = split, split[1] == 0
+                state = int(split in inside)
+                head = bool(state)
+            after = _changes(line)[state]
+            if not state and not after and _BLANK.match(line):
+                continue
+            open_lines.append(line if after else line.removesuffix("\r"))
+            if not after:
+                if head or not header:
+                    done.append((*here, _END if head else _WHOLE, "\n".join(open_lines)))
+                header = header and head
+                head = False
+                open_lines.clear()
+            state = after
+            if len(done) >= RECORDS_PER_BATCH:
+                yield batch_of()
+        leave()
+        yield batch_of()
+
+    schema = pa.schema(
+        [("file", pa.string()), ("block", pa.int64()), ("kind", pa.int32()), ("record", pa.string())]
     )
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # Lines at the head of a split may continue a record of an earlier split.
-    carried = (
-        parts.groupBy("file", "block")
-        .agg(F.max("begin").alias("begin"))
-        .select("file", "block", F.last("begin", ignorenulls=True).over(earlier).alias("carried"))
-    )
-    own = F.last("begin", ignorenulls=True).over(upto)
+    return lines.mapInArrow(run, _PIECES)
+
+
+RECORDS_PER_BATCH = 10_000
+
+
+def _crossing(pieces: DataFrame) -> DataFrame:
+    """Records put together from their pieces: a start, middles, and an end in a later split."""
+    order = Window.partitionBy("file").orderBy("block", "kind")
+    begins = F.col("kind").isin(_START, _HEADER_START).cast("int")
+    numbered = pieces.withColumn("number", F.sum(begins).over(order))
     return (
-        parts.withColumn("own", own)
-        .join(carried, ["file", "block"])
-        .groupBy("file", F.coalesce("own", "carried").alias("record_id"))
+        numbered.groupBy("file", "number")
         .agg(
-            F.sort_array(F.collect_list(F.struct("block", "pos", "value"))).alias("lines"),
-            F.bool_or("is_header").alias("is_header"),
+            F.sort_array(F.collect_list(F.struct("block", "record"))).alias("parts"),
+            F.bool_or(F.col("kind") == _HEADER_START).alias("is_header"),
         )
         .where(~F.col("is_header"))
-        .select(F.array_join("lines.value", "\n").alias("record"))
+        .select(F.array_join("parts.record", "\n").alias("record"))
     )
 
 
 def _read_joined(spark: SparkSession, group: _Group, folder: str, encoding: str) -> DataFrame:
     """Records of files with line ends in quotes.
 
-    Lines end at a line feed; a carriage return before it stays inside quotes
-    and goes at the end of a record.
-
-    Placed lines and joined records are stored once in the shared folder, as
-    both later passes need them. A quote left open would make one record of
-    the rest of its file, so it is refused before lines are joined.
+    Every task puts together the records of its splits; only pieces that cross
+    the edge of a split are shuffled, and kept in the shared folder. A quote
+    left open would make one record of the rest of its file, so it is refused.
     """
-    found = _lines(spark, group.paths, line_end="\n")
-    placed = place_lines(found).withColumn("value", _decoded(F.col("value"), encoding))
-    ended = F.when(F.col("after") == 0, F.regexp_replace("value", r"\r\z", "")).otherwise(F.col("value"))
-    placed.withColumn("value", ended).write.parquet(f"{folder}/lines")
-    lines = spark.read.parquet(f"{folder}/lines")
-    refused = open_files(lines).head(1)
-    if refused:
-        raise InputError(f"a quoted field does not end before the end of {refused[0].file}")
-    on_one_line = (F.col("before") == 0) & (F.col("after") == 0)
-    join_lines(lines.where(~on_one_line)).write.parquet(f"{folder}/records")
-    joined = spark.read.parquet(f"{folder}/records")
-    single = lines.where(on_one_line & ~F.col("is_header"))
-    every = single.select(F.col("value").alias("record")).unionAll(joined)
+    lines = _lines(spark, group.paths, line_end="\n")
+    lines = lines.select(F.col("value").cast("binary").alias("line"), "file", "block")
+    inside, open_file = _splits(lines, encoding)
+    if open_file is not None:
+        raise InputError(f"a quoted field does not end before the end of {open_file}")
+    pieces = _pieces(lines, inside, encoding)
+    every = pieces.where(F.col("kind") == _WHOLE).select("record")
+    if inside:
+        _crossing(pieces.where(F.col("kind") != _WHOLE)).write.parquet(folder)
+        every = every.unionAll(spark.read.schema("record string").parquet(folder))
     width = len(group.header)
     # with multiLine the parser leaves line ends in quotes as they are
     options = {**_options(width), "multiLine": "true"}
