@@ -78,7 +78,7 @@ def test_normalize_name(spark):
     df = spark.createDataFrame([(n,) for n in [*given_names, None]], "n string")
     found = df.select("n", names.normalize_name(F.col("n")).alias("r")).collect()
     assert [row.r for row in found] == [*map(_normalized, given_names), None]
-    assert found[0].r == "care_subtransmissao_v1_2"
+    assert found[0].r == "vendas_distribuicao_v1_2"
 
 
 def test_normalize_name_on_whole_documents(spark):
