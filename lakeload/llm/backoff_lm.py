@@ -44,7 +44,7 @@ ORDER = 2
 #: Weight of the shorter history, in counts.
 CONCENTRATION = 40.0
 #: Characters of a block, and n-grams that a shard gets in the mean.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 SHARD_NGRAMS = 1_000_000
 _END, _START = np.uint64(0x1D8AF066B1A2C3D5), np.uint64(0x7F4A7C159E3779B9)
 
