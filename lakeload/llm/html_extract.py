@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeload.llm.common import stored
+from lakeload.llm.common import key_filter, stored
 
 MIN_PAGES = 10
 MIN_SHARE = 0.01
@@ -328,7 +328,14 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     """Per row of ``pages``: page_id, url, text, n_chars, n_templates (subtrees deleted)."""
     templates = site_templates(pages, min_pages, min_share)
     per_page = templates.groupBy("host", "page").agg(F.collect_set("subtree").alias("subtrees"))  # of one page
-    joined = _keyed(pages).join(per_page, ["host", "page"], "left")
+    per_page = stored(per_page, "templates")
+    # pages that lose no subtree are not shuffled
+    passes = key_filter(per_page.select(F.xxhash64("host", "page")))
+    keyed = _keyed(pages).withColumn("maybe", passes(F.xxhash64("host", "page")))
+    columns = ["page_id", "url", "html", "subtrees"]
+    whole = keyed.where("NOT maybe").withColumn("subtrees", F.lit(None).cast("array<bigint>"))
+    joined = keyed.where("maybe").join(per_page, ["host", "page"], "left").select(*columns)
+    joined = whole.select(*columns).unionByName(joined)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,4 +356,4 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
             )
 
     schema = "page_id bigint, url string, text string, n_chars bigint, n_templates bigint"
-    return joined.select("page_id", "url", "html", "subtrees").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
