@@ -41,7 +41,7 @@ SIMILARITY = 0.8
 RECALL = 0.99999
 #: Bounds of one comparison task: classes on a side, and n-grams on a side.
 BLOCK_CLASSES = 256
-BLOCK_NGRAMS = 2_000_000
+BLOCK_NGRAMS = 1_000_000
 _COLUMNS = 4096
 
 
