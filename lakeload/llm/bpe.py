@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from lakeload.llm.common import free_name as _free
 
 #: Pre-tokens of up to so many characters are remembered, and so many of them.
 MEMO_CHARS = 40
-MEMO_SIZE = 400_000
+MEMO_SIZE = 250_000
 
 
 class RankQueue:
@@ -170,6 +171,17 @@ def load_vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(ranks, pattern)
 
 
+#: Rows that are held as Python objects at a time.
+ROWS = 500
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``ROWS``."""
+    for batch in batches:
+        for start in range(0, max(1, batch.num_rows), ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def encode_table(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``ids`` (array of int), the token ids of the whole text.
 
@@ -178,13 +190,12 @@ def encode_table(docs: DataFrame, path: str, pattern: str, text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load_vocabulary(path, pattern)
-        for batch in batches:
+        for batch in _small(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            rows = []
-            for value in texts:
-                joined = vocabulary.encode_decimal(value)
-                rows.append(list(map(int, joined.split(" "))) if joined else [])
-            ids = pa.array(rows, pa.list_(pa.int32()))
+            rows = [np.fromstring(vocabulary.encode_decimal(value), np.int32, sep=" ") for value in texts]
+            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+            values = np.concatenate([np.empty(0, np.int32), *rows])
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out])
 
     out = _free("ids", docs.columns)
@@ -197,9 +208,10 @@ def decode_table(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load_vocabulary(path, pattern)
-        for batch in batches:
-            rows = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            data = pa.array([vocabulary.decode(row or []) for row in rows], pa.binary())
+        for batch in _small(batches):
+            rows = batch.column(batch.schema.get_field_index(ids))
+            decoded = (vocabulary.decode(row.values.to_pylist() if row.is_valid else []) for row in rows)
+            data = pa.array(list(decoded), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, data], [*batch.schema.names, out])
 
     out = _free("decoded", tokens.columns)
@@ -217,7 +229,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load_vocabulary(path, pattern)
         pieces = {str(rank): token for rank, token in vocabulary.pieces.items()}
-        for batch in batches:
+        for batch in _small(batches):
             counts, encoded, decoded = [], [], []
             for value in batch.column(1).to_pylist():
                 joined = vocabulary.encode_decimal(value)
