@@ -8,9 +8,9 @@ that they hold a near vector; candidates of all tables are ranked by their exact
 cosine in double precision.
 
 - The number of directions grows with the logarithm of the number of vectors.
-- The number of visited buckets is fitted on a bounded sample: it is doubled
-  until the sample's own neighbours are found with the wanted recall. Neighbours
-  in all vectors are nearer than those in a sample, so recall is at least that.
+- The number of visited buckets is fitted on a bounded sample: the smallest one
+  that finds the sample's own neighbours with the wanted recall. Neighbours in
+  all vectors are nearer than those in a sample, so recall is at least that.
 - Equal vectors form a class with its smallest ids, hashed and ranked once.
 - A bucket of more than ``BLOCK`` classes is cut into blocks, and its visitors
   are sent to each block, so nothing is capped.
@@ -111,7 +111,7 @@ def probe_cells(place: np.ndarray, probes: int) -> np.ndarray:
 
 
 def fit_probes(sample: np.ndarray, count: int, k: int = 5, recall: float = RECALL) -> Hashes:
-    """Hashes with the fewest probes (a power of two) that reach ``recall`` within the sample."""
+    """Hashes with the fewest probes that reach ``recall`` within the sample."""
     unit = sample / np.sqrt((sample**2).sum(axis=1))[:, None]
     hashes = make_hashes(sample.shape[1], count, 1)
     if len(unit) <= k:
@@ -128,10 +128,8 @@ def fit_probes(sample: np.ndarray, count: int, k: int = 5, recall: float = RECAL
             ranks = {key: r for r, key in reversed(list(enumerate(_keys(probe_cells(asked[q, t], MAX_PROBES), t))))}
             found = [ranks.get(keys[t][i], np.inf) for i in top[q]]
             first[q] = np.minimum(first[q], found)
-    probes = 1
-    while probes < MAX_PROBES and (first < probes).mean() < recall:
-        probes *= 2
-    return make_hashes(sample.shape[1], count, probes)
+    needed = np.sort(first, axis=None)[math.ceil(recall * first.size) - 1]
+    return make_hashes(sample.shape[1], count, int(min(needed + 1, MAX_PROBES)))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
