@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeload.llm import bpe, decontaminate, langid, ngram_join, pii
-from lakeload.llm.common import free_name, read_table, stored
+from lakeload.llm.common import read_table, stored
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -49,12 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    encoded = bpe.encode_table(docs, path, pattern)
-    ids = encoded.columns[-1]
-    decoded = bpe.decode_table(encoded, path, pattern, ids)
-    same = F.col(decoded.columns[-1]) == F.coalesce("text", F.lit("")).cast("binary")
-    return decoded.withColumn(free_name("round_trip", decoded.columns), same).drop(decoded.columns[-1])
+    return bpe.encode_table(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, check=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

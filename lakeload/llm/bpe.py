@@ -182,10 +182,13 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, ROWS)
 
 
-def encode_table(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def encode_table(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", check: bool = False
+) -> DataFrame:
     """All columns of ``docs`` plus ``ids`` (array of int), the token ids of the whole text.
 
-    ``path`` names the rank file; every executor needs it under that name.
+    ``path`` names the rank file; every executor needs it under that name. With
+    ``check`` a last column ``round_trip`` tells that decoding gives the text again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +199,15 @@ def encode_table(docs: DataFrame, path: str, pattern: str, text: str = "text") -
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
             values = np.concatenate([np.empty(0, np.int32), *rows])
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out])
-
-    out = _free("ids", docs.columns)
-    schema = extended(docs.schema, **{out: "array<int>"})
+            added = [ids]
+            if check:
+                pairs = zip(rows, texts, strict=True)
+                same = [vocabulary.decode(row.tolist()) == (value or "").encode("utf-8") for row, value in pairs]
+                added.append(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
+
+    names = [_free(name, docs.columns) for name in ("ids", "round_trip")[: 1 + check]]
+    schema = extended(docs.schema, **dict(zip(names, ("array<int>", "boolean")[: 1 + check], strict=True)))
     return docs.mapInArrow(run, schema)
 
 
