@@ -5,10 +5,14 @@ Words are runs of letters, digits and underscores in lower case.
 1. One pass over the texts looks up every run of four words among those of the
    test items. A hit opens a window of the text, as wide as the item needs
    around the hit; overlapping windows of one item are merged. Only windows
-   leave the pass, with the hashes of their words and the seeds they hold.
+   leave the pass, with the hashes of their words and the seeds they hold, and
+   only those with enough words in common to reach the threshold (an exact
+   bound: it drops no match).
 2. Seeds are counted over all windows of the corpus. A window with one seed
-   goes on if that seed is rare, that is, at most ``rare`` windows have it or
-   eight times the median of its item; with more seeds it always goes on.
+   that is not rare, that is, more than ``rare`` windows have it and more than
+   eight times the median of its item, is aligned once for all windows of the
+   same words; the others are aligned where they are. Rarity only tells how a
+   window is aligned, never whether.
 3. Every window is aligned with its item by Smith-Waterman on words (match 2,
    mismatch and gap -1). A document is contaminated by an item if the best
    score is at least ``threshold`` of the score of a full match.
@@ -103,6 +107,20 @@ def find_windows(words: np.ndarray, items: Items, sizes: list[int]) -> list[tupl
     return out
 
 
+def best_possible(item: np.ndarray, window: np.ndarray, seeds: int, n: int) -> int:
+    """No alignment of a window that holds ``seeds`` seeds of ``n`` words scores more than this.
+
+    A word matches at most as often as both hold it. A run of k matches without
+    a break holds k - n + 1 seeds, and each break between runs costs 1.
+    """
+    values, counts = np.unique(item, return_counts=True)
+    shared = window[np.isin(window, values)]
+    found, others = np.unique(shared, return_counts=True)
+    matches = int(np.minimum(counts[np.searchsorted(values, found)], others).sum())
+    breaks = math.ceil((matches - seeds) / (n - 1)) - 1 if n > 1 else 0
+    return 2 * matches - max(0, breaks)
+
+
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     """Best Smith-Waterman score, and the end (exclusive) of the alignment in the window."""
     steps = np.arange(len(window) + 1)
@@ -121,7 +139,7 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _slice_windows(docs: DataFrame, items: Items, n: int) -> DataFrame:
+def _slice_windows(docs: DataFrame, items: Items, n: int, threshold: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
     sizes = sorted({min(n, len(w)) for w in items.words})
 
@@ -132,7 +150,9 @@ def _slice_windows(docs: DataFrame, items: Items, n: int) -> DataFrame:
             for doc_id, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = _hashed(text, hashes)
                 for item, start, end, places in find_windows(words, items, sizes):
-                    rows.append((doc_id, text_hash, item, start, words[start:end].tobytes(), sorted(set(places))))
+                    own, window, seeds = items.words[item], words[start:end], sorted(set(places))
+                    if best_possible(own, window, len(seeds), min(n, len(own))) / (2 * len(own)) >= threshold:
+                        rows.append((doc_id, text_hash, item, start, window.tobytes(), seeds))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names
@@ -145,8 +165,38 @@ def _slice_windows(docs: DataFrame, items: Items, n: int) -> DataFrame:
     return stored(narrow.mapInArrow(run, schema), "windows")
 
 
+def _aligned(windows: DataFrame, items: Items, threshold: float) -> DataFrame:
+    """The rows of ``windows`` whose words reach the threshold, with item_id, score and end."""
+    shared = windows.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, known = shared.value, {}
+        for batch in batches:
+            keep, found = [], []
+            for item, words in zip(batch["item"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                key = item, words
+                if key not in known:  # many documents share a passage
+                    if len(known) > 20_000:
+                        known.clear()
+                    known[key] = align(items.words[item], np.frombuffer(words, np.uint64))
+                score, end = known[key]
+                share = score / (2 * len(items.words[item]))
+                keep.append(share >= threshold)
+                if keep[-1]:
+                    found.append((items.ids[item], share, end))
+            columns = list(zip(*found, strict=True)) or [[]] * 3
+            added = [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)]
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *added], [*kept.schema.names, *names])
+
+    names = ["item_id", "score", "end"]
+    kinds = [pa.int64(), pa.float64(), pa.int32()]
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in windows.schema.fields]
+    return windows.mapInArrow(run, ", ".join([*fields, "item_id bigint, score double, end int"]))
+
+
 def _slice_matches(docs: DataFrame, items: Items, n: int, rare: int, threshold: float) -> DataFrame:
-    windows = _slice_windows(docs, items, n)
+    windows = _slice_windows(docs, items, n, threshold)
     counts = windows.select("item", F.explode("seeds").alias("seed")).groupBy("item", "seed").agg(
         F.count("*").alias("n")
     )
@@ -163,34 +213,16 @@ def _slice_matches(docs: DataFrame, items: Items, n: int, rare: int, threshold:
         "item", F.greatest(F.lit(rare), 8 * (median + 1)).alias("limit")
     )
     single = windows.where(F.size("seeds") == 1).withColumn("seed", F.col("seeds")[0])
-    single = single.join(counts, ["item", "seed"]).join(limits, "item").where(F.col("n") <= F.col("limit"))
+    single = single.join(counts, ["item", "seed"]).join(limits, "item")
     columns = ["doc_id", "text_hash", "item", "start", "words"]
-    chosen = single.select(*columns).unionByName(windows.where(F.size("seeds") > 1).select(*columns))
-    shared = spark.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, known = shared.value, {}
-        for batch in batches:
-            rows = []
-            for doc_id, text_hash, item, start, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = item, words
-                if key not in known:  # many documents share a passage
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[key] = align(items.words[item], np.frombuffer(words, np.uint64))
-                score, end = known[key]
-                share = score / (2 * len(items.words[item]))
-                if share >= threshold:
-                    rows.append((doc_id, text_hash, items.ids[item], share, start + end))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names
-            )
-
-    names = ["doc_id", "text_hash", "item_id", "score", "end_word"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-    schema = "doc_id bigint, text_hash bigint, item_id bigint, score double, end_word bigint"
-    return chosen.mapInArrow(run, schema)
+    few = single.where(F.col("n") <= F.col("limit")).select(*columns)
+    direct = _aligned(few.unionByName(windows.where(F.size("seeds") > 1).select(*columns)), items, threshold)
+    # windows of frequent seeds are often copies: each passage is aligned once, then joined to its documents
+    many = single.where(F.col("n") > F.col("limit")).select(*columns)
+    passages = _aligned(many.select("item", "words").distinct(), items, threshold)
+    matches = direct.unionByName(many.join(passages, ["item", "words"]))
+    end = (F.col("start") + F.col("end")).cast("bigint")
+    return matches.select("doc_id", "text_hash", "item_id", "score", end.alias("end_word"))
 
 
 def contaminated(
