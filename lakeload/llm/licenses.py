@@ -12,9 +12,16 @@ match also shares at least t / (2 - t) of the template's pairs. For each templat
 some words are chosen so that fewer pairs than that are without them; a passage
 with none of these words cannot match and is left before anything is built.
 
-Everything is a DataFrame expression: one scan, no shuffle, no Python on the
+A notice may also run over several lines or stand inside a longer one. Runs of
+as many words as the template has, placed at each of its pairs in the text, are
+passages too; ``line`` is where the run begins. A run is left out where the whole
+text or a line that it touches matches the template already, and of overlapping
+runs the best counts, the first one for equal coefficients.
+
+Everything is a DataFrame expression: two scans, no shuffle, no Python on the
 executors. A null text has no passage; line 0 is the whole text, lines count from
-1 and are left out where the text is a single line. Repeated rows are repeated.
+1 and are left out where the text is a single line (its runs have line 1).
+Repeated rows are repeated. The SQL has the notices over whole texts and lines.
 """
 
 from __future__ import annotations
@@ -91,6 +98,51 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+    "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+    "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_TWO_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+    "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+    "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution. "
+)
+
+# Whole texts of short licences. Longer ones hold their notice, which is found as a run.
+TEXTS: list[tuple[str, str]] = [
+    (
+        "MIT",
+        TEMPLATES[5][1] + " The above copyright notice and this permission notice shall be included in all copies or "
+        'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS '
+        "OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE "
+        "AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+        "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+        "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    ("BSD-2-Clause", _TWO_CLAUSES + _DISCLAIMER),
+    (
+        "BSD-3-Clause",
+        _TWO_CLAUSES + "3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission. "
+        + _DISCLAIMER,
+    ),
+    (
+        "ISC",
+        TEMPLATES[15][1] + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO '
+        "THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE "
+        "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
+        "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING "
+        "OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+]
+
 
 def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
@@ -128,21 +180,93 @@ def key_words(pairs: list[str], threshold: float) -> list[str]:
     return chosen
 
 
+def _dice(own: Column, pairs: Column) -> Column:
+    return 2.0 * F.size(F.array_intersect(own, pairs)) / (F.size(own) + F.size(pairs))
+
+
+def _once(value: Column) -> Column:
+    """``value``, worked out once per row: filters on it are not moved below it."""
+    return F.explode(F.array(value))
+
+
+def _runs(able: DataFrame, literals: list[Column], pairs: list[str], threshold: float) -> DataFrame:
+    """The rows of :func:`scan` for runs of words that no line and no whole text stands for."""
+    lines = F.split("text", "\n")
+    numbered = F.transform(
+        lines,
+        lambda text, at: F.transform(
+            F.filter(_words(text), lambda w: w != ""), lambda w: F.struct(w.alias("word"), (at + 1).alias("line"))
+        ),
+    )
+    words = able.select("doc_id", "text", lines.alias("lines"), _once(F.flatten(numbered)).alias("words"))
+    words = words.where(F.size("words") > 1)
+    left = F.slice("words", F.lit(1), F.size("words") - 1)
+    right = F.slice("words", F.lit(2), F.size("words") - 1)
+    joined = F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a["word"], b["word"]))
+    paired = words.select("*", _once(joined).alias("all"))
+    placed = F.transform("all", lambda pair, at: F.struct(at.alias("at"), pair.alias("pair")))
+    hits = paired.select("*", _once(F.filter(placed, lambda x: x["pair"].isin(pairs))).alias("hits"))
+    hits = hits.where(F.size("hits") > 0)
+
+    def own(t: Column) -> Column:
+        return F.filter("hits", lambda x: F.array_contains(t["pairs"], x["pair"]))
+
+    hits = hits.select("*", F.explode(F.filter(F.array(*literals), lambda t: F.size(own(t)) >= t["needed"])).alias("t"))
+    hits = hits.select("*", _once(F.transform(own(F.col("t")), lambda x: x["at"])).alias("at"))
+    # a run that matches holds enough pairs of the template: the last of these lies inside it
+    dense = F.filter("at", lambda start, k: F.get("at", k + F.col("t.needed") - 1) <= start + F.col("t.length") - 2)
+    dense = hits.select("*", _once(dense).alias("starts")).where(F.size("starts") > 0)
+    scored = F.transform(
+        "starts",
+        lambda start: F.struct(
+            start.alias("start"),
+            _dice(F.array_distinct(F.slice("all", start + 1, F.col("t.length") - 1)), F.col("t.pairs")).alias("dice"),
+        ),
+    )
+    found = dense.select("*", _once(F.filter(scored, lambda x: x["dice"] >= threshold)).alias("runs"))
+    found = found.where(F.size("runs") > 0)
+
+    def add(chosen: Column, run: Column) -> Column:
+        last = F.get(chosen, F.size(chosen) - 1)
+        apart = last.isNull() | (run["start"] >= last["start"] + F.col("t.length"))
+        others = F.slice(chosen, F.lit(1), F.size(chosen) - 1)
+        better = F.when(run["dice"] > last["dice"], F.concat(others, F.array(run))).otherwise(chosen)
+        return F.when(apart, F.concat(chosen, F.array(run))).otherwise(better)
+
+    empty = F.array().cast("array<struct<start:int,dice:double>>")
+    found = found.select("doc_id", "text", "lines", "words", "t", F.explode(F.aggregate("runs", empty, add)).alias("run"))
+    last = F.least(F.col("run.start") + F.col("t.length"), F.size("words")) - 1
+    found = found.select(
+        "doc_id", "text", "lines", "t", "run", F.col("words")[F.col("run.start")]["line"].alias("line"),
+        F.col("words")[last]["line"].alias("end"),
+    )
+
+    def matches(text: Column) -> Column:
+        own = _pairs(_words(text))
+        return (F.size(own) > 0) & (_dice(own, F.col("t.pairs")) >= threshold)
+
+    touched = F.slice("lines", F.col("line"), F.col("end") - F.col("line") + 1)
+    found = found.where(~matches(F.col("text")) & ~F.exists(touched, matches))
+    return found.select("doc_id", "line", "t.template", "t.license", F.col("run.dice").alias("dice"))
+
+
 def scan(
     docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD
 ) -> DataFrame:
     """(doc_id, line, template, license, dice) of every passage and template that match.
 
     ``template`` is the place in the list, from 0. ``threshold`` lies above 0.
+    The list is ``TEMPLATES`` and then ``TEXTS`` if none is given.
     """
-    templates = TEMPLATES if templates is None else templates
-    known, literals, keys = [], [], set()
+    templates = TEMPLATES + TEXTS if templates is None else templates
+    known, literals, keys, every = [], [], set(), set()
     for place, (name, text) in enumerate(templates):
         words = _template_words(text)
         pairs = list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
         if not pairs:
             continue
         known.append(len(pairs))
+        every.update(pairs)
         keys.update(key_words(pairs, threshold))
         literals.append(
             F.struct(
@@ -152,6 +276,8 @@ def scan(
                 # integer bounds with room for rounding; the coefficient itself decides
                 F.lit(math.floor(len(pairs) * threshold / (2 - threshold))).alias("least"),
                 F.lit(math.ceil(len(pairs) * (2 - threshold) / threshold)).alias("most"),
+                F.lit(len(words)).alias("length"),
+                F.lit(max(1, math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9))).alias("needed"),
             )
         )
     if not literals:
@@ -180,10 +306,10 @@ def scan(
     near = paired.where((sized >= fewest - 1) & (sized <= math.ceil(max(known) * (2 - threshold) / threshold)))
     fits = F.filter(F.array(*literals), lambda t: (t["least"] <= sized) & (sized <= t["most"]))
     met = near.select("doc_id", "line", "own", F.explode(fits).alias("t"))
-    common = F.size(F.array_intersect("own", "t.pairs"))
-    dice = 2.0 * common / (F.size("own") + F.size("t.pairs"))
+    dice = _dice(F.col("own"), F.col("t.pairs"))
     scored = met.select("doc_id", "line", "t.template", "t.license", dice.alias("dice"))
-    return scored.where(F.col("dice") >= threshold)
+    runs = _runs(able.select("doc_id", "text"), literals, sorted(every), threshold)
+    return scored.where(F.col("dice") >= threshold).unionByName(runs)
 
 
 def oracle_sql(templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> str:
