@@ -5,8 +5,8 @@
    tag, class, id, text and the hashes of its children.
 2. Spark counts, per host, the different articles whose pages hold a subtree. An
    article counts once, so that one published on many pages stays whole.
-3. Subtrees that recur on ``MIN_PAGES`` or more pages of their host, and on at
-   least ``MIN_SHARE`` of them, are deleted, and so are elements that are never
+3. Subtrees that recur with ``MIN_PAGES`` or more different articles of their
+   host, however many it has, are deleted, and so are elements that are never
    part of an article (menus, headers, footers, forms, scripts, comments, ...).
    What is left of the article (``article``, else ``main``, else ``body``) is
    the text.
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from lakeload.llm.common import key_filter, stored
 
 MIN_PAGES = 10
-MIN_SHARE = 0.01
 
 # Element names of the HTML standard by their role, and words that name page furniture.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -293,7 +292,7 @@ def _keyed(pages: DataFrame) -> DataFrame:
     )
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, page, subtree): the subtrees to delete from each page."""
     keyed = _keyed(pages).where(F.col("host").isNotNull() & F.col("html").isNotNull())
 
@@ -318,15 +317,13 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     # distinct merges copies before and after the shuffle
     seen = stored(keyed.select("host", "page", "html").mapInArrow(run, schema).distinct(), "subtrees")
     different = seen.select("host", "article", "subtree").distinct()
-    counts = different.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    sizes = seen.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    common = counts.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages"))
+    common = different.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     return seen.select("host", "page", "subtree").join(common.select("host", "subtree"), ["host", "subtree"])
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Per row of ``pages``: page_id, url, text, n_chars, n_templates (subtrees deleted)."""
-    templates = site_templates(pages, min_pages, min_share)
+    templates = site_templates(pages, min_pages)
     per_page = templates.groupBy("host", "page").agg(F.collect_set("subtree").alias("subtrees"))  # of one page
     per_page = stored(per_page, "templates")
     # pages that lose no subtree are not shuffled
