@@ -16,6 +16,7 @@ from pyspark.sql.types import (
     BooleanType,
     DoubleType,
     IntegerType,
+    LongType,
     StringType,
     StructField,
     StructType,
@@ -26,6 +27,7 @@ from lakeload.session import shared_folder
 _TYPES = {
     "string": StringType(),
     "binary": BinaryType(),
+    "bigint": LongType(),
     "double": DoubleType(),
     "boolean": BooleanType(),
     "array<int>": ArrayType(IntegerType()),

@@ -6,12 +6,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from lakeload.llm import ann, backoff_lm, bpe, decontaminate, html_extract, langid, licenses, ngram_join, pii, shards
+from pyspark.sql import functions as F
+
+from lakeload.llm import (
+    ann,
+    backoff_lm,
+    bpe,
+    decontaminate,
+    html_extract,
+    langid,
+    licenses,
+    ngram_join,
+    pii,
+    shards,
+    token_counts,
+)
 from lakeload.llm.common import read_table
 from lakeload.session import shared_folder
 
 RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
+#: Documents with more tokens than this are over the limit.
+TOKEN_LIMIT = 512
 
 
 def op1_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +77,12 @@ def op10_multiprobe_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = token_counts.count_table(docs, public_tokenizers.path(TOKENIZER)).drop("text")
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_template_removal": op1_site_template_removal,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -72,4 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_training_order": op8_training_order,
     "op9_ecoc_language_id": op9_ecoc_language_id,
     "op10_multiprobe_hashing": op10_multiprobe_hashing,
+    "op13_token_counts": op13_token_counts,
 }
