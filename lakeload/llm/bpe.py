@@ -16,17 +16,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from lakeload.llm.common import extended
 from lakeload.llm.common import free_name as _free
+from lakeload.llm.splitting import library_class, splitter
 
 #: Pre-tokens of up to so many characters are remembered, and so many of them.
 MEMO_CHARS = 40
@@ -82,9 +83,10 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.pieces = {rank: token for token, rank in ranks.items()}
-        self.split = regex.compile(pattern)
+        self.split = splitter(pattern, library_class)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.memo = _Memo(self)
+        self.packed = _Memo(self, lambda ids: array("i", ids).tobytes())
+        self.written = _Memo(self, lambda ids: (" ".join(map(str, ids)), self.decode(ids)))
 
     def merge(self, data: bytes) -> list[int]:
         """Token ids of one pre-token."""
@@ -130,37 +132,33 @@ class Vocabulary:
 
     def encode(self, text: str | None) -> list[int]:
         ids: list[int] = []
-        for piece in self.split.findall(text or ""):
+        for piece in self.split(text or ""):
             ids.extend(self.merge(piece.encode("utf-8")))
         return ids
 
-    def encode_decimal(self, text: str | None) -> str:
-        """The ids in decimal, joined by spaces."""
-        return " ".join(map(self.memo.__getitem__, self.split.findall(text or "")))
-
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
 class _Memo(dict):
-    """Decimal ids of pre-tokens seen before, in two generations."""
+    """What is made of the ids of pre-tokens seen before, in two generations."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    def __init__(self, vocabulary: Vocabulary, make: Callable[[list[int]], object]) -> None:
         super().__init__()
-        self.vocabulary = vocabulary
-        self.older: dict[str, str] = {}
+        self.vocabulary, self.make = vocabulary, make
+        self.older: dict[str, object] = {}
 
-    def __missing__(self, piece: str) -> str:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = " ".join(map(str, self.vocabulary.merge(piece.encode("utf-8"))))
+    def __missing__(self, piece: str) -> object:
+        made = self.older.get(piece)
+        if made is None:
+            made = self.make(self.vocabulary.merge(piece.encode("utf-8")))
             if len(piece) > MEMO_CHARS:
-                return ids
+                return made
         if len(self) >= MEMO_SIZE:
             self.older = dict(self)
             self.clear()
-        self[piece] = ids
-        return ids
+        self[piece] = made
+        return made
 
 
 @lru_cache(maxsize=2)
@@ -195,7 +193,8 @@ def encode_table(
         vocabulary = load_vocabulary(path, pattern)
         for batch in _small(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            rows = [np.fromstring(vocabulary.encode_decimal(value), np.int32, sep=" ") for value in texts]
+            ids_of = vocabulary.packed.__getitem__
+            rows = [np.frombuffer(b"".join(map(ids_of, vocabulary.split(value or ""))), np.int32) for value in texts]
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
             values = np.concatenate([np.empty(0, np.int32), *rows])
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
@@ -236,15 +235,15 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load_vocabulary(path, pattern)
-        pieces = {str(rank): token for rank, token in vocabulary.pieces.items()}
+        of_piece = vocabulary.written.__getitem__
         for batch in _small(batches):
             counts, encoded, decoded = [], [], []
             for value in batch.column(1).to_pylist():
-                joined = vocabulary.encode_decimal(value)
-                ids = joined.split(" ") if joined else []
-                counts.append(len(ids))
+                parts = list(map(of_piece, vocabulary.split(value or "")))
+                joined = " ".join([ids for ids, _ in parts])
+                counts.append(joined.count(" ") + 1 if joined else 0)
                 encoded.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(pieces.__getitem__, ids))).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([data for _, data in parts])).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded), pa.array(decoded)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
