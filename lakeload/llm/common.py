@@ -57,35 +57,40 @@ def row_key(doc_id: Column, text_hash: Column) -> Column:
     return F.xxhash64(F.coalesce(doc_id, F.lit(-1)), text_hash)
 
 
-def key_filter(keys: DataFrame) -> Callable[[Column], Column]:
-    """A test that is true for every key of the one column of ``keys``, and for few others.
+def bit_set(hashes: DataFrame) -> tuple[np.ndarray, int, int]:
+    """A set of bits for the 64-bit numbers of the one column: the words, the bits a place has, the rows.
 
-    Rows that fail it need no join with the keys, and so no shuffle. The test is
-    a set of bits of bounded size; with very many keys it lets more rows pass,
-    never fewer, so a join has to follow for the rows that pass.
+    A number's place is its upper bits. The set has at most ``2 ** FILTER_BITS``
+    places; with very many numbers it holds more than these, never fewer.
     """
-    spark = keys.sparkSession
-    column = keys.columns[0]
-    bits = int(np.clip(np.ceil(np.log2(16 * max(1, keys.count()))), 10, FILTER_BITS))
-
-    def place(key: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
-
-    spots = keys.select(place(F.col(column)).alias("p"))
+    size = hashes.count()
+    bits = int(np.clip(np.ceil(np.log2(16 * max(1, size))), 10, FILTER_BITS))
+    spots = hashes.select(F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - bits).alias("p"))
     words = spots.groupBy(F.shiftright("p", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits")
     )
     table = np.zeros(1 << max(0, bits - 6), np.int64)
     for row in words.toLocalIterator():
         table[row["word"]] = row["bits"]
-    shared = spark.sparkContext.broadcast(table)
+    return table, bits, size
+
+
+def key_filter(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test that is true for every key of the one column of ``keys``, and for few others.
+
+    Rows that fail it need no join with the keys, and so no shuffle. The test is
+    a set of bits of bounded size; with very many keys it lets more rows pass,
+    never fewer, so a join has to follow for the rows that pass.
+    """
+    table, bits, _ = bit_set(keys.select(F.xxhash64(keys.columns[0])))
+    shared = keys.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
     def found(spot: pd.Series) -> pd.Series:
         at = spot.to_numpy()
         return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
 
-    return lambda key: found(place(key))
+    return lambda key: found(F.shiftrightunsigned(F.xxhash64(key), 64 - bits))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

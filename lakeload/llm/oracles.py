@@ -4,6 +4,10 @@ The others learn a model, hash, align, decode or write files. Their tests compar
 them with brute force, exact round trips or held-out rows.
 """
 
-from lakeload.llm import licenses
+from lakeload.llm import divergence, licenses, variants
 
-ORACLES: dict[str, str] = {"op7_license_scan": licenses.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op7_license_scan": licenses.oracle_sql(),
+    "op11_source_divergence": divergence.oracle_sql(),
+    "op12_spelling_variants": variants.oracle_sql(),
+}

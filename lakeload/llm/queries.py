@@ -13,6 +13,7 @@ from lakeload.llm import (
     backoff_lm,
     bpe,
     decontaminate,
+    divergence,
     html_extract,
     langid,
     licenses,
@@ -20,6 +21,7 @@ from lakeload.llm import (
     pii,
     shards,
     token_counts,
+    variants,
 )
 from lakeload.llm.common import read_table
 from lakeload.session import shared_folder
@@ -77,6 +79,14 @@ def op10_multiprobe_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read_table(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = token_counts.count_table(docs, public_tokenizers.path(TOKENIZER)).drop("text")
@@ -94,5 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_training_order": op8_training_order,
     "op9_ecoc_language_id": op9_ecoc_language_id,
     "op10_multiprobe_hashing": op10_multiprobe_hashing,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_token_counts": op13_token_counts,
 }
