@@ -91,6 +91,10 @@ ORACLES: dict[str, str] = {
         strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS "O_ORDERDATE" FROM orders""",
     "incremental_batches": """SELECT CAST(o_orderkey % 2 AS INTEGER) AS batch, count(*) AS n_rows,
         TRUE AS told FROM orders GROUP BY 1""",
+    "incremental_relanded": """SELECT 'overwrite' AS mode, s_suppkey AS key, s_name AS name,
+            CAST(3 AS BIGINT) AS version FROM supplier
+        UNION ALL SELECT 'append', c_custkey, c_name, version
+            FROM customer, (SELECT unnest([1, 2, 3]) AS version)""",
     "scan_csv_overlong": """SELECT c_nationkey, c_nationkey % 3 <> 0 AS taken,
         CASE WHEN c_nationkey % 3 <> 0 THEN count(*) END AS n_rows FROM customer GROUP BY c_nationkey""",
     "scan_csv_encoding": """SELECT * FROM documents

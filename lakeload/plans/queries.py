@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ from lakeload.sources.dispatch import (
 from lakeload.sources.raw import InputError
 from lakeload.streaming.incremental import ingest_new_files
 
+# Rows that a sheet of a workbook can hold below its header.
+WORKBOOK_ROWS = 2**20 - 1
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -479,6 +483,33 @@ def q_incremental_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(told, "n_rows").select("batch", "n_rows", (F.col("n_loads") > 0).alias("told"))
 
 
+def q_incremental_relanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that land three times under their names, run and replayed after each landing.
+
+    Suppliers are one link that overwrites, customers are several that append.
+    """
+    schema, base = _schema(spark), shared_folder(spark, "relanded")
+    feeds = {
+        "overwrite": (_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", WORKBOOK_ROWS),
+        "append": (_customer(spark, sf_dir).select("c_custkey", "c_name"), "c_custkey", 1000),
+    }
+    for version in (1, 2, 3):
+        for mode, (rows, key, size) in feeds.items():
+            landing = f"{base}/{mode}/link"
+            land_workbooks(rows.withColumn("version", F.lit(version)), key, "relanded", landing, size)
+            for checkpoint in ("checkpoint", "checkpoint", f"lost-{version}"):
+                ingest_new_files(
+                    spark,
+                    landing,
+                    f"{schema}.{mode}_feed",
+                    mode,
+                    checkpoint=f"{base}/{mode}/{checkpoint}",
+                    control_table=f"{schema}.load_control",
+                )
+    tables = [spark.table(f"{schema}.{mode}_feed").select(F.lit(mode).alias("mode"), "*") for mode in feeds]
+    return reduce(DataFrame.unionAll, tables).toDF("mode", "key", "name", "version")
+
+
 def q_load_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest of the loads that orders stand for, one target per customer."""
     filled = {

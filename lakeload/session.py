@@ -42,6 +42,11 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/lakeload/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def remove_folders(spark: SparkSession, folders: list[str]) -> None:
     """Delete intermediate rows from the shared folder once a load is done."""
     for folder in folders:

@@ -140,3 +140,64 @@ def test_batch_column_keeps_its_control_row(spark, schema, tmp_path):
     _run(spark, tmp_path, table, batch_column="load_batch", control_table=ctl)
     assert [r.n_rows for r in spark.table(ctl).collect()] == [1]
     assert _other(spark, tmp_path, table, ctl, batch_column="load_batch") == []
+
+
+def _reland(tmp_path, name, content, time):
+    import os
+
+    path = tmp_path / "landing" / name
+    path.parent.mkdir(exist_ok=True)
+    path.write_text(content)
+    os.utime(path, (time, time))
+
+
+@pytest.mark.parametrize("control", [True, False])
+def test_a_link_that_lands_again_is_loaded_again(spark, schema, tmp_path, rows, control):
+    ctl = f"{schema}.ctl" if control else None
+    kept, last = f"{schema}.kept", f"{schema}.last"
+    for version in (1, 2, 3):
+        _reland(tmp_path, "Plan.csv", f"a\n{version}\n", 10**9 + version)  # same length each time
+        for _ in range(2):
+            _run(spark, tmp_path, kept, control_table=ctl)
+            _other(spark, tmp_path, last, ctl, mode="overwrite")
+    assert rows(spark.table(kept)) == [(1,), (2,), (3,)] and rows(spark.table(last)) == [(3,)]
+    if control:
+        assert _other(spark, tmp_path, kept, ctl, "lost") == []
+        assert spark.table(f"{ctl}_files").count() == 6
+
+
+def test_a_version_of_the_same_time_and_another_length_is_another(spark, schema, tmp_path, rows):
+    for text in ("a\n1\n", "a\n1\n2\n"):
+        _reland(tmp_path, "Plan.csv", text, 10**9)
+        _run(spark, tmp_path, f"{schema}.t")
+    assert rows(spark.table(f"{schema}.t")) == [(1,), (1,), (2,)]
+
+
+def test_a_replaced_version_is_told_not_read_twice(spark, schema, tmp_path, rows):
+    """The run that listed the first version stopped before it was read."""
+    from lakeload.streaming.incremental import listed_versions, log_versions
+
+    _reland(tmp_path, "Plan.csv", "a\n1\n", 10**9)
+    log_versions(spark, listed_versions(spark, f"{tmp_path}/landing"), f"{tmp_path}/checkpoint/versions", 10)
+    _reland(tmp_path, "Plan.csv", "a\n2\n", 10**9 + 5)
+    results = _run(spark, tmp_path, f"{schema}.t")
+    assert sorted((r.ok, r.n_rows) for r in results) == [(False, None), (True, 1)]
+    assert rows(spark.table(f"{schema}.t")) == [(2,)]
+
+
+def test_rows_of_paths_only_stand_for_any_version(spark, schema, tmp_path):
+    table, ctl = f"{schema}.t", f"{schema}.ctl"
+    _reland(tmp_path, "Plan.csv", "a\n1\n", 10**9)
+    catalog, path = spark.catalog.currentCatalog(), f"file:{tmp_path}/landing/Plan.csv"
+    old = [(catalog, schema, "t", "b", path)]
+    names = "db_catalog string, db_schema string, db_table string, batch string, path string"
+    spark.createDataFrame(old, names).write.saveAsTable(f"{ctl}_files")
+    assert _run(spark, tmp_path, table, control_table=ctl) == []
+    _reland(tmp_path, "Other.csv", "a\n1\n", 10**9)
+    assert [r.n_rows for r in _run(spark, tmp_path, table, control_table=ctl)] == [1]
+    assert spark.table(f"{ctl}_files").where("modificationTime IS NOT NULL").count() == 1
+
+
+def test_an_empty_folder_loads_nothing(spark, schema, tmp_path):
+    (tmp_path / "landing").mkdir()
+    assert _run(spark, tmp_path, f"{schema}.t") == []
