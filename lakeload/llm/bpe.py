@@ -34,6 +34,10 @@ MEMO_CHARS = 40
 MEMO_SIZE = 250_000
 
 
+#: Bits of a word of the queue's lower level.
+WIDTH = 256
+
+
 class RankQueue:
     """Positions by merge rank; the smallest rank first, then the leftmost position.
 
@@ -41,10 +45,8 @@ class RankQueue:
     word of level 0. Python's integers take any width, so two levels do.
     """
 
-    WIDTH = 256
-
     def __init__(self, ranks: int) -> None:
-        self.words = [0] * (ranks // self.WIDTH + 1)
+        self.words = [0] * (ranks // WIDTH + 1)
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
@@ -54,8 +56,8 @@ class RankQueue:
             heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        word = rank // self.WIDTH
-        self.words[word] |= 1 << rank % self.WIDTH
+        word = rank // WIDTH
+        self.words[word] |= 1 << rank % WIDTH
         self.top |= 1 << word
 
     def pop(self) -> tuple[int, int] | None:
@@ -66,7 +68,7 @@ class RankQueue:
         word = (top & -top).bit_length() - 1
         bits = self.words[word]
         low = bits & -bits
-        rank = word * self.WIDTH + low.bit_length() - 1
+        rank = word * WIDTH + low.bit_length() - 1
         bucket = self.buckets[rank]
         if len(bucket) > 1:
             return rank, heappop(bucket)
@@ -94,16 +96,41 @@ class Vocabulary:
         whole = ranks.get(data)
         if whole is not None:
             return [whole]
-        push, pop, find, n = self.queue.push, self.queue.pop, ranks.get, len(data)
+        find, n = ranks.get, len(data)
         end = list(range(1, n + 1))  # where the part that starts here ends; 0: merged away
         before = list(range(-1, n - 1))
         now = [find(data[i : i + 2]) for i in range(n - 1)]  # rank of the pair that starts here
         now.append(None)
-        for i, rank in enumerate(now):
-            if rank is not None:
-                push(rank, i)
-        while (entry := pop()) is not None:
-            rank, i = entry
+        # the queue's push and pop, written out: calls would cost more than their work
+        buckets, words, top = self.queue.buckets, self.queue.words, 0
+        fresh = [(rank, i) for i, rank in enumerate(now) if rank is not None]
+        while True:
+            for rank, i in fresh:
+                bucket = buckets.get(rank)
+                if bucket is not None:
+                    heappush(bucket, i)
+                    continue
+                buckets[rank] = [i]
+                word = rank // WIDTH
+                words[word] |= 1 << rank % WIDTH
+                top |= 1 << word
+            if not top:
+                break
+            fresh = []
+            last = top & -top
+            word = last.bit_length() - 1
+            bits = words[word]
+            low = bits & -bits
+            rank = word * WIDTH + low.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[word] = bits ^ low
+                if bits == low:
+                    top ^= last
             if now[i] != rank:
                 continue  # stale: the pair that was queued is no longer here
             j = end[i]
@@ -115,14 +142,14 @@ class Vocabulary:
                 before[k] = i
                 now[i] = new = find(data[i : end[k]])
                 if new is not None:
-                    push(new, i)
+                    fresh.append((new, i))
             else:
                 now[i] = None
             h = before[i]
             if h >= 0:
                 now[h] = new = find(data[h:k])
                 if new is not None:
-                    push(new, h)
+                    fresh.append((new, h))
         out, i = [], 0
         while i < n:
             k = end[i]
