@@ -1,12 +1,21 @@
 """Write a frame to a catalog table: overwrite, append, schema merge.
 
 Neither mode ever removes or retypes a column. The table format is a
-parameter; with plain Parquet an overwrite is not atomic, nor is a load
+parameter. A format with transactions overwrites as it does. A managed table of
+plain Parquet or ORC files is overwritten beside its rows: the new rows are
+written to a folder of their own, and when they are complete the catalog is told
+that the table lies there, in one step, and the old folder goes. Readers see the
+old rows or the new ones, also while an overwrite runs and after one that
+failed; one that has not finished reading the old files when they go fails and
+can read again. Partitioned, bucketed and external tables are overwritten in
+place, as their files cannot move in one step. A load is not one change
 together with its control row.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeload.functions.names import qualified_name, quoted
+from lakeload.session import remove_folders
 
 # The write modes.
 WRITE_MODES = ("overwrite", "append")
@@ -96,13 +106,17 @@ def type_conflicts(table: T.StructType, incoming: T.StructType) -> list[str]:
     return conflicts
 
 
+def _refuse_conflicts(table: T.StructType, incoming: T.StructType) -> None:
+    conflicts = type_conflicts(table, incoming)
+    if conflicts:
+        raise ValueError("type conflict with the table: " + "; ".join(conflicts))
+
+
 def merge_schema(spark: SparkSession, table: str, incoming: T.StructType) -> None:
     """Add the columns that the table lacks; refuse conflicting types first."""
     table = full_name(spark, table)
     current = spark.table(table).schema
-    conflicts = type_conflicts(current, incoming)
-    if conflicts:
-        raise ValueError("type conflict with the table: " + "; ".join(conflicts))
+    _refuse_conflicts(current, incoming)
     added = new_columns(current, incoming)
     if added:
         columns = ", ".join(f"{quoted(f.name)} {_ddl_type(f.dataType)}" for f in added)
@@ -130,11 +144,53 @@ def write_table(
     if not spark.catalog.tableExists(table):
         df.write.format(table_format).saveAsTable(table)
         return
+    place = _movable(spark, table) if mode == "overwrite" else None
+    if place is not None:
+        _overwrite_beside(df, table, *place)
+        return
     merge_schema(spark, table, df.schema)
     verb = "OVERWRITE" if mode == "overwrite" else "INTO"
     spark.sql(f"INSERT {verb} {table} BY NAME SELECT * FROM {{rows}}", rows=df)
 
 
+# Formats whose files tell their columns, so that a folder of them is all there is to a table.
+_PLAIN_FORMATS = ("parquet", "orc")
+_STAGED = re.compile(r"\.v-[0-9a-f]{12}$")
+
+
+def _movable(spark: SparkSession, table: str) -> tuple[str, str] | None:
+    """Format and folder of a table whose rows may lie elsewhere after a write; None for others."""
+    told = {row.col_name: row.data_type for row in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    plain = told.get("Type") == "MANAGED" and told.get("Provider", "").lower() in _PLAIN_FORMATS
+    if not plain or "# Partition Information" in told or "Num Buckets" in told:
+        return None
+    return told["Provider"].lower(), told["Location"]
+
+
+def _overwrite_beside(df: DataFrame, table: str, table_format: str, folder: str) -> None:
+    """Write all rows to a new folder, then let the table lie there and remove the old one."""
+    spark = df.sparkSession
+    current = spark.table(table).schema
+    _refuse_conflicts(current, df.schema)
+    given = {field.name.lower(): quoted(field.name) for field in df.schema.fields}
+    fields = [*current.fields, *new_columns(current, df.schema)]
+    columns = [
+        (F.col(given[f.name.lower()]) if f.name.lower() in given else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in fields
+    ]
+    staged = f"{_STAGED.sub('', folder)}.v-{uuid.uuid4().hex[:12]}"
+    try:
+        df.select(*columns).write.format(table_format).save(staged)
+        merge_schema(spark, table, df.schema)
+        place = staged.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{place}'")
+    except BaseException:
+        remove_folders(spark, [staged])
+        raise
+    spark.catalog.refreshTable(table)
+    remove_folders(spark, [folder])
+
+
 def save_table(
     df: DataFrame, table: str, mode: str = "overwrite", table_format: str = "parquet"
 ) -> LoadResult:

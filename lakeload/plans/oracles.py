@@ -57,6 +57,7 @@ ORACLES: dict[str, str] = {
         ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Sao_Paulo', '%Y-%m-%d %H:%M') AS dh_insertion
         FROM events""",
     "save_overwrite": _ORDERS,
+    "overwrite_failed_keeps_rows": f"SELECT *, TRUE AS failed FROM ({_ORDERS})",
     "save_append": f"{_ORDERS} UNION ALL {_ORDERS}",
     "append_target_types": """SELECT o_orderkey AS "O_ORDERKEY",
         CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) ELSE o_totalprice END AS "O_TOTALPRICE",

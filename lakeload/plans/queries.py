@@ -281,6 +281,19 @@ def q_overwrite_keeps_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(table)
 
 
+def q_overwrite_failed_keeps_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that are overwritten, then badly overwritten: the last task fails when others are done."""
+    orders, table = _orders(spark, sf_dir), f"{_schema(spark)}.orders"
+    _save(orders.withColumn("o_custkey", F.lit(0)), table, "overwrite")
+    _save(orders, table, "overwrite")
+    last = orders.agg(F.max("o_orderkey").alias("last"))  # one row
+    broken = F.when(F.col("o_orderkey") == F.col("last"), F.raise_error("broken")).otherwise(0.0)
+    bad = orders.crossJoin(last).withColumn("o_totalprice", broken.cast("double")).withColumn("extra", F.lit(1))
+    bad = bad.drop("last").repartitionByRange(8, "o_orderkey")
+    failed = tables.save_table(bad, table, "overwrite")
+    return spark.table(table).withColumn("failed", F.lit(not failed.ok))
+
+
 def q_control_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema, folder = _schema(spark), shared_folder(spark, "control-rows")
     control_table = f"{schema}.load_control"

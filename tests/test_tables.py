@@ -154,10 +154,11 @@ def test_upload_and_link_rows(spark, schema, tmp_path):
     assert (found["t2"]["db_catalog"], found["t2"]["db_schema"]) == ("spark_catalog", schema)
 
 
-def test_intermediate_rows_are_removed(spark, schema, tmp_path):
-    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n')
+def test_intermediate_rows_are_removed(spark, schema, tmp_path, small_splits):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n' + '2,"x\ny"\n' * 20)
+    small_splits(16)
     stored = read_raw(spark, str(tmp_path / "a.csv")).stored
-    assert len(stored) == 1 and Path(stored[0], "lines").exists()
+    assert len(stored) == 1 and Path(stored[0]).exists()
     remove_folders(spark, stored)
     assert not Path(stored[0]).exists()
     assert ingest(spark, str(tmp_path / "a.csv"), f"{schema}.t").ok
@@ -244,3 +245,68 @@ def test_refused_load_leaves_no_rows_behind(spark, schema, tmp_path, monkeypatch
     with pytest.raises(InputError, match="more fields"):
         ingest(spark, f"{tmp_path}/x.csv", f"{schema}.t")
     assert not list(Path(tmp_path).glob("lakeload/*"))
+
+
+def _folders(schema, tmp_path):
+    return sorted(p.name.split(".v-")[0] for p in (tmp_path / "wh").iterdir())
+
+
+def test_failed_overwrite_changes_nothing(spark, schema, tmp_path, rows):
+    from pyspark.sql import functions as F
+
+    table = f"{schema}.t"
+    save_table(_df(spark, [(k, "old") for k in range(50)], "k int, v string"), table)
+    before = rows(spark.table(table))
+    bad = spark.range(100).repartition(4).select(
+        F.col("id").cast("int").alias("k"), F.expr("if(id = 99, raise_error('broken'), 'new')").alias("v"), F.lit(1).alias("n")
+    )
+    for _ in range(2):
+        result = save_table(bad, table, "overwrite")
+        assert not result.ok and "broken" in result.message
+        assert rows(spark.table(table)) == before and spark.table(table).columns == ["k", "v"]
+        assert _folders(schema, tmp_path) == ["t"]
+    for k in range(3):
+        assert save_table(_df(spark, [(k,)], "K smallint"), table, "overwrite").n_rows == 1
+        assert rows(spark.table(table)) == [(k, None)] and _folders(schema, tmp_path) == ["t"]
+    spark.sql(f"DROP TABLE {table}")
+    assert _folders(schema, tmp_path) == []
+    assert save_table(_df(spark, [(7,)], "k int"), table).ok
+
+
+def test_readers_see_old_or_new_rows(spark, schema):
+    import threading
+
+    table, seen, stop = f"{schema}.t", set(), threading.Event()
+    save_table(spark.range(1000).repartition(8), table)
+
+    def read():
+        while not stop.is_set():
+            try:
+                seen.add(spark.table(table).count())
+            except Exception as error:  # the files it planned to read are gone; it may read again
+                assert "FILE_NOT_EXIST" in str(error) or "does not exist" in str(error), error
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for size in (2000, 1000, 2000):
+        assert save_table(spark.range(size).repartition(8), table, "overwrite").ok
+    stop.set()
+    reader.join()
+    assert seen <= {1000, 2000} and seen
+
+
+def test_a_table_can_be_overwritten_by_its_own_rows(spark, schema, rows):
+    table = f"{schema}.t"
+    save_table(_df(spark, [(1, "x"), (2, "y")], "a int, b string"), table)
+    assert save_table(spark.table(table).where("a = 2"), table, "overwrite").n_rows == 1
+    assert rows(spark.table(table)) == [(2, "y")]
+
+
+def test_other_tables_are_overwritten_in_place(spark, schema, tmp_path, rows):
+    df = _df(spark, [(1, "x")], "a int, p string")
+    df.write.partitionBy("p").saveAsTable(f"{schema}.parts")
+    df.write.option("path", f"{tmp_path}/own").saveAsTable(f"{schema}.own")
+    for name in ("parts", "own"):
+        assert save_table(_df(spark, [(2, "y")], "a int, p string"), f"{schema}.{name}", "overwrite").ok
+        assert rows(spark.table(f"{schema}.{name}").select("a", "p")) == [(2, "y")]
+    assert spark.read.parquet(f"{tmp_path}/own").count() == 1
