@@ -103,6 +103,7 @@ ORACLES: dict[str, str] = {
     "scan_csv_crlf": """SELECT doc_id, replace(text, chr(10), chr(13) || chr(10)) AS text, lang
         FROM documents""",
     "folder_headers": 'SELECT c_custkey AS "CODIGO", c_name AS "C_NAME" FROM customer',
+    "folder_many_headers": 'SELECT c_custkey AS "C_CUSTKEY", c_name AS "C_NAME_0" FROM customer',
     "load_outcomes": """SELECT attempt, outcome,
             CASE WHEN outcome = 'saved' THEN p.n END AS n_rows,
             CASE WHEN outcome = 'saved' THEN 6 END AS n_columns, 2 * p.n AS in_table

@@ -402,6 +402,22 @@ def q_folder_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark, folder).frame
 
 
+def q_folder_many_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers landed under up to 2,000 different headers: spellings, orders and a spare column."""
+    customer, folder = _customer(spark, sf_dir), f"{shared_folder(spark, 'many-headers')}/customers.csv"
+    number = F.pmod(F.col("c_custkey"), F.lit(2000))
+    key, name = F.concat(F.lit("c"), F.repeat(F.lit("."), number.cast("int") + 1), F.lit("custkey")), F.lit('"c name, 0"')
+    turned = number % 2 == 1
+    header = F.when(turned, F.concat_ws(",", name, key)).otherwise(F.concat_ws(",", key, name, F.lit("spare")))
+    cells = F.when(turned, F.concat_ws(",", "c_name", "c_custkey"))
+    cells = cells.otherwise(F.concat_ws(",", "c_custkey", "c_name", F.lit("-")))
+    lines = customer.select(cells.alias("value"), number.alias("number"), F.lit(1).alias("place"))
+    heads = customer.select(header.alias("value"), number.alias("number"), F.lit(0).alias("place")).distinct()
+    ordered = heads.unionByName(lines).repartition("number").sortWithinPartitions("number", "place")
+    ordered.drop("place").write.partitionBy("number").text(folder)
+    return prepare(spark, folder).frame
+
+
 # --- counts, jobs --------------------------------------------------------------------------
 
 

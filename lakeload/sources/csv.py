@@ -16,7 +16,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,14 +53,25 @@ MAX_FIELD = 2**31 - 1
 HEADER_LINES = 16**3
 
 
+# Ways of reading, a header and a reader each, that get a branch of the plan of their own.
+BRANCHES = 8
+# Files, and cells of a table of places, that are sent to all tasks; beyond them Spark joins as it sees fit.
+SENT_FILES = 100_000
+SENT_PLACES = 4_000_000
+
+
 @dataclass(frozen=True)
 class _Group:
     """Files with the same header and the same way of reading."""
 
     header: list[str]
-    paths: list[str]
+    files: list[str]
     joined: bool
 
+    @property
+    def paths(self) -> list[str]:
+        return [literal_path(file) for file in self.files]
+
 
 def _reader(spark: SparkSession, by_suffix: bool) -> DataFrameReader:
     reader = spark.read.option("recursiveFileLookup", "true")
@@ -108,38 +121,89 @@ def _header_record(spark: SparkSession, path: str, encoding: str) -> list[str]:
         head = [row.value for row in lines.head(wanted)]
     if _is_open(head):
         raise InputError(f"a quoted field in the header of {path} does not end within {wanted} lines")
+    return _parsed_header(head, path)
+
+
+def _parsed_header(lines: list[str], path: str) -> list[str]:
+    csv.field_size_limit(MAX_FIELD)
     try:
-        return next(csv.reader(line + "\n" for line in head))
+        return next(csv.reader(line + "\n" for line in lines))
     except csv.Error as error:
         raise InputError(f"the header of {path} cannot be read: {error}") from None
 
 
+_PARTS = "file string, joined boolean, invalid boolean, header string"
+
+
+def _parts(lines: DataFrame, encoding: str) -> DataFrame:
+    """What a task sees of each file: open quotes, bytes that are no text, the header record.
+
+    A header is null where another task has the start of the file, and where the
+    record does not end within the task or ``HEADER_LINES`` lines.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, head, state = "", None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files = batch.column("file")
+            ends = pc.run_end_encode(files).run_ends.to_numpy()
+            starts = np.r_[0, ends[:-1]]
+            opens, wrong = (np.asarray(batch.column(name).to_numpy(zero_copy_only=False)) for name in ("open", "invalid"))
+            names, headers = [], []
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                file, done = files[a].as_py(), None
+                if file != here:
+                    here, head, state = file, [] if batch.column("block")[a].as_py() == 0 else None, 0
+                while head is not None and a < b:
+                    head.append(batch.column("text")[a].as_py().decode(encoding, "replace"))
+                    state = int(opens[a]) if len(head) == 1 else _changes(head[-1])[state]
+                    a += 1
+                    if not state:
+                        done, head = "\n".join(head), None
+                    elif len(head) >= HEADER_LINES:
+                        head = None
+                names.append(file)
+                headers.append(done)
+            found = [np.logical_or.reduceat(flags, starts) for flags in (opens, wrong)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names), *map(pa.array, found), pa.array(headers, pa.string())],
+                ["file", "joined", "invalid", "header"],
+            )
+
+    return lines.mapInArrow(run, _PARTS)
+
+
 def _groups(
     spark: SparkSession, paths: list[str], by_suffix: bool, encoding: str
 ) -> list[_Group]:
-    """Group the files by header and by reading.
+    """Group the files by header and by reading, in one pass over the lines.
 
-    One row per file and task is shuffled. The header line is compared by two
-    64-bit hashes: with fixed-width buffers the aggregate hashes its groups and
-    never sorts lines. The driver learns file names, as any file scan's does,
-    and both later passes read exactly these files. Files with bytes that are
-    not text in their encoding are refused.
+    One row per file and task is shuffled. Headers come with that pass, however
+    many there are; only one that runs over the end of a split is read again.
+    The driver learns file names and headers, as any file scan's does, and later
+    passes read exactly these files. Files with bytes that are not text in their
+    encoding are refused.
     """
     lines = _lines(spark, paths, by_suffix).where(~F.col("value").rlike(BLANK_LINE))
     invalid = ~F.is_valid_utf8("value") if _is_utf8(encoding) else F.lit(False)
     is_open = F.col("value").contains('"') & F.col("value").rlike(OPEN_FROM_OUTSIDE)
-    head = F.when(F.col("block") == 0, F.col("pos"))
-    per_file = lines.groupBy("file", "size").agg(
-        F.min_by(F.xxhash64("value"), head).alias("hash_a"),
-        F.min_by(F.xxhash64(F.reverse("value")), head).alias("hash_b"),
-        F.min_by(is_open, head).alias("open_header"),
-        F.bool_or(is_open).alias("joined"),
-        F.bool_or(invalid).alias("invalid"),
+    lines = lines.select(
+        "file",
+        "block",
+        is_open.alias("open"),
+        invalid.alias("invalid"),
+        # headers are looked for at the start of files only
+        F.when(F.col("block") == 0, F.col("value").cast("binary")).alias("text"),
     )
-    # A header that runs over several lines is known only by its file.
-    own_header = F.when(F.col("open_header"), F.col("file"))
+    per_file = _parts(lines, encoding).groupBy("file").agg(
+        F.bool_or("joined").alias("joined"), F.bool_or("invalid").alias("invalid"), F.max("header").alias("header")
+    )
+    # A header that no task has seen whole is known only by its file.
+    own_header = F.when(F.col("header").isNull(), F.col("file"))
     grouped = (
-        per_file.groupBy("hash_a", "hash_b", "joined", own_header)
+        per_file.groupBy("header", "joined", own_header)
         .agg(
             F.sort_array(F.collect_list("file")).alias("files"),
             F.min(F.when(F.col("invalid"), F.col("file"))).alias("invalid"),
@@ -151,11 +215,16 @@ def _groups(
     wrong = min((row.invalid for row in grouped if row.invalid), default=None)
     if wrong:
         raise InputError(f"{wrong} is not {encoding}; give the encoding of the file")
-    groups = []
-    for row in sorted(grouped, key=lambda row: row.files[0]):
-        header = _header_record(spark, literal_path(row.files[0]), encoding)
-        groups.append(_Group(header, [literal_path(f) for f in row.files], row.joined))
-    return groups
+    found: dict[tuple, list[str]] = {}
+    for row in grouped:
+        path = literal_path(row.files[0])
+        if row.header is None:
+            header = _header_record(spark, path, encoding)
+        else:
+            header = _parsed_header(row.header.split("\n"), path)
+        found.setdefault((tuple(header), row.joined), []).extend(row.files)
+    groups = [_Group(list(header), sorted(files), joined) for (header, joined), files in found.items()]
+    return sorted(groups, key=lambda group: group.files[0])
 
 
 def _schema(width: int) -> T.StructType:
@@ -179,21 +248,24 @@ def _options(width: int) -> dict[str, str]:
     }
 
 
-def too_long(record: Column, width: int) -> Column:
+def too_long(record: Column, width: int | Column) -> Column:
     """The record, if it has more than ``width`` fields, whatever these hold; else null.
 
     A record with ``width`` complete fields that each end in a comma has one more.
     """
     commas = F.length(record) - F.length(F.replace(record, F.lit(","), F.lit("")))
-    return F.when((commas >= width) & record.rlike(rf"(?s)^(?:{_FIELD},){{{width}}}"), record)
+    if isinstance(width, int):
+        pattern = F.lit(rf"(?s)^(?:{_FIELD},){{{width}}}")
+    else:
+        pattern = F.concat(F.lit(rf"(?s)^(?:{_FIELD},){{"), width.cast("string"), F.lit("}"))
+    return F.when((commas >= width) & F.rlike(record, pattern), record)
 
 
-def _read_split(spark: SparkSession, group: _Group, encoding: str) -> DataFrame:
-    width = len(group.header)
+def _read_split(spark: SparkSession, paths: list[str], width: int, encoding: str) -> DataFrame:
+    """Fields ``f0`` to ``f<width - 1>``, the record where it has another number of fields, and the file."""
     reader = spark.read.schema(_schema(width)).option("encoding", encoding)
-    frame = reader.options(header="true", **_options(width)).csv(group.paths)
-    # the reader does not give the record alone, so a cell goes with it
-    return frame.withColumn(RECORD, F.concat(too_long(F.col(RECORD), width), F.coalesce("f0", F.lit(""))))
+    frame = reader.options(header="true", **_options(width)).csv(paths)
+    return frame.withColumn("file", F.col("_metadata.file_path"))
 
 
 def _changes(line: str) -> tuple[int, int]:
@@ -245,6 +317,7 @@ def _splits(lines: DataFrame, encoding: str) -> tuple[set[tuple[str, int]], str
 # What a task makes of its lines: whole records, and pieces of those that cross the edge of a split.
 _WHOLE, _END, _START, _MIDDLE, _HEADER_START = range(5)
 _PIECES = "file string, block bigint, kind int, record string"
+_RECORDS = "file string, record string"
 
 
 def _pieces(lines: DataFrame, inside: set[tuple[str, int]], encoding: str) -> DataFrame:
@@ -316,33 +389,73 @@ def _crossing(pieces: DataFrame) -> DataFrame:
             F.bool_or(F.col("kind") == _HEADER_START).alias("is_header"),
         )
         .where(~F.col("is_header"))
-        .select(F.array_join("parts.record", "\n").alias("record"))
+        .select("file", F.array_join("parts.record", "\n").alias("record"))
     )
 
 
-def _read_joined(spark: SparkSession, group: _Group, folder: str, encoding: str) -> DataFrame:
-    """Records of files with line ends in quotes.
+def _read_joined(spark: SparkSession, paths: list[str], width: int, folder: str, encoding: str) -> DataFrame:
+    """As ``_read_split``, for files with line ends in quotes.
 
     Every task puts together the records of its splits; only pieces that cross
     the edge of a split are shuffled, and kept in the shared folder. A quote
     left open would make one record of the rest of its file, so it is refused.
     """
-    lines = _lines(spark, group.paths, line_end="\n")
+    lines = _lines(spark, paths, line_end="\n")
     lines = lines.select(F.col("value").cast("binary").alias("line"), "file", "block")
     inside, open_file = _splits(lines, encoding)
     if open_file is not None:
         raise InputError(f"a quoted field does not end before the end of {open_file}")
     pieces = _pieces(lines, inside, encoding)
-    every = pieces.where(F.col("kind") == _WHOLE).select("record")
+    every = pieces.where(F.col("kind") == _WHOLE).select("file", "record")
     if inside:
         _crossing(pieces.where(F.col("kind") != _WHOLE)).write.parquet(folder)
-        every = every.unionAll(spark.read.schema("record string").parquet(folder))
-    width = len(group.header)
+        every = every.unionAll(spark.read.schema(_RECORDS).parquet(folder))
     # with multiLine the parser leaves line ends in quotes as they are
     options = {**_options(width), "multiLine": "true"}
     fields = F.from_csv("record", _schema(width).simpleString(), options)
-    parsed = every.select("record", fields.alias("fields")).select("record", "fields.*")
-    return parsed.withColumn(RECORD, too_long(F.col("record"), width)).drop("record")
+    parsed = every.select("file", "record", fields.alias("fields")).select("file", "record", "fields.*")
+    return parsed.withColumn(RECORD, F.col("record")).drop("record")
+
+
+def _cells(frame: DataFrame, header: list[str], names: list[str], joined: bool) -> DataFrame:
+    """Cells by table column, for files of one header, which names its places in the plan."""
+    place = {name: i for i, name in enumerate(header)}
+    null = F.lit(None).cast("string")
+    cells = [
+        (missing_to_null(f"f{place[name]}") if name in place else null).alias(f"c{k}") for k, name in enumerate(names)
+    ]
+    return frame.select(*cells, _overflow(F.lit(len(header)), len(header), joined))
+
+
+def _overflow(width: Column, literal: int | None, joined: bool) -> Column:
+    record = too_long(F.col(RECORD), width if literal is None else literal)
+    # the splitting reader does not give the record alone, so a cell goes with it
+    return (record if joined else F.concat(record, F.coalesce("f0", F.lit("")))).alias("overflow")
+
+
+def _cells_by_file(
+    frame: DataFrame, groups: list[_Group], headers: list[list[str]], names: list[str], joined: bool
+) -> DataFrame:
+    """Cells by table column, for files of many headers: one plan, whatever their number.
+
+    A header's places say in which field of its files each table column is. Files
+    find their header, and so its places and width, by two joins.
+    """
+    spark = frame.sparkSession
+    width = max(len(header) for header in headers)
+    positions = [{name: i for i, name in enumerate(header)} for header in headers]
+    places = [(h, len(headers[h]), [p.get(name, -1) for name in names]) for h, p in enumerate(positions)]
+    of_file = [(file, h) for h, group in enumerate(groups) for file in group.files]
+    known = spark.createDataFrame(places, "header int, width int, places array<int>")
+    files = spark.createDataFrame(of_file, "file string, header int")
+    known = F.broadcast(known) if len(places) * len(names) <= SENT_PLACES else known
+    files = F.broadcast(files) if len(of_file) <= SENT_FILES else files
+    fields = F.array(*[F.col(f"f{i}") for i in range(width)]).alias("fields")
+    found = frame.join(files, "file").join(known, "header")
+    found = found.select(fields, "places", _overflow(F.col("width"), None, joined))
+    # no field has place -1, and a field that a short row lacks is null
+    moved = found.select(*[F.get("fields", F.get("places", F.lit(k))).alias(f"c{k}") for k in range(len(names))], "overflow")
+    return moved.select(*[missing_to_null(f"c{k}").alias(f"c{k}") for k in range(len(names))], "overflow")
 
 
 def scan_csv_text(
@@ -363,24 +476,29 @@ def scan_csv_text(
     groups = _groups(spark, as_list(paths), by_suffix, encoding)
     headers = [naming(group.header) for group in groups]
     names = list(dict.fromkeys(name for header in headers for name in header))
-    frames, stored = [], []
-    for group, header in zip(groups, headers):
-        place = {name: i for i, name in enumerate(header)}
-        if group.joined:
-            stored.append(shared_folder(spark, "csv-records"))
-            try:
-                frame = _read_joined(spark, group, stored[-1], encoding)
-            except BaseException:
-                remove_folders(spark, stored)
-                raise
-        else:
-            frame = _read_split(spark, group, encoding)
-        null = F.lit(None).cast("string")
-        cells = [
-            (missing_to_null(f"f{place[name]}") if name in place else null).alias(f"c{k}")
-            for k, name in enumerate(names)
-        ]
-        frames.append(frame.select(*cells, F.col(RECORD).alias("overflow")))
+    frames: list[DataFrame] = []
+    stored: list[str] = []
+
+    def read(files: list[str], width: int, joined: bool) -> DataFrame:
+        if not joined:
+            return _read_split(spark, files, width, encoding)
+        stored.append(shared_folder(spark, "csv-records"))
+        return _read_joined(spark, files, width, stored[-1], encoding)
+
+    try:
+        for joined in (False, True):
+            chosen = [k for k, group in enumerate(groups) if group.joined == joined]
+            if len(chosen) <= (1 if joined else BRANCHES):
+                for k in chosen:
+                    frame = read(groups[k].paths, len(headers[k]), joined)
+                    frames.append(_cells(frame, headers[k], names, joined))
+                continue
+            some, of_some = [groups[k] for k in chosen], [headers[k] for k in chosen]
+            frame = read([path for group in some for path in group.paths], max(map(len, of_some)), joined)
+            frames.append(_cells_by_file(frame, some, of_some, names, joined))
+    except BaseException:
+        remove_folders(spark, stored)
+        raise
     return RawTable(
         frame=reduce(DataFrame.unionAll, frames),
         names=names,

@@ -273,3 +273,54 @@ def test_line_ends_in_quotes_are_kept(spark, tmp_path, rows):
     path = tmp_path / "ends.csv"
     path.write_bytes(b'a,b\r\n1,"x\r\ny"\r\n\r\n2,"p\nq"\r\n3,z\r\n')
     assert rows(scan_csv(spark, str(path))) == [(1, "x\r\ny"), (2, "p\nq"), (3, "z")]
+
+
+def _many_headers(tmp_path, count, quoted):
+    """Files of different headers, orders and widths, and the rows they hold under table names."""
+    chance, want = random.Random(count), []
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(count):
+        columns = chance.sample(["a", "b", "c.d", f"own {k % 5}"], chance.randrange(1, 5))
+        if "a" not in columns:
+            columns.append("a")
+        spelled = [" " * (k // 4) + name.upper() if k % 2 else name + "." * k for name in columns]
+        if quoted and k % 3 == 0:
+            spelled[0] += "\n"
+        lines = [",".join(f'"{name}"' for name in spelled)]
+        for row in range(3):
+            cells = {name: f"{k}-{row}-{name}" + (" x,\ny" if quoted and row == 1 else "") for name in columns}
+            cells = {name: cell for name, cell in cells.items() if row < 2 or len(columns) == 1 or name != columns[-1]}
+            lines.append(",".join(f'"{cell}"' if "," in cell else cell for cell in cells.values()))
+            want.append({name.upper().replace(".", "_").replace(" ", "_"): cell for name, cell in cells.items()})
+        (folder / f"{k}.csv").write_text("\n\n".join(lines) + "\n")
+    return str(folder), want
+
+
+@pytest.mark.parametrize("quoted", [False, True])
+def test_many_headers_are_one_plan(spark, tmp_path, small_splits, monkeypatch, quoted):
+    folder, want = _many_headers(tmp_path, 40, quoted)
+    monkeypatch.setattr(csv_source, "_header_record", None)  # no job for a header
+    frame = prepare(spark, folder).frame
+    found = [{name: cell for name, cell in row.asDict().items() if cell is not None} for row in frame.collect()]
+    assert sorted(map(repr, map(sorted, map(dict.items, found)))) == sorted(map(repr, map(sorted, map(dict.items, want))))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= 3  # one scan for each way of reading, whatever the number of headers
+    monkeypatch.undo()
+    small_splits(7)  # headers that run over splits, as all else
+    raw = scan_csv_text(spark, folder)
+    assert raw.frame.where("overflow IS NULL").count() == len(want)
+
+
+def test_too_many_fields_under_many_headers(spark, tmp_path):
+    folder, _ = _many_headers(tmp_path, 12, False)
+    (tmp_path / "many" / "odd.csv").write_text("a,zz\n1,2,\n")
+    with pytest.raises(InputError, match="more fields"):
+        prepare(spark, folder)
+
+
+def test_many_headers_without_broadcast(spark, tmp_path, monkeypatch):
+    folder, want = _many_headers(tmp_path, 12, False)
+    monkeypatch.setattr(csv_source, "SENT_FILES", 0)
+    monkeypatch.setattr(csv_source, "SENT_PLACES", 0)
+    assert prepare(spark, folder).n_rows == len(want)
