@@ -2,8 +2,8 @@
 
 Only terms in at least ``MIN_DOCS`` documents of a language count. They are found
 by prefix refinement: a document that holds a term holds each of its prefixes,
-so a prefix in too few documents has no kept term below it. Prefixes of 4, 8,
-16, ... bytes are counted level by level, by distinct documents; a level only
+so a prefix in too few documents has no kept term below it. Prefixes of 8, 16,
+32, ... bytes are counted level by level, by distinct documents; a level only
 extends prefixes that the level before kept, and terms that end within its
 length are counted themselves, by source. It ends when no longer prefix is left.
 
@@ -11,8 +11,8 @@ Tasks count their documents in bounded tables and give partial counts, so a
 frequent term is one row a table flush and no hot key. The kept prefixes go to
 the tasks as a set of bits of bounded size (``common.FILTER_BITS``): it may let
 a dead prefix pass, whose extensions then fail by their own counts, so results
-do not depend on it. The first three levels read the texts; deeper ones only
-the few documents that still have open terms, stored once.
+do not depend on it. The first level reads the texts; then the longer terms of
+each document below a kept prefix are stored once, and deeper levels read these.
 
 A row is a document, also if its id repeats. Null texts, languages and sources
 count as empty; a group without a kept term still gets its rows.
@@ -32,22 +32,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lakeload.llm.common import bit_set, stored
+from lakeload.llm.common import ROWS, bit_set, small, stored
 
 #: Documents of a language that a kept term must be in.
 MIN_DOCS = 3
 #: Ranks of the terms that speak most for a source.
 TOP_TERMS = 200
-#: Bytes of the first prefixes; every level doubles them. Levels up to ``FROM_TEXTS`` read the texts.
-FIRST, FROM_TEXTS = 4, 16
+#: Bytes of the first prefixes; every level doubles them.
+FIRST = 8
 #: Keys that a task counts, or remembers, before it hands them on or forgets them.
-KEYS = 250_000
+KEYS = 400_000
 #: Groups (of language and source) that are sent to all tasks; more are joined by a shuffle.
 GROUPS = 20_000
 
 _SCALE = 1_000_000_000
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_ROWS = 500
 _COUNTS = pa.schema(
     [("lang", pa.string()), ("source", pa.string()), ("key", pa.binary()), ("whole", pa.bool_()),
      ("docs", pa.int64()), ("n", pa.int64())]
@@ -60,9 +59,9 @@ _OPEN_DDL = "lang string, source string, terms array<binary>, ns array<bigint>"
 
 
 class _Alive:
-    """The kept prefixes of ``length`` bytes, as bits; the first level has none before it."""
+    """The kept prefixes of ``length`` bytes, as bits."""
 
-    def __init__(self, length: int = 0, table: object = None, bits: int = 0) -> None:
+    def __init__(self, length: int, table: object, bits: int) -> None:
         self.length, self.table, self.bits = length, table, bits
 
     def seed(self, lang: str) -> int:
@@ -73,21 +72,11 @@ class _Alive:
         return bool(int(self.table.value[spot >> 6]) >> (spot & 63) & 1)
 
 
-def _from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, dict[bytes, int]]]:
-    """Language, source and terms of each document; bytes lower-case A to Z only."""
-    for batch in batches:
-        for first in range(0, batch.num_rows, _ROWS):
-            rows = batch.slice(first, _ROWS)
-            for lang, source, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                yield lang, source, Counter(_TERM.findall(text.encode("utf-8", "surrogatepass").lower()))
-
-
-def _from_open(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, dict[bytes, int]]]:
-    for batch in batches:
-        for first in range(0, batch.num_rows, _ROWS):
-            rows = batch.slice(first, _ROWS)
-            for lang, source, terms, ns in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                yield lang, source, dict(zip(terms, ns, strict=True))
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, list[bytes]]]:
+    """Language, source and terms in order of each document; bytes lower-case A to Z only."""
+    for batch in small(batches):
+        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield lang, source, _TERM.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
 class _Keys(dict):
@@ -99,7 +88,7 @@ class _Keys(dict):
 
     def __missing__(self, term: bytes) -> bytes | None:
         before, key = self.alive.length, term[: self.length]
-        if before and (len(term) <= before or not self.alive.has(term[:before], self.seed)):
+        if len(term) <= before or not self.alive.has(term[:before], self.seed):
             key = None
         if len(self) >= KEYS:
             self.clear()
@@ -107,8 +96,49 @@ class _Keys(dict):
         return key
 
 
-def _level(docs: DataFrame, from_texts: bool, length: int, alive: _Alive) -> DataFrame:
-    """Documents and occurrences by term (up to ``length`` bytes), documents by prefix (of longer terms)."""
+def _first_level(docs: DataFrame, length: int) -> DataFrame:
+    """Counts of terms of up to ``length`` bytes, by source, and of prefixes of longer ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times: dict[tuple[str, str], Counter] = {}
+        docs: dict[tuple[str, str], Counter] = {}
+        prefixes: dict[str, Counter] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for group, found in times.items():
+                held = docs[group]
+                yield _counts(*group, list(found), [held[key] for key in found], list(found.values()))
+            for lang, found in prefixes.items():
+                yield _counts(lang, None, list(found), list(found.values()), [0] * len(found))
+            for tables in (times, docs, prefixes):
+                tables.clear()
+
+        counted = 0
+        for lang, source, words in _texts(batches):
+            if (lang, source) not in times:
+                times[lang, source], docs[lang, source] = Counter(), Counter()
+                counted += 1
+            own, opened = times[lang, source], prefixes.setdefault(lang, Counter())
+            counted -= len(own) + len(opened)
+            short = [word for word in words if len(word) <= length]
+            own.update(short)
+            docs[lang, source].update(set(short))
+            opened.update({word[:length] for word in words if len(word) > length})
+            counted += len(own) + len(opened)
+            if counted >= KEYS:
+                yield from flush()
+                counted = 0
+        yield from flush()
+
+    return _summed(docs.mapInArrow(run, _COUNTS_DDL))
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("lang", "source", "key", "whole").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+
+
+def _next_level(open_docs: DataFrame, length: int, alive: _Alive) -> DataFrame:
+    """The same for documents of open terms, below the prefixes that are alive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: dict[str, _Keys] = {}
@@ -125,35 +155,37 @@ def _level(docs: DataFrame, from_texts: bool, length: int, alive: _Alive) -> Dat
             terms.clear()
             prefixes.clear()
 
-        for lang, source, words in (_from_texts if from_texts else _from_open)(batches):
-            if lang not in keys:
-                if len(keys) > 64:
-                    keys.clear()
-                keys[lang] = _Keys(lang, length, alive)
-            key_of = keys[lang]
-            own = terms.setdefault((lang, source), {})
-            size, opened = len(own), set()
-            for word, n in words.items():
-                key = key_of[word]
-                if key is None:
-                    continue
-                if len(word) > length:
-                    opened.add(key)
-                else:
-                    own[word] = own.get(word, 0) + (n << 32) + 1
-            counted += len(own) - size
-            if opened:
-                found = prefixes.setdefault(lang, Counter())
-                size = len(found)
+        for batch in small(batches):
+            for lang, source, words, ns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key_of = _keys_of(keys, lang, length, alive)
+                own, found = terms.setdefault((lang, source), {}), prefixes.setdefault(lang, Counter())
+                counted -= len(own) + len(found)
+                opened = set()
+                for word, n in zip(words, ns, strict=True):
+                    key = key_of[word]
+                    if key is None:
+                        continue
+                    if len(word) > length:
+                        opened.add(key)
+                    else:
+                        own[word] = own.get(word, 0) + (n << 32) + 1
                 found.update(opened)
-                counted += len(found) - size
+                counted += len(own) + len(found)
             if counted + len(terms) >= KEYS:
                 yield from flush()
                 counted = 0
         yield from flush()
 
-    parts = docs.mapInArrow(run, _COUNTS_DDL)
-    return parts.groupBy("lang", "source", "key", "whole").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    return _summed(open_docs.mapInArrow(run, _COUNTS_DDL))
+
+
+def _keys_of(keys: dict[str, _Keys], lang: str, length: int, alive: _Alive) -> _Keys:
+    """What is remembered for a language; of many languages the earlier ones are forgotten."""
+    if lang not in keys:
+        if len(keys) >= 16:
+            keys.clear()
+        keys[lang] = _Keys(lang, length, alive)
+    return keys[lang]
 
 
 _LOW = (1 << 32) - 1
@@ -171,19 +203,20 @@ def _open_documents(docs: DataFrame, alive: _Alive) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: dict[str, _Keys] = {}
         out: list[tuple] = []
-        for lang, source, words in _from_texts(batches):
-            if lang not in keys:
-                if len(keys) > 64:
-                    keys.clear()
-                keys[lang] = _Keys(lang, alive.length, alive)
-            going = [w for w in words if keys[lang][w] is not None]
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [[]] * len(_OPEN)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OPEN)], schema=_OPEN)
+
+        for lang, source, words in _texts(batches):
+            key_of = _keys_of(keys, lang, alive.length, alive)
+            going = Counter([word for word in words if len(word) > alive.length and key_of[word] is not None])
             if going:
-                out.append((lang, source, going, [words[w] for w in going]))
-            if len(out) >= _ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _OPEN)], schema=_OPEN)
-                out.clear()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _OPEN)], schema=_OPEN)
+                out.append((lang, source, [*going], [*going.values()]))
+            if len(out) >= ROWS:
+                yield batch_of()
+        yield batch_of()
 
     return docs.mapInArrow(run, _OPEN_DDL)
 
@@ -195,18 +228,20 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("lang", "source", "text")
-    rows, from_texts, length, alive, levels = docs, True, FIRST, _Alive(), []
+    length, levels = FIRST, []
+    level = _first_level(docs, length)
     while True:
-        level = stored(_level(rows, from_texts, length, alive), f"terms-{length}")
+        level = stored(level, f"terms-{length}")
         levels.append(level.where("whole"))
         going = level.where(~F.col("whole") & (F.col("docs") >= min_docs))
         table, bits, size = bit_set(going.select(F.xxhash64("lang", "key")))
         if not size:
             break
         alive = _Alive(length, spark.sparkContext.broadcast(table), bits)
-        if from_texts and length >= FROM_TEXTS:
-            rows, from_texts = stored(_open_documents(docs, alive), "open-terms"), False
+        if length == FIRST:
+            open_docs = stored(_open_documents(docs, alive), "open-terms")
         length *= 2
+        level = _next_level(open_docs, length, alive)
     whole = reduce(DataFrame.unionAll, levels)
     kept = whole.groupBy("lang", "key").agg(F.sum("docs").alias("all"), F.sum("n").alias("lang_n"))
     kept = kept.where(F.col("all") >= min_docs).drop("all")
