@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakeload.llm.common import extended
+from lakeload.llm.common import extended, small
 from lakeload.llm.common import free_name as _free
 from lakeload.llm.splitting import library_class, splitter
 
@@ -175,6 +175,10 @@ class _Memo(dict):
         self.vocabulary, self.make = vocabulary, make
         self.older: dict[str, object] = {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def __missing__(self, piece: str) -> object:
         made = self.older.get(piece)
         if made is None:
@@ -196,17 +200,6 @@ def load_vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(ranks, pattern)
 
 
-#: Rows that are held as Python objects at a time.
-ROWS = 500
-
-
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``ROWS``."""
-    for batch in batches:
-        for start in range(0, max(1, batch.num_rows), ROWS):
-            yield batch.slice(start, ROWS)
-
-
 def encode_table(
     docs: DataFrame, path: str, pattern: str, text: str = "text", check: bool = False
 ) -> DataFrame:
@@ -218,7 +211,7 @@ def encode_table(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load_vocabulary(path, pattern)
-        for batch in _small(batches):
+        for batch in small(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             ids_of = vocabulary.packed.__getitem__
             rows = [np.frombuffer(b"".join(map(ids_of, vocabulary.split(value or ""))), np.int32) for value in texts]
@@ -231,6 +224,8 @@ def encode_table(
                 same = [vocabulary.decode(row.tolist()) == (value or "").encode("utf-8") for row, value in pairs]
                 added.append(pa.array(same, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
+        # the worker goes on to tasks of other operators
+        vocabulary.packed.forget()
 
     names = [_free(name, docs.columns) for name in ("ids", "round_trip")[: 1 + check]]
     schema = extended(docs.schema, **dict(zip(names, ("array<int>", "boolean")[: 1 + check], strict=True)))
@@ -242,7 +237,7 @@ def decode_table(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load_vocabulary(path, pattern)
-        for batch in _small(batches):
+        for batch in small(batches):
             rows = batch.column(batch.schema.get_field_index(ids))
             decoded = (vocabulary.decode(row.values.to_pylist() if row.is_valid else []) for row in rows)
             data = pa.array(list(decoded), pa.binary())
@@ -263,7 +258,7 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load_vocabulary(path, pattern)
         of_piece = vocabulary.written.__getitem__
-        for batch in _small(batches):
+        for batch in small(batches):
             counts, encoded, decoded = [], [], []
             for value in batch.column(1).to_pylist():
                 parts = list(map(of_piece, vocabulary.split(value or "")))

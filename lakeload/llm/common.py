@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +94,17 @@ def key_filter(keys: DataFrame) -> Callable[[Column], Column]:
     return lambda key: found(F.shiftrightunsigned(F.xxhash64(key), 64 - bits))
 
 
+#: Rows that a task holds as Python objects at a time.
+ROWS = 500
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for start in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(start, rows)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -123,7 +135,7 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 class WordHashes(dict):
     """64-bit hash of a word, remembered for up to ``limit`` words."""
 
-    limit = 400_000
+    limit = 150_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:

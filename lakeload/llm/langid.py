@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeload.llm.common import extended
+from lakeload.llm.common import extended, small
 from lakeload.llm.common import free_name as _free
 
 #: About so many labelled rows of each language are learned from, chosen by a hash of id and text.
@@ -176,10 +176,12 @@ def _sampled(docs: DataFrame, per_language: int) -> list[tuple[str, np.ndarray,
         *(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(steps * min(1.0, per_language / n))))
     )
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps))
-    chosen = known.where(F.col("text").isNotNull() & (place < limits[F.col("lang")])).select("lang", "text")
+    chosen = known.where(F.col("text").isNotNull() & (place < limits[F.col("lang")]))
+    # repeated rows share their hash: one of them counts, so that a much repeated row is one row of the sample
+    chosen = chosen.dropDuplicates(["doc_id", "text", "lang"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             langs, ids, shares = [], [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = _bytes_of(text)
@@ -215,7 +217,7 @@ def predict_table(docs: DataFrame, model: Model, margin: float = MARGIN) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             langs, score, close = model.predict(texts, margin)
             added = [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())]

@@ -31,9 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from lakeload.llm.common import WordHashes, ascii_words, chain, key_filter, mix, ngrams, row_key, stored
+from lakeload.llm.common import WordHashes, ascii_words, chain, key_filter, mix, ngrams, row_key, small, stored
 from lakeload.llm.components import components
 
 WORDS = 5
@@ -103,7 +102,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             nodes, sizes, found = [], [], []
             for text in batch.column(2).to_pylist():
                 grams = ngram_set(text, words, hashes)
@@ -214,7 +213,7 @@ def _verified(docs: DataFrame, tasks: DataFrame, words: int, similarity: float)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             nodes, grams = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = ngram_set(text, words, hashes)
@@ -307,7 +306,8 @@ def one_per_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-1)), "__hash": F.xxhash64("text")})
     keyed = keyed.withColumn("__maybe", passes(row_key(F.col("__id"), F.col("__hash"))))
     joined = keyed.where("__maybe").join(linked, ["__id", "__hash"], "left")
-    order = Window.partitionBy("__id", "__hash").orderBy(F.lit(0))
-    ranked = joined.withColumn("__place", F.row_number().over(order))
-    kept = ranked.where("__keeps IS NULL OR (__keeps AND __place = 1)")
+    # rows without a class keep a number of their own, repeated rows of a representative have none
+    own = F.when(F.col("__keeps").isNull(), F.monotonically_increasing_id()).otherwise(-1)
+    kept = joined.where("__keeps IS NULL OR __keeps").withColumn("__own", own)
+    kept = kept.dropDuplicates(["__id", "__hash", "__own"])
     return keyed.where("NOT __maybe").select(*docs.columns).unionByName(kept.select(*docs.columns))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeload.llm.common import extended, free_name
+from lakeload.llm.common import extended, free_name, small
 
 KINDS = ("email", "ip", "card", "phone")
 #: About so many documents are learned from, chosen by a hash of id and text.
@@ -291,9 +291,11 @@ def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> Model:
     count = docs.count()
     limit = int(steps * min(1.0, documents / max(1, count)))
     some = some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)) < limit)
+    # repeated rows share their hash: one of them counts, so that a much repeated row is one row of the sample
+    some = some.dropDuplicates(["doc_id", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = [r for text in batch.column(1).to_pylist() for r in labelled_runs(text, base_spans(text))]
             features = pa.array([sum(f, []) for f, _ in rows], pa.list_(pa.int32()))
             labels = pa.array([y for _, y in rows], pa.list_(pa.int32()))
@@ -379,7 +381,7 @@ def span_table(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = find_spans(batch.column(1).to_pylist(), shared.value)
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in range(4)]
             digests = [hashlib.sha256(spans_text(base).encode()).hexdigest() for base, _ in rows]
@@ -401,7 +403,7 @@ def redact_table(docs: DataFrame, model: Model) -> DataFrame:
     out = free_name("redacted", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found = find_spans(texts, shared.value)
             clean = [

@@ -23,7 +23,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakeload.llm.common import extended, free_name
+from lakeload.llm.common import extended, free_name, small
 from lakeload.llm.splitting import splitter, library_class
 
 # Fixed value: the split of byte-level tokenizers that use their built-in pattern.
@@ -32,8 +32,6 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: Counts of pre-tokens of up to so many characters are remembered, so many in each of two generations.
 MEMO_CHARS = 40
 MEMO_SIZE = 250_000
-#: Rows that are held as Python objects at a time.
-ROWS = 500
 
 _POSITION = 40  # bits of a heap entry that hold the position
 _SYMBOL = 24  # bits of a pair that hold its second symbol
@@ -168,12 +166,10 @@ def count_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load_counter(path)
-        for batch in batches:
-            for first in range(0, max(1, batch.num_rows), ROWS):
-                rows = batch.slice(first, ROWS)
-                texts = [value or "" for value in rows.column(place).to_pylist()]
-                sizes = [len(t) if t.isascii() else len(t.encode("utf-8")) for t in texts]
-                counts = [pa.array(sizes, pa.int64()), pa.array(map(counter.count, texts), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *counts], [*rows.schema.names, *names])
+        for rows in small(batches):
+            texts = [value or "" for value in rows.column(place).to_pylist()]
+            sizes = [len(t) if t.isascii() else len(t.encode("utf-8")) for t in texts]
+            counts = [pa.array(sizes, pa.int64()), pa.array(map(counter.count, texts), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *counts], [*rows.schema.names, *names])
 
     return docs.mapInArrow(run, extended(docs.schema, **dict.fromkeys(names, "bigint")))
