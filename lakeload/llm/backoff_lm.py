@@ -89,7 +89,8 @@ def score_block(
     block: Block, totals: list[np.ndarray], tokens: int, types: int, concentration: float
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Known tokens, base score and model score of every document of the block."""
-    count = [t.astype(np.float64)[a] for t, a in zip(totals, block.at, strict=True)]
+    # a block may have no n-gram of an order at all
+    count = [t.astype(np.float64)[a] if len(t) else np.zeros(len(a)) for t, a in zip(totals, block.at, strict=True)]
     for c, a in zip(count, block.at, strict=True):
         c[a < 0] = 0
     word = np.flatnonzero(block.place >= 1)
