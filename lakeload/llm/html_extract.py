@@ -4,13 +4,18 @@
    block element outside the text of the article gives a hash of its subtree:
    tag, class, id, text and the hashes of its children.
 2. Spark counts, per host, the different articles whose pages hold a subtree. An
-   article counts once, so that one published on many pages stays whole.
+   article counts once, so that one published on many pages stays whole. Only
+   hashes are shuffled: a list of templates of up to ``SENT_TEMPLATES`` goes to the
+   tasks, which read the pages again where they lie; a longer one is joined.
 3. Subtrees that recur with ``MIN_PAGES`` or more different articles of their
    host, however many it has, are deleted, and so are elements that are never
    part of an article (menus, headers, footers, forms, scripts, comments, ...).
    What is left of the article (``article``, else ``main``, else ``body``) is
    the text.
 
+Names (class, id) tell furniture anywhere outside the article. Inside, where a
+slug may hold any word, they only do for containers: by a class with such a
+word, or by an id, or the class of a section, of nothing but such words.
 Paragraphs and headings of the article are never counted: a site may quote
 itself. Blocks are joined by one line end; inside a block white space is one
 space, character references are decoded. A null page has an empty text. Rows
@@ -24,14 +29,17 @@ import html as html_lib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeload.llm.common import key_filter, stored
+from lakeload.llm.common import key_filter, small, stored
 
 MIN_PAGES = 10
+#: Templates (of all hosts) that are sent to all tasks, as 8 bytes each.
+SENT_TEMPLATES = 4_000_000
 
 # Element names of the HTML standard by their role, and words that name page furniture.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,6 +73,8 @@ _CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 _WHOLE = frozenset("html body main article".split())
+# Elements of an article that may hold something else than its text.
+_CONTAINERS = frozenset("div ul ol dl table section".split())
 _SCOPE = frozenset("article section div body td th li blockquote main aside nav header footer form button table".split())
 
 _TOKEN = re.compile(
@@ -78,10 +88,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "drop")
+    __slots__ = ("tag", "names", "children", "drop", "inner")
 
-    def __init__(self, tag: str, names: str = "", drop: bool = False) -> None:
-        self.tag, self.names, self.drop = tag, names, drop
+    def __init__(self, tag: str, names: str = "", drop: bool = False, inner: bool = False) -> None:
+        # drop: never main text, seen from outside the article; inner: nor inside of it
+        self.tag, self.names, self.drop, self.inner = tag, names, drop, inner
         self.children: list[Node | str] = []
 
 
@@ -106,9 +117,10 @@ def parse(page: str) -> Node:
             continue
         _close_implied(stack, tag)
         attributes = match.group(3)
-        names, drop = _read_attributes(attributes) if attributes else ("", False)
+        names, named, inner = _read_attributes(attributes, tag) if attributes else ("", False, False)
         # the class of a whole page or article often tells of its furniture
-        node = Node(tag, names, drop and tag not in _WHOLE or tag in _NEVER)
+        whole, never = tag in _WHOLE, tag in _NEVER
+        node = Node(tag, names, named and not whole or never, inner and not whole or never)
         stack[-1].children.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -147,20 +159,24 @@ def _close_implied(stack: list[Node], tag: str) -> None:
                 return
 
 
-def _read_attributes(attributes: str) -> tuple[str, bool]:
-    """Class and id as text, and whether the element is page furniture or hidden."""
-    names, drop = [], False
+def _read_attributes(attributes: str, tag: str) -> tuple[str, bool, bool]:
+    """Class and id as text; whether the element is page furniture or hidden, and whether inside an article."""
+    names, drop, inner = [], False, False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            drop = True
+            drop = inner = True
         elif key == "role":
             drop |= value.lower() in _ROLES
+            inner |= value.lower() in _ROLES
         elif key in ("class", "id"):
             names.append(value)
-            parts = _NAME_PART.findall(_CAMEL.sub(" ", value).lower())
-            drop |= not _FURNITURE.isdisjoint(parts)
-    return " ".join(names), drop
+            parts = [part for part in _NAME_PART.findall(_CAMEL.sub(" ", value).lower()) if not part.isdigit()]
+            hits = [part in _FURNITURE for part in parts]
+            drop |= any(hits)
+            if tag in _CONTAINERS and any(hits):
+                inner |= all(hits) or key == "class" and tag != "section"
+    return " ".join(names), drop, inner
 
 
 def _main(root: Node) -> list[Node]:
@@ -246,10 +262,12 @@ def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
-    deleted: set[int] = set()
-    if templates:
-        hashes = subtree_hashes(root)
-        deleted = {id(n) for n in countable(root) if hashes[id(n)] in templates}
+    hashes = subtree_hashes(root) if templates else {}
+    return text_of_tree(root, {id(n) for n in countable(root) if hashes[id(n)] in templates} if templates else set())
+
+
+def text_of_tree(root: Node, deleted: set[int]) -> str:
+    """The text of a page that is parsed, without some of its elements."""
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -260,8 +278,10 @@ def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
             blocks.append(text)
         parts.clear()
 
-    for top in _main(root):
+    mains = _main(root)
+    for top in mains:
         close()
+        outside = top is root
         todo: list[Node | str | None] = [top]
         while todo:
             item = todo.pop()
@@ -269,7 +289,7 @@ def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
                 close()
             elif isinstance(item, str):
                 parts.append(html_lib.unescape(item) if "&" in item else item)
-            elif (item.drop and item is not top) or id(item) in deleted:
+            elif item is not top and (item.drop if outside else item.inner) or id(item) in deleted:
                 if item.tag in _BLOCK:
                     close()
             else:
@@ -292,12 +312,12 @@ def _keyed(pages: DataFrame) -> DataFrame:
     )
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, page, subtree): the subtrees to delete from each page."""
-    keyed = _keyed(pages).where(F.col("host").isNotNull() & F.col("html").isNotNull())
+def _subtrees(keyed: DataFrame) -> DataFrame:
+    """(host, page, article, subtree): the countable subtrees of each page with a host."""
+    keyed = keyed.where(F.col("host").isNotNull() & F.col("html").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             hosts, keys, articles, found = [], [], [], []
             for host, key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 root = parse(page)
@@ -314,43 +334,86 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
             )
 
     schema = "host string, page bigint, article bigint, subtree bigint"
+    return keyed.select("host", "page", "html").mapInArrow(run, schema)
+
+
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, subtree): the subtrees that recur with ``min_pages`` different articles of their host."""
     # distinct merges copies before and after the shuffle
-    seen = stored(keyed.select("host", "page", "html").mapInArrow(run, schema).distinct(), "subtrees")
-    different = seen.select("host", "article", "subtree").distinct()
-    common = different.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    return seen.select("host", "page", "subtree").join(common.select("host", "subtree"), ["host", "subtree"])
+    different = _subtrees(_keyed(pages)).select("host", "article", "subtree").distinct()
+    counts = different.groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    return stored(counts.where(F.col("n") >= min_pages).select("host", "subtree"), "templates")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Per row of ``pages``: page_id, url, text, n_chars, n_templates (subtrees deleted)."""
-    templates = site_templates(pages, min_pages)
-    per_page = templates.groupBy("host", "page").agg(F.collect_set("subtree").alias("subtrees"))  # of one page
-    per_page = stored(per_page, "templates")
+def _sent(templates: DataFrame) -> np.ndarray:
+    """One sorted number for each template, in the order of Spark's hash of host and subtree."""
+    numbers = templates.select(F.xxhash64("host", "subtree").alias("key")).toArrow()["key"].to_numpy()
+    return np.sort(numbers)
+
+
+def _key(host: str, subtree: int) -> int:
+    """Spark's hash of a text and a whole number, as a signed number."""
+    first = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), 42)
+    value = xxhash.xxh64_intdigest(subtree.to_bytes(8, "little", signed=True), first)
+    return value - 2**64 if value >= 2**63 else value
+
+
+def _with_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """Pages with the array of their ``subtrees`` to delete, where there are too many templates to send."""
+    keyed = _keyed(pages)
+    found = _subtrees(keyed).select("host", "page", "subtree").distinct().join(templates, ["host", "subtree"])
+    per_page = found.groupBy("host", "page").agg(F.collect_set("subtree").alias("subtrees"))  # of one page
+    per_page = stored(per_page, "page-templates")
     # pages that lose no subtree are not shuffled
     passes = key_filter(per_page.select(F.xxhash64("host", "page")))
-    keyed = _keyed(pages).withColumn("maybe", passes(F.xxhash64("host", "page")))
-    columns = ["page_id", "url", "html", "subtrees"]
+    keyed = keyed.withColumn("maybe", passes(F.xxhash64("host", "page")))
+    columns = ["page_id", "url", "host", "html", "subtrees"]
     whole = keyed.where("NOT maybe").withColumn("subtrees", F.lit(None).cast("array<bigint>"))
     joined = keyed.where("maybe").join(per_page, ["host", "page"], "left").select(*columns)
-    joined = whole.select(*columns).unionByName(joined)
+    return whole.select(*columns).unionByName(joined)
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """Per row of ``pages``: page_id, url, text, n_chars, n_templates (different subtrees deleted)."""
+    templates = site_templates(pages, min_pages)
+    listed = None
+    if templates.count() <= SENT_TEMPLATES:
+        listed = pages.sparkSession.sparkContext.broadcast(_sent(templates))
+        rows = _keyed(pages).withColumn("subtrees", F.lit(None).cast("array<bigint>"))
+        rows = rows.select("page_id", "url", "host", "html", "subtrees")
+    else:
+        rows = _with_templates(pages, templates)
+
+    def text_of(host: str | None, page: str | None, subtrees: list[int] | None) -> tuple[str, int]:
+        if not page:
+            return "", 0
+        if listed is None or host is None:
+            found = frozenset(subtrees or ())
+            return main_text(page, found), len(found)
+        keys, root = listed.value, parse(page)
+        if not len(keys):
+            return text_of_tree(root, set()), 0
+        hashes, nodes = subtree_hashes(root), countable(root)
+        wanted = np.array([_key(host, hashes[id(n)]) for n in nodes], np.int64)
+        places = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        deleted = [n for n, hit in zip(nodes, keys[places] == wanted, strict=True) if hit]
+        return text_of_tree(root, set(map(id, deleted))), len({hashes[id(n)] for n in deleted})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            subtrees = batch.column(3).to_pylist()
-            texts = [
-                main_text(page, frozenset(found or ()))
-                for page, found in zip(batch.column(2).to_pylist(), subtrees, strict=True)
-            ]
+        for batch in small(batches):
+            rows = zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)
+            made = [text_of(*row) for row in rows]
+            texts = [text for text, _ in made]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array(texts, pa.string()),
                     pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([len(s or ()) for s in subtrees], pa.int64()),
+                    pa.array([n for _, n in made], pa.int64()),
                 ],
                 ["page_id", "url", "text", "n_chars", "n_templates"],
             )
 
     schema = "page_id bigint, url string, text string, n_chars bigint, n_templates bigint"
-    return joined.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
