@@ -11,6 +11,8 @@ cosine in double precision.
 - The number of visited buckets is fitted on a bounded sample: the smallest one
   that finds the sample's own neighbours with the wanted recall. Neighbours in
   all vectors are nearer than those in a sample, so recall is at least that.
+- Vectors of a length that has no more of them than the sample, or for which the
+  bound of visits does not reach the recall, are all compared, block by block.
 - Equal vectors form a class with its smallest ids, hashed and ranked once.
 - A bucket of more than ``BLOCK`` classes is cut into blocks, and its visitors
   are sent to each block, so nothing is capped.
@@ -32,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeload.llm.common import stored
@@ -42,15 +44,20 @@ TABLES = 8
 RECALL = 0.96
 SAMPLE = 3000
 WIDTH = 2.5
+#: Visits of a query to a table, at most; where these do not reach the recall, all vectors are compared.
 MAX_PROBES = 4096
+#: Queries of the sample that the visits are fitted on.
+FIT_QUERIES = 60
 #: About so many entries share a bucket; below that, visits cost more than they save.
 ENTRIES = 512
 BLOCK = 4096
+#: Cosines of a product that differ by less may be equal; they are then computed exactly.
+ROUNDING = 1e-12
 
 
 @dataclass(frozen=True)
 class Hashes:
-    """Directions and offsets of all tables for one vector length."""
+    """Directions and offsets of all tables for one vector length; without probes all vectors are compared."""
 
     directions: np.ndarray  # dimension x (tables * per table)
     offsets: np.ndarray
@@ -110,26 +117,39 @@ def probe_cells(place: np.ndarray, probes: int) -> np.ndarray:
     return np.array(cells)
 
 
-def fit_probes(sample: np.ndarray, count: int, k: int = 5, recall: float = RECALL) -> Hashes:
-    """Hashes with the fewest probes that reach ``recall`` within the sample."""
+def first_finds(unit: np.ndarray, hashes: Hashes, query: int, k: int) -> np.ndarray:
+    """The probe that finds each of the ``k`` nearest neighbours of a row of ``unit`` among the others."""
+    top = np.argsort(-(unit @ unit[query]), kind="stable")
+    top = top[top != query][:k]
+    places = hashes.places(unit[np.r_[query, top]])
+    first = np.full(len(top), np.inf)
+    for t in range(places.shape[1]):
+        keys = _keys(np.floor(places[1:, t]), t)
+        ranks = {key: r for r, key in reversed(list(enumerate(_keys(probe_cells(places[0, t], MAX_PROBES), t))))}
+        first = np.minimum(first, [ranks.get(key, np.inf) for key in keys])
+    return first
+
+
+def fit_probes(spark: SparkSession, sample: np.ndarray, count: int, k: int = 5, recall: float = RECALL) -> Hashes:
+    """Hashes with the fewest probes that reach ``recall`` within the sample; none if ``MAX_PROBES`` do not.
+
+    The queries are looked at by tasks, which get the bounded sample.
+    """
     unit = sample / np.sqrt((sample**2).sum(axis=1))[:, None]
     hashes = make_hashes(sample.shape[1], count, 1)
-    if len(unit) <= k:
-        return hashes
-    queries = unit[:: max(1, len(unit) // 60)][:60]
-    near = queries @ unit.T
-    top = np.argsort(-near, axis=1, kind="stable")[:, 1 : k + 1]  # without the query itself
-    places, asked = hashes.places(unit), hashes.places(queries)
-    tables = places.shape[1]
-    keys = [_keys(np.floor(places[:, t]), t) for t in range(tables)]
-    first = np.full(top.shape, np.inf)  # the probe that finds each neighbour
-    for q in range(len(queries)):
-        for t in range(tables):
-            ranks = {key: r for r, key in reversed(list(enumerate(_keys(probe_cells(asked[q, t], MAX_PROBES), t))))}
-            found = [ranks.get(keys[t][i], np.inf) for i in top[q]]
-            first[q] = np.minimum(first[q], found)
-    needed = np.sort(first, axis=None)[math.ceil(recall * first.size) - 1]
-    return make_hashes(sample.shape[1], count, int(min(needed + 1, MAX_PROBES)))
+    chosen = range(0, len(unit), max(1, len(unit) // FIT_QUERIES))[:FIT_QUERIES]
+    shared = spark.sparkContext.broadcast((unit, hashes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, hashes = shared.value
+        for batch in batches:
+            found = [first_finds(unit, hashes, query, k) for query in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0), *found]))], ["first"])
+
+    queries = spark.createDataFrame([(query,) for query in chosen], "query int").repartition(len(chosen), "query")
+    first = np.sort(queries.mapInArrow(run, "first double").toArrow()["first"].to_numpy())
+    needed = first[math.ceil(recall * first.size) - 1] + 1
+    return make_hashes(sample.shape[1], count, int(needed) if needed <= MAX_PROBES else 0)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -193,9 +213,10 @@ def search(
         for batch in batches:
             yield from _hashed(batch, shared.value, visit=True)
 
-    schema = "bucket bigint, digest binary, vector binary"
-    entries = classes.select("digest", "vector").mapInArrow(index, schema)
-    probes = asked.select("digest").distinct().join(classes, "digest").select("digest", "vector")
+    schema = "bucket bigint, digest binary, vector binary, least bigint"
+    listed = ["digest", "vector", F.element_at("ids", 1).alias("least")]
+    entries = classes.select(*listed).mapInArrow(index, schema)
+    probes = asked.select("digest").distinct().join(classes, "digest").select(*listed)
     probes = probes.mapInArrow(visits, schema)
     large = entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     large = large.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -205,6 +226,7 @@ def search(
         F.lit(0).alias("visit"),
         "digest",
         "vector",
+        "least",
     )
     probes = probes.join(large, "bucket", "left").select(
         "bucket",
@@ -212,6 +234,7 @@ def search(
         F.lit(1).alias("visit"),
         "digest",
         "vector",
+        "least",
     )
     met = entries.unionByName(probes).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "visit")
 
@@ -274,21 +297,25 @@ def _fit(classes: DataFrame, count: int, k: int) -> dict[int, Hashes]:
     for row in chosen.select("digest", "vector").orderBy("digest").collect():
         vector = np.frombuffer(row["vector"], np.float64)
         by_length.setdefault(len(vector), []).append(vector)
-    lengths = [r["n"] // 8 for r in classes.select(F.length("vector").alias("n")).distinct().collect()]
+    sizes = classes.groupBy((F.length("vector") / 8).cast("int").alias("length")).agg(F.count("*").alias("n")).collect()
     out = {}
-    for length in lengths:
+    for length, n in sorted(map(tuple, sizes)):
         sample = np.array(by_length.get(length, [])).reshape(-1, length)
-        out[length] = fit_probes(sample, count, k) if len(sample) else make_hashes(length, count, 64)
+        few = n <= SAMPLE or len(sample) <= max(k, FIT_QUERIES)
+        out[length] = make_hashes(length, count, 0) if few else fit_probes(classes.sparkSession, sample, count, k)
     return out
 
 
 def _hashed(batch: pa.RecordBatch, hashes: dict[int, Hashes], visit: bool) -> Iterator[pa.RecordBatch]:
-    digests, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    digests, vectors, least = (batch.column(c).to_pylist() for c in range(3))
     for length, h in hashes.items():
         chosen = [k for k, v in enumerate(vectors) if len(v) == 8 * length]
-        step = max(1, 65_536 // h.probes) if visit else 16_384
+        step = max(1, 65_536 // max(1, h.probes)) if visit else 16_384
         for start in range(0, len(chosen), step):
             part = chosen[start : start + step]
+            if not h.probes:
+                yield _rows_of([np.full(len(part), length, np.int64)], part, digests, vectors, least)
+                continue
             array = np.array([np.frombuffer(vectors[k], np.float64) for k in part])
             unit = array / np.abs(array).max(axis=1)[:, None]
             unit /= np.sqrt((unit**2).sum(axis=1))[:, None]
@@ -303,35 +330,56 @@ def _hashed(batch: pa.RecordBatch, hashes: dict[int, Hashes], visit: bool) -> It
                 else:
                     buckets.append(_keys(np.floor(places[:, t]), t * 1000 + length))
                     owner += part
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(buckets)),
-                    pa.array([digests[k] for k in owner], pa.binary()),
-                    pa.array([vectors[k] for k in owner], pa.binary()),
-                ],
-                ["bucket", "digest", "vector"],
-            )
+            yield _rows_of(buckets, owner, digests, vectors, least)
+
+
+def _rows_of(buckets: list[np.ndarray], owner: list[int], digests: list, vectors: list, least: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate(buckets)),
+            pa.array([digests[k] for k in owner], pa.binary()),
+            pa.array([vectors[k] for k in owner], pa.binary()),
+            pa.array([least[k] for k in owner], pa.int64()),
+        ],
+        ["bucket", "digest", "vector", "least"],
+    )
+
+
+def _trim(found: dict[bytes, float], keep: int, query: np.ndarray, known: dict[bytes, tuple[bytes, int]]) -> None:
+    """Leave the ``keep`` nearest classes; of those that may be equally near the exactly nearest, then smallest ids."""
+    if len(found) <= keep:
+        return
+    order = sorted(found, key=found.__getitem__, reverse=True)
+    edge = found[order[keep - 1]]
+    sure = sum(found[digest] > edge + ROUNDING for digest in order[:keep])
+    tied = [digest for digest in order[sure:] if found[digest] >= edge - ROUNDING]
+    if len(tied) > keep - sure:
+        tied.sort(key=lambda d: (-cosine(query, np.frombuffer(known[d][0], np.float64)), known[d][1]))
+    for digest in {*order[sure:]}.difference(tied[: keep - sure]):
+        del found[digest]
 
 
 def _ranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Best k classes of every query over the buckets of a task; rows come by bucket, entries before visits."""
     best: dict[bytes, dict[bytes, float]] = {}
     asked: dict[bytes, bytes] = {}
-    vectors: dict[bytes, bytes] = {}
+    known: dict[bytes, tuple[bytes, int]] = {}
     here: tuple[int, int] | None = None
-    entries: list[tuple[bytes, bytes]] = []
+    entries: list[tuple[bytes, bytes, int]] = []
+    keep = k + 2
     unit: np.ndarray | None = None
 
     def flush() -> pa.RecordBatch:
         rows = []
         for query, found in best.items():
             a = np.frombuffer(asked[query], np.float64)
+            _trim(found, keep, a, known)
             for digest in found:
-                rows.append((query, digest, cosine(a, np.frombuffer(vectors[digest], np.float64))))
+                rows.append((query, digest, cosine(a, np.frombuffer(known[digest][0], np.float64))))
         columns = list(zip(*rows, strict=True)) or [[]] * 3
         best.clear()
         asked.clear()
-        vectors.clear()
+        known.clear()
         kinds = (pa.binary(), pa.binary(), pa.float64())
         return pa.RecordBatch.from_arrays(
             [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["query", "digest", "score"]
@@ -342,27 +390,29 @@ def _ranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         if not entries or not queries:
             return
         if unit is None:
-            unit = _units([v for _, v in entries])
+            unit = _units([v for _, v, _ in entries])
         near = _units([v for _, v in queries]) @ unit.T
-        keep = min(k + 2, len(entries))
-        top = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
+        edges = np.partition(near, -min(keep, len(entries)), axis=1)[:, -min(keep, len(entries))]
+        close = near >= edges[:, None] - ROUNDING
         for q, (query, vector) in enumerate(queries):
-            found = best.setdefault(query, {})
-            asked[query] = vector
-            for e in top[q]:
-                digest, entry = entries[e]
+            asked[query], a = vector, np.frombuffer(vector, np.float64)
+            these: dict[bytes, float] = {}
+            for e in np.flatnonzero(close[q]).tolist():
+                digest, entry, least = entries[e]
                 if digest != query:
-                    found[digest] = float(near[q, e])
-                    vectors[digest] = entry
-            if len(found) > 4 * (k + 2):
-                for digest in sorted(found, key=found.__getitem__)[: len(found) - (k + 2)]:
-                    del found[digest]
+                    these[digest] = float(near[q, e])
+                    known[digest] = entry, least
+            _trim(these, keep, a, known)
+            found = best.setdefault(query, {})
+            found.update(these)
+            if len(found) > 4 * keep:
+                _trim(found, keep, a, known)
 
     for batch in batches:
         keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        flags, digests, values = (batch.column(c).to_pylist() for c in (2, 3, 4))
+        flags, digests, values, least = (batch.column(c).to_pylist() for c in (2, 3, 4, 5))
         pending: list[tuple[bytes, bytes]] = []
-        for key, flag, digest, vector in zip(keys, flags, digests, values, strict=True):
+        for key, flag, digest, vector, first in zip(keys, flags, digests, values, least, strict=True):
             if key != here:
                 visit(pending)
                 pending = []
@@ -371,13 +421,10 @@ def _ranked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 if entries:
                     pending.append((digest, vector))
             else:
-                entries.append((digest, vector))
+                entries.append((digest, vector, first))
         visit(pending)
-        if len(vectors) > 500_000:
+        if len(known) > 500_000:
             yield flush()
-    for query, found in best.items():
-        for digest in sorted(found, key=found.__getitem__)[: max(0, len(found) - (k + 2))]:
-            del best[query][digest]
     yield flush()
 
 
