@@ -27,6 +27,8 @@ from lakeload.llm.common import read_table
 from lakeload.session import shared_folder
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: Ids of the rank file; the next ones are free.
+RANKS_SIZE = 50256
 TOKENIZER = "byte_bpe_50k.json"
 #: Documents with more tokens than this are over the limit.
 TOKEN_LIMIT = 512
@@ -65,7 +67,9 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.write_shards(read_table(spark, sf_dir, "documents"), shared_folder(spark, "shards"))
+    docs, ranks = read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS)
+    ids = shards.Tokens(width=2, end=RANKS_SIZE, pad=RANKS_SIZE + 1, ranks=ranks, pattern=public_tokenizers.PATTERN)
+    return shards.write_shards(docs, shared_folder(spark, "shards"), tokens=ids)
 
 
 def op9_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

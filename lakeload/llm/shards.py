@@ -13,18 +13,22 @@
    name and then renamed. A shard that is there in full is not written again, so
    a stopped run goes on where it was; readers can seek to any slot.
 
-Tokens are those of a column of ids, or else the bytes of the text: 0 to 244 are
-bytes that UTF-8 can hold, 255 ends a document, 254 pads. A null text or list has
-no tokens, only an end; a null id is given as -1.
+Tokens are those of a column of ids, or the ids of the text by a rank file
+(encoded in the tasks, once to count and once to pack, so that they are stored in
+the shards alone), or else the bytes of the text: 0 to 244 are bytes that UTF-8
+can hold, 255 ends a document, 254 pads. A null text or list has no tokens, only
+an end; a null id is given as -1.
 The table has to give the same rows in the same order each time it is read, as
-files do.
+files do; if it does not, the shards do not come out full and the run fails.
 """
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,8 +36,9 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from lakeload.llm.common import small
 
 LENGTH = 2048
 SHARD_SEQUENCES = 8192
@@ -46,36 +51,61 @@ class Tokens:
     """What a token is: the column, its bytes as stored (little-endian), and the two special ids.
 
     ``column`` holds an array of ids of less than ``end`` and ``pad``; without
-    it, the tokens are the bytes of ``text``.
+    it, the tokens are the ids of ``text`` by the rank file ``ranks``, each match of
+    ``pattern`` by itself, or else its bytes. Every executor needs the file.
     """
 
     column: str | None = None
     width: int = 1
     end: int = END
     pad: int = PAD
-
-    def count(self) -> Column:
-        size = F.octet_length("text") if self.column is None else F.size(self.column)
-        return F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("bigint") + 1
-
-    def stream(self, values: list) -> tuple[bytes, np.ndarray]:
+    ranks: str | None = None
+    pattern: str = ""
+
+    def _values(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of the rows, and how many each row has."""
+        kind = f"<u{self.width}"
+        if self.column is not None:
+            found = values.flatten().to_numpy(zero_copy_only=False)
+            if len(found) and not 0 <= found.min() <= found.max() < min(self.end, self.pad):
+                raise ValueError(f"token ids must be from 0 to less than {min(self.end, self.pad)}")
+            return found.astype(kind), values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        texts = [value or "" for value in values.to_pylist()]
+        if self.ranks is None:
+            parts = [np.frombuffer(text.encode("utf-8"), np.uint8) for text in texts]
+        else:
+            encode = _encoding(self.ranks, self.pattern).encode_ordinary
+            parts = [np.array(encode(text), kind) for text in texts]
+        return np.concatenate([np.empty(0, kind), *parts]).astype(kind), np.array([len(p) for p in parts], np.int64)
+
+    def count(self, values: pa.Array) -> int:
+        """Tokens of documents with their ends."""
+        return int(self._values(values)[1].sum()) + len(values)
+
+    def stream(self, values: pa.Array) -> tuple[bytes, np.ndarray]:
         """Tokens of documents with their ends, and the byte where each document begins."""
-        end, parts, starts, at = self.end.to_bytes(self.width, "little"), [], [], 0
-        for value in values:
-            if self.column is None:
-                data = (value or "").encode("utf-8") + end
-            else:
-                data = np.array(value or [], f"<u{self.width}").tobytes() + end
-            parts.append(data)
-            starts.append(at)
-            at += len(data)
-        return b"".join(parts), np.array(starts, np.int64)
+        found, lengths = self._values(values)
+        ends = np.cumsum(lengths + 1)
+        out = np.full(int(ends[-1]) if len(ends) else 0, self.end, f"<u{self.width}")
+        own = np.ones(len(out), bool)
+        own[ends - 1] = False
+        out[own] = found
+        return out.tobytes(), (ends - lengths - 1).astype(np.int64) * self.width
 
     def padding(self, count: int) -> np.ndarray:
         one = np.frombuffer(self.pad.to_bytes(self.width, "little"), np.uint8)
         return np.tile(one, count)
 
 
+@lru_cache(maxsize=2)
+def _encoding(path: str, pattern: str) -> object:
+    import tiktoken
+
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 @dataclass(frozen=True)
 class Permutation:
     """A keyed permutation of 0..count-1."""
@@ -122,8 +152,13 @@ class Permutation:
 
 def _plan(docs: DataFrame, tokens: Tokens) -> dict[int, int]:
     """Bytes before each scan partition; one number a partition reaches the driver."""
-    size = F.sum(tokens.count() * tokens.width).alias("n")
-    rows = docs.groupBy(F.spark_partition_id().alias("part")).agg(size).collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        n = sum(tokens.count(batch.column(1)) for batch in small(batches))
+        yield pa.RecordBatch.from_pydict({"part": [part], "n": [n * tokens.width]})
+
+    rows = [row for row in docs.mapInArrow(run, "part bigint, n bigint").collect() if row["n"]]
     starts, at = {}, 0
     for row in sorted(rows, key=lambda r: r["part"]):
         starts[row["part"]] = at
@@ -156,10 +191,14 @@ def write_shards(
     places = spark.sparkContext.broadcast(starts)  # one number a partition
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = places.value.get(TaskContext.get().partitionId(), 0)
+        at = places.value.get(TaskContext.get().partitionId(), -1)
         compress = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            data, begins = tokens.stream(batch.column(1).to_pylist())
+        for batch in small(batches, PACKED):
+            if not batch.num_rows:
+                continue
+            if at < 0:
+                raise RuntimeError(_CHANGED)
+            data, begins = tokens.stream(batch.column(1))
             doc_ids = np.array([-1 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
             first, last = at // length, (at + len(data) - 1) // length
             sequences = np.arange(first, last + 1)
@@ -194,6 +233,7 @@ def write_shards(
         first = number * shard_sequences
         held = min(shard_sequences, count - first)
         grid = tokens.padding(held * length // tokens.width)
+        empty = np.ones(len(grid), bool)
         begun: dict[int, list[int]] = {}
         expand = zstandard.ZstdDecompressor()
         for head, ids, body in zip(frame["head"], frame["ids"], frame["body"], strict=True):
@@ -202,9 +242,16 @@ def write_shards(
             doc_ids, d, i = np.frombuffer(ids, np.int64).tolist(), 0, 0
             for sequence, slot, offset, size, documents in rows.tolist():
                 start = (slot - first) * length + offset
+                if not empty[start : start + size].all():
+                    raise RuntimeError(_CHANGED)
                 grid[start : start + size] = data[d : d + size]
+                empty[start : start + size] = False
                 begun.setdefault(sequence, []).append((offset, doc_ids[i : i + documents]))
                 d, i = d + size, i + documents
+        # only the sequence of the end of the stream is not full
+        rest = count * length - total if order.slot(np.array([count - 1]))[0] // shard_sequences == number else 0
+        if empty.sum() != rest:
+            raise RuntimeError(_CHANGED)
         _put(f"{folder}/shard-{number:08d}.bin", grid.tobytes())
         sequences = np.array(sorted(begun), np.int64)
         slots = order.slot(sequences)
@@ -222,6 +269,9 @@ def write_shards(
     return blocks.groupBy("shard").applyInPandas(write, _SCHEMA)
 
 
+_CHANGED = "the table did not come in the same rows and partitions as when it was counted"
+#: Rows that are packed into blocks at once.
+PACKED = 4000
 _SCHEMA = "sequence bigint, slot bigint, shard bigint, place bigint, crc32 bigint, doc_ids array<bigint>"
 
 
