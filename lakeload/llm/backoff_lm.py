@@ -40,12 +40,14 @@ from pyspark.sql import functions as F
 
 from lakeload.llm.common import WordHashes, ascii_words, chain, lower_ascii, stored
 
-ORDER = 2
+ORDER = 3
 #: Weight of the shorter history, in counts.
 CONCENTRATION = 40.0
 #: Characters of a block, and n-grams that a shard gets in the mean.
 BLOCK_CHARS = 4_000_000
 SHARD_NGRAMS = 1_000_000
+#: Words whose hashes a task remembers.
+WORDS = 400_000
 _END, _START = np.uint64(0x1D8AF066B1A2C3D5), np.uint64(0x7F4A7C159E3779B9)
 
 
@@ -157,7 +159,7 @@ def _requests(docs: DataFrame, order: int, shards: int) -> DataFrame:
     shift = np.uint64(65 - shards.bit_length())  # shards is a power of two
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(WORDS)
         for number, ids, texts in _blocks(batches):
             block = Block(ids, texts, order, hashes)
             for n in range(order):
@@ -237,7 +239,7 @@ def score(docs: DataFrame, order: int = ORDER, concentration: float = CONCENTRAT
             return pd.DataFrame(columns=_COLUMNS)
         data = zstandard.ZstdDecompressor().decompress(left["docs"].iloc[0])
         table = pa.ipc.open_stream(data).read_all()
-        block = Block(table["id"].to_pylist(), table["text"].to_pylist(), order, WordHashes())
+        block = Block(table["id"].to_pylist(), table["text"].to_pylist(), order, WordHashes(WORDS))
         right = right.sort_values(["n", "shard"])
         totals = []
         for n in range(order):

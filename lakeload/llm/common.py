@@ -135,7 +135,9 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 class WordHashes(dict):
     """64-bit hash of a word, remembered for up to ``limit`` words."""
 
-    limit = 150_000
+    def __init__(self, limit: int = 150_000) -> None:
+        super().__init__()
+        self.limit = limit
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:
