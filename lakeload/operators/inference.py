@@ -20,10 +20,10 @@ from lakeload.sources.raw import InputError, RawTable
 
 # What a cell looks like.
 INTEGER, DECIMAL, BOOLEAN, MARKER, TEXT = 1, 2, 4, 8, 16
-WIDE_INTEGER, SHEET_DATE, SHEET_BOOLEAN, TYPED, MISSING = 32, 64, 128, 256, 512
+WIDE_INTEGER, SHEET_DATE, SHEET_BOOLEAN, TYPED, MISSING, SHEET_DURATION = 32, 64, 128, 256, 512, 1024
 
 # What a workbook says about a cell (see sources.workbook).
-KIND_TEXT, KIND_NUMBER, KIND_BOOLEAN, KIND_DATE = 0, 1, 2, 3
+KIND_TEXT, KIND_NUMBER, KIND_BOOLEAN, KIND_DATE, KIND_DURATION = 0, 1, 2, 3, 4
 
 # Spellings the reader accepts as booleans (in any case) and as numbers.
 BOOLEAN_WORDS = ("true", "false")
@@ -74,6 +74,7 @@ def sheet_bit(cell: Column, kind: Column) -> Column:
         F.when(cell.isNull(), F.lit(None).cast("int"))
         .when(kind == KIND_DATE, SHEET_DATE)
         .when(kind == KIND_BOOLEAN, SHEET_BOOLEAN)
+        .when(kind == KIND_DURATION, SHEET_DURATION)
         .otherwise(text_bit(cell))
     )
 
@@ -87,6 +88,8 @@ def spark_type(bits: int) -> str:
         return "boolean"
     if bits == SHEET_DATE:
         return "timestamp"
+    if bits == SHEET_DURATION:
+        return "interval day to second"
     numbers = bits & ~SHEET_BOOLEAN
     if numbers == INTEGER:
         return "bigint"
@@ -112,7 +115,8 @@ def is_settled(bits: int) -> bool:
     if seen & (TEXT | TYPED):
         return True
     booleans = BOOLEAN | SHEET_BOOLEAN
-    return any(seen & bit and seen & ~others for bit, others in ((BOOLEAN, booleans), (MARKER, MARKER), (SHEET_DATE, SHEET_DATE)))
+    return any(seen & bit and seen & ~others for bit, others in ((BOOLEAN, booleans), (MARKER, MARKER), (SHEET_DATE, SHEET_DATE),
+                                                               (SHEET_DURATION, SHEET_DURATION)))
 
 
 @dataclass(frozen=True)

@@ -53,7 +53,7 @@ def land_parquet(
 
 
 _STYLES = (
-    f'<styleSheet xmlns="{_MAIN_NS}"><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>'
+    f'<styleSheet xmlns="{_MAIN_NS}"><cellXfs count="3"><xf numFmtId="0"/><xf numFmtId="22"/><xf numFmtId="46"/></cellXfs></styleSheet>'
 )
 _DAY_ZERO = dt.datetime(1899, 12, 30)
 
@@ -63,6 +63,8 @@ def _cell_xml(value: object) -> str:
         return "<c/>"
     if isinstance(value, dt.datetime):
         return f'<c s="1"><v>{(value - _DAY_ZERO) / dt.timedelta(days=1)!r}</v></c>'
+    if isinstance(value, dt.timedelta):
+        return f'<c s="2"><v>{value / dt.timedelta(days=1)!r}</v></c>'
     if isinstance(value, str):
         return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
     return f"<c><v>{value!r}</v></c>"

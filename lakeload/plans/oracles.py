@@ -92,6 +92,8 @@ ORACLES: dict[str, str] = {
         strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS "O_ORDERDATE" FROM orders""",
     "incremental_batches": """SELECT CAST(o_orderkey % 2 AS INTEGER) AS batch, count(*) AS n_rows,
         TRUE AS told FROM orders GROUP BY 1""",
+    "scan_xlsx_durations": """SELECT o_orderkey, (((o_custkey % 50) * 24 + o_custkey % 24) * 60
+        + o_orderkey % 60) * 60 + o_orderkey % 7 AS seconds, 'interval day to second' AS kind FROM orders""",
     "incremental_relanded": """SELECT 'overwrite' AS mode, s_suppkey AS key, s_name AS name,
             CAST(3 AS BIGINT) AS version FROM supplier
         UNION ALL SELECT 'append', c_custkey, c_name, version

@@ -100,6 +100,16 @@ def q_scan_xlsx_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
+def q_scan_xlsx_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elapsed times of more than a day, as workbooks keep them: numbers under a format such as [h]:mm:ss."""
+    parts = "o_custkey % 50, o_custkey % 24, o_orderkey % 60, o_orderkey % 7"
+    orders = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"make_dt_interval({parts}) AS took")
+    found = scan_xlsx(spark, land_workbooks(orders, "o_orderkey", "scan-xlsx-durations"))
+    seconds = "((extract(DAY FROM took) * 24 + extract(HOUR FROM took)) * 60 + extract(MINUTE FROM took)) * 60"
+    seconds = f"CAST({seconds} + extract(SECOND FROM took) AS bigint) AS seconds"
+    return found.selectExpr("o_orderkey", seconds, "typeof(took) AS kind")
+
+
 def q_scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NaN and null are the same missing value after the scan."""
     lineitem = _table(spark, sf_dir, "lineitem")
@@ -284,7 +294,7 @@ def q_overwrite_keeps_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_overwrite_failed_keeps_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that are overwritten, then badly overwritten: the last task fails when others are done."""
     orders, table = _orders(spark, sf_dir), f"{_schema(spark)}.orders"
-    _save(orders.withColumn("o_custkey", F.lit(0)), table, "overwrite")
+    _save(orders.withColumn("o_custkey", -F.col("o_custkey")), table, "overwrite")
     _save(orders, table, "overwrite")
     last = orders.agg(F.max("o_orderkey").alias("last"))  # one row
     broken = F.when(F.col("o_orderkey") == F.col("last"), F.raise_error("broken")).otherwise(0.0)
@@ -381,15 +391,16 @@ def q_scan_csv_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_scan_csv_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line ends of two characters, inside cells and between records."""
+    """Line ends of two characters, inside cells and between records; sixteen headed files."""
     documents = _table(spark, sf_dir, "documents")
     folder = shared_folder(spark, "crlf")
     text = F.replace("text", F.lit("\n"), F.lit("\r\n"))
     cell = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
     record = F.concat_ws(",", "doc_id", cell, F.coalesce("lang", F.lit("")))
-    header = spark.range(1).select(F.lit("doc_id,text,lang").alias("value"))
-    lines = header.unionByName(documents.select(record.alias("value"))).coalesce(1)
-    lines.write.option("lineSep", "\r\n").text(folder)
+    lines = documents.select(record.alias("value"), F.pmod(F.hash("doc_id"), F.lit(16)).alias("file"), F.lit(1).alias("place"))
+    heads = spark.range(16).select(F.lit("doc_id,text,lang").alias("value"), F.col("id").cast("int").alias("file"), F.lit(0).alias("place"))
+    ordered = heads.union(lines).repartition("file").sortWithinPartitions("file", "place")
+    ordered.drop("place").write.partitionBy("file").option("lineSep", "\r\n").text(folder)
     return scan_csv(spark, folder)
 
 

@@ -22,21 +22,24 @@ from pyspark.sql import functions as F
 
 from lakeload.functions.names import Naming, reader_names
 from lakeload.functions.text import missing_to_null
-from lakeload.operators.inference import KIND_BOOLEAN, KIND_DATE, KIND_NUMBER, KIND_TEXT
+from lakeload.operators.inference import KIND_BOOLEAN, KIND_DATE, KIND_DURATION, KIND_NUMBER, KIND_TEXT
 from lakeload.session import shared_folder
 from lakeload.sources.listing import Paths, as_list, suffix_filter
 from lakeload.sources.raw import InputError, RawTable
 
-# Built-in number formats that show a date or a time.
-DATE_FORMAT_IDS = frozenset(range(14, 23)) | {45, 46, 47}
+# Built-in number formats that show a date or a time, and an elapsed time.
+DATE_FORMAT_IDS = frozenset(range(14, 23)) | {45, 47}
+ELAPSED_FORMAT_IDS = frozenset({46})
 
 ROWS_SCHEMA = "file string, header_id string, row_no bigint, cells array<string>, kinds array<int>"
 ROWS_PER_BATCH = 2000
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-_NOT_FORMAT = re.compile(r'"[^"]*"|\[[^\]]*\]|\\.|_.|\*.')
-_DATE_LETTER = re.compile(r"[dmyhs]", re.IGNORECASE)
+# Parts of a format code: text, brackets, escaped, padding and filling characters, section ends, others.
+_FORMAT_PART = re.compile(r'"[^"]*"?|\[[^\]]*\]?|\\.|_.|\*.|;|.', re.DOTALL)
+_ELAPSED_PART = re.compile(r"\[(?:h+|m+|s+)\]", re.IGNORECASE)
+_DATE_LETTERS = frozenset("dmyhsDMYHS")
 
 Cell = tuple[str, int]
 
@@ -60,24 +63,44 @@ def _rich_text(node: ET.Element) -> str:
     return "".join(parts)
 
 
-def _date_styles(book: zipfile.ZipFile) -> set[int]:
-    """Positions of the cell styles whose number format shows a date."""
+def format_kind(code: str) -> int:
+    """What numbers are under a format code, by its first section: dates, elapsed times, or numbers.
+
+    Elapsed times have hours, minutes or seconds in brackets, which then count on
+    beyond a day, an hour or a minute. Other brackets are colours, conditions and
+    locales; text and escaped characters mean nothing.
+    """
+    kind = KIND_NUMBER
+    for part in _FORMAT_PART.findall(code):
+        if part == ";":
+            break
+        if _ELAPSED_PART.fullmatch(part):
+            return KIND_DURATION
+        if part in _DATE_LETTERS:
+            kind = KIND_DATE
+    return kind
+
+
+def _time_styles(book: zipfile.ZipFile) -> dict[int, int]:
+    """The kind of numbers under the cell styles that show dates or elapsed times, by position."""
     if "xl/styles.xml" not in book.namelist():
-        return set()
+        return {}
     root = ET.fromstring(book.read("xl/styles.xml"))
     custom = {
         int(node.get("numFmtId")): node.get("formatCode", "")
         for node in root.iterfind(f"{_MAIN}numFmts/{_MAIN}numFmt")
     }
-    styles = set()
+    styles = {}
     for position, style in enumerate(root.iterfind(f"{_MAIN}cellXfs/{_MAIN}xf")):
         number = int(style.get("numFmtId", 0))
         if number in custom:
-            shows_date = _DATE_LETTER.search(_NOT_FORMAT.sub("", custom[number].split(";")[0]))
+            kind = format_kind(custom[number])
+        elif number in ELAPSED_FORMAT_IDS:
+            kind = KIND_DURATION
         else:
-            shows_date = number in DATE_FORMAT_IDS
-        if shows_date:
-            styles.add(position)
+            kind = KIND_DATE if number in DATE_FORMAT_IDS else KIND_NUMBER
+        if kind != KIND_NUMBER:
+            styles[position] = kind
     return styles
 
 
@@ -112,6 +135,17 @@ def _date_text(serial: float, from_1904: bool) -> Cell:
     return str(epoch + span), KIND_DATE
 
 
+def _duration_text(serial: float) -> Cell:
+    """Days as the text of a day-time interval, to the millisecond as dates are."""
+    millis = round(abs(serial) * 86_400_000)
+    seconds, millis = divmod(millis, 1000)
+    minutes, seconds = divmod(seconds, 60)
+    hours, minutes = divmod(minutes, 60)
+    days, hours = divmod(hours, 24)
+    sign = "-" if serial < 0 else ""
+    return f"{sign}{days} {hours:02}:{minutes:02}:{seconds:02}" + (f".{millis:03}" if millis else ""), KIND_DURATION
+
+
 def _number(text: str) -> Cell:
     value = float(text)
     if value.is_integer():
@@ -120,7 +154,7 @@ def _number(text: str) -> Cell:
     return repr(value), KIND_NUMBER
 
 
-def _cell(node: ET.Element, strings: list[str], dates: set[int], from_1904: bool) -> Cell | None:
+def _cell(node: ET.Element, strings: list[str], times: dict[int, int], from_1904: bool) -> Cell | None:
     kind = node.get("t", "n")
     if kind == "inlineStr":
         inline = node.find(f"{_MAIN}is")
@@ -135,9 +169,10 @@ def _cell(node: ET.Element, strings: list[str], dates: set[int], from_1904: bool
     if kind == "d":
         return str(dt.datetime.fromisoformat(text.removesuffix("Z"))), KIND_DATE
     if kind == "n":
-        if int(node.get("s", 0)) in dates:
-            return _date_text(float(text), from_1904)
-        return _number(text)
+        shown = times.get(int(node.get("s", 0)))
+        if shown == KIND_DURATION:
+            return _duration_text(float(text))
+        return _date_text(float(text), from_1904) if shown == KIND_DATE else _number(text)
     return text, KIND_TEXT
 
 
@@ -161,7 +196,7 @@ def sheet_rows(content: bytes, sheet: str | int) -> Iterator[tuple[int, list[Cel
     """
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         part, from_1904 = _sheet_part(book, sheet)
-        strings, dates = _shared_strings(book), _date_styles(book)
+        strings, times = _shared_strings(book), _time_styles(book)
         given = number = 0
         with book.open(part) as stream:
             for event, node in ET.iterparse(stream, events=("start", "end")):
@@ -176,7 +211,7 @@ def sheet_rows(content: bytes, sheet: str | int) -> Iterator[tuple[int, list[Cel
                 for cell in node.iterfind(f"{_MAIN}c"):
                     place = _position(cell.get("r"), len(cells))
                     cells.extend([None] * (place - len(cells)))
-                    cells.append(_cell(cell, strings, dates, from_1904))
+                    cells.append(_cell(cell, strings, times, from_1904))
                 data.clear()
                 while cells and (cells[-1] is None or cells[-1][0] == ""):
                     cells.pop()

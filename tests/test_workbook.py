@@ -14,14 +14,16 @@ from lakeload.plans.ingest import prepare
 from lakeload.plans.landing import workbook_bytes
 from lakeload.sources.dispatch import scan_xlsx
 from lakeload.sources.raw import InputError
-from lakeload.sources.workbook import scan_xlsx_text
+from lakeload.operators import inference
+from lakeload.operators.tables import save_table
+from lakeload.sources.workbook import format_kind, scan_xlsx_text
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
 def _book(tmp_path, sheets, name="b.xlsx", strings=(), date1904=False, target="worksheets/"):
-    """``sheets`` maps names to the XML of their rows. Style 1 is a date, 2 a custom date, 3 is 0.00."""
+    """``sheets`` maps names to the XML of their rows. Style 1 is a date, 2 a custom date, 3 is 0.00, 4 is elapsed."""
     path = tmp_path / name
     numbered = list(enumerate(sheets.items(), 1))
     listed = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, (n, _) in numbered)
@@ -38,8 +40,8 @@ def _book(tmp_path, sheets, name="b.xlsx", strings=(), date1904=False, target="w
         book.writestr(
             "xl/styles.xml",
             f'<styleSheet xmlns="{MAIN}"><numFmts><numFmt numFmtId="164" formatCode="[$-416]dd\\/mm\\/yyyy;@"/>'
-            '<numFmt numFmtId="165" formatCode="&quot;days&quot; 0.00"/></numFmts><cellXfs>'
-            '<xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>',
+            '<numFmt numFmtId="165" formatCode="&quot;days&quot; 0.00"/><numFmt numFmtId="166" formatCode="[h]:mm;@"/></numFmts><cellXfs>'
+            '<xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="166"/></cellXfs></styleSheet>',
         )
         if strings:
             items = "".join(f"<si>{s}</si>" for s in strings)
@@ -208,3 +210,34 @@ def test_executors_need_no_package(tmp_path):
         [sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=300
     )
     assert found.stdout.strip() == "['a', 'x']", found.stderr[-2000:]
+
+
+@pytest.mark.parametrize(
+    ("code", "kind"),
+    [
+        ("General", inference.KIND_NUMBER), ("0.00", inference.KIND_NUMBER), ("#,##0 [Red]", inference.KIND_NUMBER),
+        ('"days" 0', inference.KIND_NUMBER), (r"\h0", inference.KIND_NUMBER), ("0_h", inference.KIND_NUMBER),
+        ("*d0", inference.KIND_NUMBER), ("0;yyyy", inference.KIND_NUMBER), ("[$-416]0", inference.KIND_NUMBER),
+        ("yyyy-mm-dd", inference.KIND_DATE), ("[$-F800]dddd", inference.KIND_DATE), ("h:mm AM/PM", inference.KIND_DATE),
+        ("[h]:mm:ss", inference.KIND_DURATION), ("[Red][MM]:ss", inference.KIND_DURATION), ("[ss].00", inference.KIND_DURATION),
+        ('"[h]" 0', inference.KIND_NUMBER), ("[hm]", inference.KIND_NUMBER), ('"open', inference.KIND_NUMBER),
+    ],
+)
+def test_format_codes(code, kind):
+    assert format_kind(code) == kind
+
+
+def test_elapsed_times(spark, schema, tmp_path, rows):
+    cells = [1.5, 2.0, -0.25, 0.0000115741, 40.0]
+    body = "<row><c t='str'><v>took</v></c><c t='str'><v>mixed</v></c></row>" + "".join(
+        f'<row><c s="4"><v>{v}</v></c><c s="{4 if k else 1}"><v>{v}</v></c></row>' for k, v in enumerate(cells)
+    )
+    path = _book(tmp_path, {"S": body})
+    cleaned = prepare(spark, str(path)).frame
+    assert [t for _, t in cleaned.dtypes] == ["interval day to second", "string"]
+    want = [dt.timedelta(days=1, hours=12), dt.timedelta(days=2), -dt.timedelta(hours=6), dt.timedelta(seconds=1), dt.timedelta(40)]
+    assert sorted(r["TOOK"] for r in cleaned.collect()) == sorted(want)
+    assert "1 12:00:00" not in {r["MIXED"] for r in cleaned.collect()} and "2 00:00:00" in {r["MIXED"] for r in cleaned.collect()}
+    for mode in ("overwrite", "append", "overwrite"):
+        assert save_table(cleaned, f"{schema}.t", mode).ok
+    assert sorted(r["TOOK"] for r in spark.table(f"{schema}.t").collect()) == sorted(want)
