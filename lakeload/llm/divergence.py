@@ -20,7 +20,6 @@ count as empty; a group without a kept term still gets its rows.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -41,12 +40,13 @@ TOP_TERMS = 200
 #: Bytes of the first prefixes; every level doubles them.
 FIRST = 8
 #: Keys that a task counts, or remembers, before it hands them on or forgets them.
-KEYS = 400_000
+KEYS = 1_000_000
 #: Groups (of language and source) that are sent to all tasks; more are joined by a shuffle.
 GROUPS = 20_000
 
 _SCALE = 1_000_000_000
-_TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+# Bytes of terms as they are, A to Z in lower case, and a space for all others.
+_TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _COUNTS = pa.schema(
     [("lang", pa.string()), ("source", pa.string()), ("key", pa.binary()), ("whole", pa.bool_()),
      ("docs", pa.int64()), ("n", pa.int64())]
@@ -76,7 +76,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, list[b
     """Language, source and terms in order of each document; bytes lower-case A to Z only."""
     for batch in small(batches):
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            yield lang, source, _TERM.findall(text.encode("utf-8", "surrogatepass").lower())
+            yield lang, source, text.encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split()
 
 
 class _Keys(dict):
@@ -90,13 +90,14 @@ class _Keys(dict):
         before, key = self.alive.length, term[: self.length]
         if len(term) <= before or not self.alive.has(term[:before], self.seed):
             key = None
-        if len(self) >= KEYS:
+        # long terms have longer lives in fewer documents, and take more room
+        if len(self) >= KEYS // (4 + self.length // 16):
             self.clear()
         self[term] = key
         return key
 
 
-def _first_level(docs: DataFrame, length: int) -> DataFrame:
+def _first_level(docs: DataFrame, length: int, min_docs: int) -> DataFrame:
     """Counts of terms of up to ``length`` bytes, by source, and of prefixes of longer ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,14 +131,22 @@ def _first_level(docs: DataFrame, length: int) -> DataFrame:
                 counted = 0
         yield from flush()
 
-    return _summed(docs.mapInArrow(run, _COUNTS_DDL))
+    return _kept(docs.mapInArrow(run, _COUNTS_DDL), min_docs)
 
 
-def _summed(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("lang", "source", "key", "whole").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+def _kept(parts: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, source, key, whole, n, lang_n) of terms and prefixes in enough documents of their language.
+
+    One shuffle, by language and key, of what tasks have counted already.
+    """
+    sums = parts.repartition("lang", "key").groupBy("lang", "source", "key", "whole")
+    sums = sums.agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    of_key = Window.partitionBy("lang", "key", "whole")
+    sums = sums.withColumns({"all": F.sum("docs").over(of_key), "lang_n": F.sum("n").over(of_key)})
+    return sums.where(F.col("all") >= min_docs).drop("docs", "all")
 
 
-def _next_level(open_docs: DataFrame, length: int, alive: _Alive) -> DataFrame:
+def _next_level(open_docs: DataFrame, length: int, alive: _Alive, min_docs: int) -> DataFrame:
     """The same for documents of open terms, below the prefixes that are alive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +168,6 @@ def _next_level(open_docs: DataFrame, length: int, alive: _Alive) -> DataFrame:
             for lang, source, words, ns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 key_of = _keys_of(keys, lang, length, alive)
                 own, found = terms.setdefault((lang, source), {}), prefixes.setdefault(lang, Counter())
-                counted -= len(own) + len(found)
                 opened = set()
                 for word, n in zip(words, ns, strict=True):
                     key = key_of[word]
@@ -168,15 +176,18 @@ def _next_level(open_docs: DataFrame, length: int, alive: _Alive) -> DataFrame:
                     if len(word) > length:
                         opened.add(key)
                     else:
-                        own[word] = own.get(word, 0) + (n << 32) + 1
+                        seen = own.get(word)
+                        if seen is None:
+                            seen, counted = 0, counted + 1 + length // 64
+                        own[word] = seen + (n << 32) + 1
+                counted += len(opened) * (1 + length // 64)
                 found.update(opened)
-                counted += len(own) + len(found)
             if counted + len(terms) >= KEYS:
                 yield from flush()
                 counted = 0
         yield from flush()
 
-    return _summed(open_docs.mapInArrow(run, _COUNTS_DDL))
+    return _kept(open_docs.mapInArrow(run, _COUNTS_DDL), min_docs)
 
 
 def _keys_of(keys: dict[str, _Keys], lang: str, length: int, alive: _Alive) -> _Keys:
@@ -229,29 +240,26 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("lang", "source", "text")
     length, levels = FIRST, []
-    level = _first_level(docs, length)
+    level = _first_level(docs, length, min_docs)
     while True:
         level = stored(level, f"terms-{length}")
         levels.append(level.where("whole"))
-        going = level.where(~F.col("whole") & (F.col("docs") >= min_docs))
-        table, bits, size = bit_set(going.select(F.xxhash64("lang", "key")))
+        table, bits, size = bit_set(level.where("NOT whole").select(F.xxhash64("lang", "key")))
         if not size:
             break
         alive = _Alive(length, spark.sparkContext.broadcast(table), bits)
         if length == FIRST:
             open_docs = stored(_open_documents(docs, alive), "open-terms")
         length *= 2
-        level = _next_level(open_docs, length, alive)
+        level = _next_level(open_docs, length, alive, min_docs)
     whole = reduce(DataFrame.unionAll, levels)
-    kept = whole.groupBy("lang", "key").agg(F.sum("docs").alias("all"), F.sum("n").alias("lang_n"))
-    kept = kept.where(F.col("all") >= min_docs).drop("all")
-    found = whole.join(kept, ["lang", "key"])
-    return found.select("lang", "source", F.decode("key", "UTF-8").alias("term"), "n", "lang_n")
+    return whole.select("lang", "source", F.decode("key", "UTF-8").alias("term"), "n", "lang_n")
 
 
 def _share(n: str, total: str, terms: str) -> str:
-    """SQL of 1 + floor(10^9 (n + 1) / (total + terms)); the product may exceed 64 bits."""
-    return f"(1 + (CAST({n} + 1 AS decimal(20,0)) * {_SCALE}BD) div ({total} + {terms}))"
+    """SQL of 1 + floor(10^9 (n + 1) / (total + terms)); decimals where the product may exceed 64 bits."""
+    exact = f"(CAST({n} + 1 AS decimal(20,0)) * {_SCALE}BD) div ({total} + {terms})"
+    return f"(1 + CASE WHEN {n} < 9000000000 THEN (({n} + 1L) * {_SCALE}L) div ({total} + {terms}) ELSE {exact} END)"
 
 
 def _distance(p: str, q: str) -> str:
