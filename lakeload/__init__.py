@@ -7,6 +7,7 @@ from pyspark import cloudpickle
 from lakeload.operators.cleaning import clean
 from lakeload.operators.tables import LoadResult, save_table
 from lakeload.plans.ingest import ingest, prepare
+from lakeload.plans.recovery import recover_loads
 from lakeload.sources.dispatch import read_source, source_manifest
 from lakeload.streaming.incremental import ingest_new_files
 
@@ -20,6 +21,7 @@ __all__ = [
     "ingest_new_files",
     "prepare",
     "read_source",
+    "recover_loads",
     "save_table",
     "source_manifest",
 ]

@@ -144,7 +144,7 @@ def write_table(
     if not spark.catalog.tableExists(table):
         df.write.format(table_format).saveAsTable(table)
         return
-    place = _movable(spark, table) if mode == "overwrite" else None
+    place = movable(spark, table) if mode == "overwrite" else None
     if place is not None:
         _overwrite_beside(df, table, *place)
         return
@@ -158,7 +158,7 @@ _PLAIN_FORMATS = ("parquet", "orc")
 _STAGED = re.compile(r"\.v-[0-9a-f]{12}$")
 
 
-def _movable(spark: SparkSession, table: str) -> tuple[str, str] | None:
+def movable(spark: SparkSession, table: str) -> tuple[str, str] | None:
     """Format and folder of a table whose rows may lie elsewhere after a write; None for others."""
     told = {row.col_name: row.data_type for row in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
     plain = told.get("Type") == "MANAGED" and told.get("Provider", "").lower() in _PLAIN_FORMATS

@@ -92,6 +92,11 @@ ORACLES: dict[str, str] = {
         strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS "O_ORDERDATE" FROM orders""",
     "incremental_batches": """SELECT CAST(o_orderkey % 2 AS INTEGER) AS batch, count(*) AS n_rows,
         TRUE AS told FROM orders GROUP BY 1""",
+    "recovered_loads": """SELECT o_orderkey AS "O_ORDERKEY", o_custkey AS "O_CUSTKEY", insert_mode,
+            2::BIGINT AS n_loads, t.n_told, 0 AS told_again
+        FROM orders, (SELECT count(*) AS n_told FROM orders WHERE o_orderkey % 3 < 2) AS t,
+            (SELECT unnest(['append', 'overwrite']) AS insert_mode)
+        WHERE o_orderkey % 3 = 1 OR (o_orderkey % 3 = 0 AND insert_mode = 'append')""",
     "scan_xlsx_durations": """SELECT o_orderkey, (((o_custkey % 50) * 24 + o_custkey % 24) * 60
         + o_orderkey % 60) * 60 + o_orderkey % 7 AS seconds, 'interval day to second' AS kind FROM orders""",
     "incremental_relanded": """SELECT 'overwrite' AS mode, s_suppkey AS key, s_name AS name,

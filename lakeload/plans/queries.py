@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lakeload.functions import names, text, times
 from lakeload.operators import cleaning, control, tables
-from lakeload.plans.ingest import ingest, prepare, stored
+from lakeload.plans.ingest import control_values, ingest, prepare, stored
 from lakeload.plans.landing import land_csv, land_parquet, land_workbooks
+from lakeload.plans.recovery import begin_load, recover_loads
 from lakeload.session import shared_folder
 from lakeload.sources.dispatch import (
     read_source,
@@ -550,6 +551,30 @@ def q_incremental_relanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionAll, tables).toDF("mode", "key", "name", "version")
 
 
+def q_recovered_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads that stop after their data, or before it: after recovery rows and control rows agree."""
+    orders, schema = _orders(spark, sf_dir).select("o_orderkey", "o_custkey"), _schema(spark)
+    control_table, parts = f"{schema}.load_control", [orders.where(F.col("o_orderkey") % 3 == k) for k in range(3)]
+    for mode in ("append", "overwrite"):
+        table = f"{schema}.{mode}_feed"
+        path = land_csv(parts[0], "recover")
+        stored(spark, ingest(spark, path, table, mode, control_table=control_table, recoverable=True), table)
+        for part, write in ((parts[1], True), (parts[2], False)):
+            cleaned = prepare(spark, land_csv(part, "recover"))
+            planned = tables.LoadResult(True, "", cleaned.n_rows, cleaned.n_columns)
+            values = control_values(spark, table, path, mode, planned, inserted_by="stopped")
+            begin_load(spark, control_table, table, **values)
+            if write:
+                _save(cleaned.frame, table, mode)
+    recover_loads(spark, control_table)
+    told = recover_loads(spark, control_table).count()
+    loads = spark.table(control_table).groupBy("insert_mode").agg(
+        F.count(F.lit(1)).alias("n_loads"), F.sum("n_rows").alias("n_told")
+    )
+    rows = [spark.table(f"{schema}.{mode}_feed").withColumn("insert_mode", F.lit(mode)) for mode in ("append", "overwrite")]
+    return reduce(DataFrame.unionAll, rows).join(loads, "insert_mode").withColumn("told_again", F.lit(told))
+
+
 def q_load_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest of the loads that orders stand for, one target per customer."""
     filled = {
