@@ -167,7 +167,9 @@ def _logistic(x: np.ndarray, target: np.ndarray) -> tuple[float, float]:
 def _sampled(docs: DataFrame, per_language: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Features of the sampled rows. Only counts per language and this bounded sample reach the driver."""
     known = docs.where(F.col("lang").isNotNull())
-    counts = {row["lang"]: row["n"] for row in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # different rows, about: a much repeated row must not crowd out the others
+    different = F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("n")
+    counts = {row["lang"]: max(1, row["n"]) for row in known.groupBy("lang").agg(different).collect()}
     if not counts:
         return []
     # a row is taken if its hash lies in the share of the hash space that holds the wanted number of rows

@@ -288,7 +288,8 @@ def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> Model:
     """Train on a bounded sample of ``docs`` (doc_id, text) labelled by the base patterns."""
     some = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
     steps = 1 << 30
-    count = docs.count()
+    # different rows, about: a much repeated row must not crowd out the others
+    count = docs.agg(F.approx_count_distinct(F.xxhash64("doc_id", "text"))).first()[0]
     limit = int(steps * min(1.0, documents / max(1, count)))
     some = some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)) < limit)
     # repeated rows share their hash: one of them counts, so that a much repeated row is one row of the sample
