@@ -304,13 +304,18 @@ def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
         f"terms * ({_distance('other_base', 'share')} - {_distance('other_base', 'base')}) AS part",
     )
     of_term = shares.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "share", "base")).alias("held"))
-    shared = of_term.where("size(held) > 1").select("lang", "held", F.explode("held").alias("p"))
-    shared = shared.select("lang", "p", F.explode("held").alias("q")).where("p.source <> q.source")
-    from_both = shared.selectExpr(
-        "lang", "p.source AS source", "q.source AS other",
-        f"{_distance('p.share', 'q.share')} - {_distance('p.share', 'q.base')}"
-        f" - {_distance('p.base', 'q.share')} + {_distance('p.base', 'q.base')} AS part",
-    )
+    # a source and those behind it in the list: every two once, for both of their distances
+    shared = of_term.where("size(held) > 1").select("lang", "held", F.posexplode("held").alias("at", "p"))
+    shared = shared.select("lang", "p", F.explode(F.expr("slice(held, at + 2, size(held))")).alias("q"))
+    there, back = (
+        f"{_distance(f'{a}.share', f'{b}.share')} - {_distance(f'{a}.share', f'{b}.base')}"
+        f" - {_distance(f'{a}.base', f'{b}.share')} + {_distance(f'{a}.base', f'{b}.base')}"
+        for a, b in (("p", "q"), ("q", "p"))
+    )
+    shared = shared.selectExpr("lang", "p.source AS a", "q.source AS b", f"{there} AS there", f"{back} AS back")
+    shared = shared.groupBy("lang", "a", "b").agg(F.sum("there").alias("there"), F.sum("back").alias("back"))
+    ways = "inline(array(struct(a AS source, b AS other, there AS part), struct(b AS source, a AS other, back AS part)))"
+    from_both = shared.selectExpr("lang", ways)
     plain = both.selectExpr("lang", "source", "other", f"CASE WHEN v > 0 THEN v * {rest} ELSE 0 END AS part")
     parts = plain.unionAll(from_p).unionAll(from_q).unionAll(from_both)
     sums = parts.groupBy("lang", "source", "other").agg(F.sum("part").alias("value"))
