@@ -87,7 +87,7 @@ class Vocabulary:
         self.pieces = {rank: token for token, rank in ranks.items()}
         self.split = splitter(pattern, library_class)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.packed = _Memo(self, lambda ids: array("i", ids).tobytes())
+        self.packed = _Memo(self, lambda ids: array("i", ids).tobytes(), MEMO_SIZE // 4)
         self.written = _Memo(self, lambda ids: (" ".join(map(str, ids)), self.decode(ids)))
 
     def merge(self, data: bytes) -> list[int]:
@@ -170,9 +170,9 @@ class Vocabulary:
 class _Memo(dict):
     """What is made of the ids of pre-tokens seen before, in two generations."""
 
-    def __init__(self, vocabulary: Vocabulary, make: Callable[[list[int]], object]) -> None:
+    def __init__(self, vocabulary: Vocabulary, make: Callable[[list[int]], object], size: int = MEMO_SIZE) -> None:
         super().__init__()
-        self.vocabulary, self.make = vocabulary, make
+        self.vocabulary, self.make, self.size = vocabulary, make, size
         self.older: dict[str, object] = {}
 
     def forget(self) -> None:
@@ -185,7 +185,7 @@ class _Memo(dict):
             made = self.make(self.vocabulary.merge(piece.encode("utf-8")))
             if len(piece) > MEMO_CHARS:
                 return made
-        if len(self) >= MEMO_SIZE:
+        if len(self) >= self.size:
             self.older = dict(self)
             self.clear()
         self[piece] = made

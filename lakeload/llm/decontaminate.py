@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeload.llm.common import WordHashes, key_filter, ngrams, row_key, stored
+from lakeload.llm.common import WordHashes, key_filter, ngrams, row_key, small, stored
 
 SEED_WORDS = 4
 RARE = 50
@@ -145,7 +145,7 @@ def _slice_windows(docs: DataFrame, items: Items, n: int, threshold: float) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, hashes = shared.value, WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc_id, text_hash, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = _hashed(text, hashes)
@@ -171,7 +171,7 @@ def _aligned(windows: DataFrame, items: Items, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, known = shared.value, {}
-        for batch in batches:
+        for batch in small(batches):
             keep, found = [], []
             for item, words in zip(batch["item"].to_pylist(), batch["words"].to_pylist(), strict=True):
                 key = item, words
