@@ -161,15 +161,16 @@ def _compare(frame: pd.DataFrame, similarity: float) -> Iterator[tuple[bytes, in
     if n < 2:
         return
     values = np.concatenate(sets)
-    owners = np.repeat(np.arange(n), [len(s) for s in sets])
+    owners = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     order = np.argsort(values, kind="stable")
     values, owners = values[order], owners[order]
-    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-    counts = np.diff(np.r_[starts, len(values)])
-    column = np.repeat(np.arange(len(starts)), counts)
-    shared = counts[column] > 1
+    del order
+    # n-grams in order, numbered; those of one class alone are left out, and the others numbered anew
+    column = np.cumsum(np.r_[False, values[1:] != values[:-1]], dtype=np.int32)
+    del values
+    shared = np.bincount(column)[column] > 1
     column, owners = column[shared], owners[shared]
-    _, column = np.unique(column, return_inverse=True)
+    column = np.cumsum(np.r_[False, column[1:] != column[:-1]][: len(column)], dtype=np.int32)
     common = np.zeros((n, n), np.float64)
     edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + _COLUMNS + 1, _COLUMNS))
     for k in range(len(edges) - 1):
