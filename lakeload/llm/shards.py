@@ -14,8 +14,8 @@
    a stopped run goes on where it was; readers can seek to any slot.
 
 Tokens are those of a column of ids, or the ids of the text by a rank file
-(encoded in the tasks, once to count and once to pack, so that they are stored in
-the shards alone), or else the bytes of the text: 0 to 244 are bytes that UTF-8
+(encoded once, to count; the bytes of every token are stored, a fraction of the
+ids, and the text cut by them gives the ids again to pack), or else the bytes of the text: 0 to 244 are bytes that UTF-8
 can hold, 255 ends a document, 254 pads. A null text or list has no tokens, only
 an end; a null id is given as -1.
 The table has to give the same rows in the same order each time it is read, as
@@ -27,8 +27,9 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,8 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lakeload.llm.common import small
+from lakeload.llm.common import ROWS, small
+from lakeload.session import shared_folder
 
 LENGTH = 2048
 SHARD_SEQUENCES = 8192
@@ -61,6 +63,8 @@ class Tokens:
     pad: int = PAD
     ranks: str | None = None
     pattern: str = ""
+    #: A shared folder for the lengths of the tokens by ``ranks``, between counting and packing.
+    lengths: str | None = None
 
     def _values(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All tokens of the rows, and how many each row has."""
@@ -74,17 +78,20 @@ class Tokens:
         if self.ranks is None:
             parts = [np.frombuffer(text.encode("utf-8"), np.uint8) for text in texts]
         else:
-            encode = _encoding(self.ranks, self.pattern).encode_ordinary
-            parts = [np.array(encode(text), kind) for text in texts]
+            encode = _encoding(self.ranks, self.pattern).encode_to_numpy
+            parts = [_narrow(encode(text), kind) for text in texts]
         return np.concatenate([np.empty(0, kind), *parts]).astype(kind), np.array([len(p) for p in parts], np.int64)
 
     def count(self, values: pa.Array) -> int:
         """Tokens of documents with their ends."""
         return int(self._values(values)[1].sum()) + len(values)
 
-    def stream(self, values: pa.Array) -> tuple[bytes, np.ndarray]:
-        """Tokens of documents with their ends, and the byte where each document begins."""
-        found, lengths = self._values(values)
+    def stream(self, values: pa.Array, stored: Iterator[np.ndarray] | None = None) -> tuple[bytes, np.ndarray]:
+        """Tokens of documents with their ends, and the byte where each document begins.
+
+        ``stored`` gives the lengths of the tokens of each document.
+        """
+        found, lengths = self._values(values) if stored is None else self._cut(values, stored)
         ends = np.cumsum(lengths + 1)
         out = np.full(int(ends[-1]) if len(ends) else 0, self.end, f"<u{self.width}")
         own = np.ones(len(out), bool)
@@ -92,18 +99,105 @@ class Tokens:
         out[own] = found
         return out.tobytes(), (ends - lengths - 1).astype(np.int64) * self.width
 
+    def _cut(self, values: pa.Array, stored: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_values``, by the lengths that were stored when the tokens were counted."""
+        find, kind, parts, counts = _lookup(self.ranks), f"<u{self.width}", [], []
+        for start in range(0, len(values), ROWS):
+            texts = [(text or "").encode("utf-8") for text in values.slice(start, ROWS).to_pylist()]
+            lengths = list(islice(stored, len(texts)))
+            if [int(one.sum(dtype=np.int64)) for one in lengths] != [len(text) for text in texts]:
+                raise RuntimeError(_CHANGED)
+            counts += [len(one) for one in lengths]
+            parts.append(_narrow(find.ids(b"".join(texts), np.concatenate(lengths)), kind))
+        return np.concatenate([np.empty(0, kind), *parts]), np.array(counts, np.int64)
+
     def padding(self, count: int) -> np.ndarray:
         one = np.frombuffer(self.pad.to_bytes(self.width, "little"), np.uint8)
         return np.tile(one, count)
 
 
+@lru_cache(maxsize=2)
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as file:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
+
+
 @lru_cache(maxsize=2)
 def _encoding(path: str, pattern: str) -> object:
     import tiktoken
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
+
+
+class _Lookup:
+    """Ranks of many tokens at once, given as one run of bytes and the length of each.
+
+    Tokens of up to eight bytes are numbers in small hash tables; a token whose
+    slot is taken goes to the next table. The rest, and longer ones, are looked up singly.
+    """
+
+    BITS = 18
+    FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        short = [token for token in ranks if 0 < len(token) <= 8]
+        self.value = np.array([int.from_bytes(token, "little") for token in short] or [0], np.uint64)
+        self.size = np.array([len(token) for token in short] or [0], np.uint64)
+        self.rank = np.array([ranks[token] for token in short] or [0], np.int64)
+        self.masks = np.array([256**k - 1 for k in range(9)], np.uint64)
+        self.tables, left = [], np.arange(len(short))
+        for factor in self.FACTORS:
+            table = np.zeros(1 << self.BITS, np.int32)
+            places, first = np.unique(self._place(self.value[left], self.size[left], factor), return_index=True)
+            table[places] = left[first]
+            self.tables.append(table)
+            left = np.delete(left, first)
+
+    def _place(self, value: np.ndarray, size: np.ndarray, factor: int) -> np.ndarray:
+        x = (value ^ (value >> np.uint64(29))) + size
+        return (x * np.uint64(factor)) >> np.uint64(64 - self.BITS)
+
+    def ids(self, data: bytes, lengths: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(lengths, dtype=np.int64)
+        starts = ends - lengths
+        windows = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))
+        size = np.minimum(lengths, 8).astype(np.uint64)
+        value = windows[starts] & self.masks[size]
+        out, todo = np.empty(len(lengths), np.int64), np.flatnonzero(lengths <= 8)
+        rest = [np.flatnonzero(lengths > 8)]
+        for table, factor in zip(self.tables, self.FACTORS, strict=True):
+            at = table[self._place(value[todo], size[todo], factor)]
+            same = (self.value[at] == value[todo]) & (self.size[at] == size[todo])
+            out[todo[same]] = self.rank[at[same]]
+            todo = todo[~same]
+        for k in np.concatenate([todo, *rest]).tolist():
+            rank = self.ranks.get(data[starts[k] : ends[k]])
+            if rank is None:
+                raise RuntimeError(_CHANGED)
+            out[k] = rank
+        return out
+
+
+@lru_cache(maxsize=2)
+def _lookup(path: str) -> _Lookup:
+    return _Lookup(_ranks(path))
+
+
+@lru_cache(maxsize=2)
+def _token_bytes(path: str) -> np.ndarray:
+    """The bytes that each token has, by its rank."""
+    ranks = _ranks(path)
+    out = np.zeros(max(ranks.values(), default=0) + 1, np.uint32)
+    for token, rank in ranks.items():
+        out[rank] = len(token)
+    return out.astype(np.min_scalar_type(int(out.max())))
+
+
+def _narrow(ids: np.ndarray, kind: str) -> np.ndarray:
+    if len(ids) and ids.max() > np.iinfo(kind).max:
+        raise OverflowError(f"a token id is larger than {kind} can hold")
+    return ids.astype(kind)
 
 
 @dataclass(frozen=True)
@@ -155,7 +249,10 @@ def _plan(docs: DataFrame, tokens: Tokens) -> dict[int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        n = sum(tokens.count(batch.column(1)) for batch in small(batches))
+        if tokens.lengths is None:
+            n = sum(tokens.count(batch.column(1)) for batch in small(batches))
+        else:
+            n = _count_and_store(small(batches), tokens, part)
         yield pa.RecordBatch.from_pydict({"part": [part], "n": [n * tokens.width]})
 
     rows = [row for row in docs.mapInArrow(run, "part bigint, n bigint").collect() if row["n"]]
@@ -167,6 +264,37 @@ def _plan(docs: DataFrame, tokens: Tokens) -> dict[int, int]:
     return starts
 
 
+def _count_and_store(batches: Iterator[pa.RecordBatch], tokens: Tokens, part: int) -> int:
+    """Tokens of a partition with their ends; the lengths of the tokens are written, a block for each batch."""
+    encode = _encoding(tokens.ranks, tokens.pattern).encode_to_numpy
+    sizes, compress, n = _token_bytes(tokens.ranks), zstandard.ZstdCompressor(level=3).compress, 0
+    store, folder = fs.FileSystem.from_uri(tokens.lengths if ":" in tokens.lengths else f"file://{tokens.lengths}")
+    store.create_dir(folder, recursive=True)
+    attempt = f"{folder}/.{part}-{TaskContext.get().taskAttemptId()}"
+    with store.open_output_stream(attempt) as file:
+        for batch in batches:
+            lengths = [sizes[encode(text or "")] for text in batch.column(1).to_pylist()]
+            counts = np.array([len(one) for one in lengths], np.int64)
+            data = compress(np.concatenate([sizes[:0], *lengths]).tobytes())
+            file.write(np.array([len(counts), len(data)], np.int64).tobytes() + counts.tobytes() + data)
+            n += int(counts.sum()) + len(counts)
+    store.move(attempt, f"{folder}/{part}")
+    return n
+
+
+def _stored_lengths(tokens: Tokens, part: int) -> Iterator[np.ndarray]:
+    """The lengths of the tokens of each document of a partition, in order."""
+    kind, expand = _token_bytes(tokens.ranks).dtype, zstandard.ZstdDecompressor().decompress
+    store, folder = fs.FileSystem.from_uri(tokens.lengths if ":" in tokens.lengths else f"file://{tokens.lengths}")
+    with store.open_input_stream(f"{folder}/{part}") as file:
+        while head := file.read(16):
+            rows, size = np.frombuffer(head, np.int64).tolist()
+            counts = np.frombuffer(file.read(8 * rows), np.int64)
+            data = file.read(size)
+            found = np.frombuffer(expand(data) if counts.sum() else b"", kind)
+            yield from np.split(found, np.cumsum(counts)[:-1]) if rows else ()
+
+
 def write_shards(
     docs: DataFrame,
     folder: str,
@@ -181,6 +309,8 @@ def write_shards(
     that begin in the sequence. Shards are written when the result is computed.
     """
     spark, docs = docs.sparkSession, docs.select("doc_id", tokens.column or "text")
+    if tokens.column is None and tokens.ranks is not None:
+        tokens = replace(tokens, lengths=shared_folder(spark, "lengths"))
     length *= tokens.width  # from here on all is counted in bytes
     starts = _plan(docs, tokens)
     total = starts.pop(-1)
@@ -191,14 +321,16 @@ def write_shards(
     places = spark.sparkContext.broadcast(starts)  # one number a partition
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = places.value.get(TaskContext.get().partitionId(), -1)
+        part = TaskContext.get().partitionId()
+        at = places.value.get(part, -1)
+        stored = None if tokens.lengths is None else _stored_lengths(tokens, part)
         compress = zstandard.ZstdCompressor(level=1).compress
         for batch in small(batches, PACKED):
             if not batch.num_rows:
                 continue
             if at < 0:
                 raise RuntimeError(_CHANGED)
-            data, begins = tokens.stream(batch.column(1))
+            data, begins = tokens.stream(batch.column(1), stored)
             doc_ids = np.array([-1 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
             first, last = at // length, (at + len(data) - 1) // length
             sequences = np.arange(first, last + 1)

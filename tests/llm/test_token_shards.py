@@ -1,9 +1,11 @@
 """Shards of token ids by a rank file, and tables that change between their reads."""
 
 import base64
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -63,3 +65,29 @@ def test_ids_out_of_range_are_refused(spark, tmp_path):
     with pytest.raises(Exception, match="token ids"):
         kind = shards.Tokens("ids", 2, 50_256, 50_257)
         shards.write_shards(spark.read.parquet(f"{tmp_path}/ids"), f"{tmp_path}/out", tokens=kind).collect()
+
+
+def test_stored_lengths_give_the_ids_without_encoding(monkeypatch):
+    texts = pa.array(["Some text, über 12", None, "", "x" * 900 + " \U0001f600"])
+    data, begins = KIND.stream(texts)
+    encode, sizes = shards._encoding(PATH, PATTERN).encode_to_numpy, shards._token_bytes(PATH)
+    lengths = [sizes[encode(text or "")] for text in texts.to_pylist()]
+    monkeypatch.setattr(shards, "_encoding", None)
+    again, same = KIND.stream(texts, iter(lengths))
+    assert again == data and same.tolist() == begins.tolist()
+    with pytest.raises(RuntimeError, match="did not come in the same rows"):
+        KIND.stream(texts, iter(lengths[::-1]))
+    with pytest.raises(RuntimeError, match="did not come in the same rows"):
+        KIND.stream(texts, iter(lengths[:2]))
+
+
+def test_texts_are_encoded_once(spark, tmp_path, monkeypatch):
+    docs = landed(spark, tmp_path, [(k, f"text {k} " * (k % 9)) for k in range(60)])
+    used = []
+    monkeypatch.setattr(shards, "shared_folder", lambda _, label: used.append(label) or f"{tmp_path}/{label}")
+    shards.write_shards(docs, f"{tmp_path}/out", 5, 32, 50, KIND).collect()
+    kind = replace(KIND, lengths=f"{tmp_path}/lengths")
+    parts = [p for p in range(docs.rdd.getNumPartitions()) if (tmp_path / "lengths" / str(p)).exists()]
+    stored = [one for p in parts for one in shards._stored_lengths(kind, p)]
+    assert used == ["lengths"] and len(stored) == 60
+    assert [int(one.sum()) for one in stored] == [len(r["text"]) for r in docs.collect()]
