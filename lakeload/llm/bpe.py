@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakeload.llm.common import extended, small
+from lakeload.llm.common import extended, release, small
 from lakeload.llm.common import free_name as _free
 from lakeload.llm.splitting import library_class, splitter
 
@@ -226,6 +226,7 @@ def encode_table(
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
         # the worker goes on to tasks of other operators
         vocabulary.packed.forget()
+        release()
 
     names = [_free(name, docs.columns) for name in ("ids", "round_trip")[: 1 + check]]
     schema = extended(docs.schema, **dict(zip(names, ("array<int>", "boolean")[: 1 + check], strict=True)))

@@ -6,7 +6,6 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,45 +63,68 @@ def bit_set(hashes: DataFrame) -> tuple[np.ndarray, int, int]:
     A number's place is its upper bits. The set has at most ``2 ** FILTER_BITS``
     places; with very many numbers it holds more than these, never fewer.
     """
+    spots, bits, size = _places(hashes)
+    table = np.zeros(1 << max(0, bits - 6), np.int64)
+    for row in _bit_words(spots).toLocalIterator():
+        table[row["word"]] = row["bits"]
+    return table, bits, size
+
+
+def _places(hashes: DataFrame) -> tuple[DataFrame, int, int]:
+    """The places ``p`` of the 64-bit numbers of the one column, the bits a place has, the rows."""
     size = hashes.count()
     bits = int(np.clip(np.ceil(np.log2(16 * max(1, size))), 10, FILTER_BITS))
-    spots = hashes.select(F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - bits).alias("p"))
-    words = spots.groupBy(F.shiftright("p", 6).alias("word")).agg(
+    return hashes.select(F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - bits).alias("p")), bits, size
+
+
+def _bit_words(spots: DataFrame) -> DataFrame:
+    """(word, bits): the words that have a bit set."""
+    return spots.groupBy(F.shiftright("p", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("bits")
     )
-    table = np.zeros(1 << max(0, bits - 6), np.int64)
-    for row in words.toLocalIterator():
-        table[row["word"]] = row["bits"]
-    return table, bits, size
 
 
-def key_filter(keys: DataFrame) -> Callable[[Column], Column]:
-    """A test that is true for every key of the one column of ``keys``, and for few others.
+def key_filter(keys: DataFrame) -> Callable[[DataFrame, Column, str], DataFrame]:
+    """Adds a column to rows that is true for every key of the one column of ``keys``, and for few others.
 
     Rows that fail it need no join with the keys, and so no shuffle. The test is
-    a set of bits of bounded size; with very many keys it lets more rows pass,
-    never fewer, so a join has to follow for the rows that pass.
+    a set of bits of bounded size, sent to the tasks as a small table; with very
+    many keys it lets more rows pass, never fewer, so a join has to follow for
+    the rows that pass. Python workers take no part in it.
     """
-    table, bits, _ = bit_set(keys.select(F.xxhash64(keys.columns[0])))
-    shared = keys.sparkSession.sparkContext.broadcast(table)
+    spots, bits = _places(keys.select(F.xxhash64(keys.columns[0])))[:2]
+    words = _bit_words(spots).select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
 
-    @F.pandas_udf("boolean")
-    def found(spot: pd.Series) -> pd.Series:
-        at = spot.to_numpy()
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+    def mark(rows: DataFrame, key: Column, name: str) -> DataFrame:
+        rows = rows.withColumn("__spot", F.shiftrightunsigned(F.xxhash64(key), 64 - bits))
+        rows = rows.withColumn("__word", F.shiftright("__spot", 6)).join(F.broadcast(words), "__word", "left")
+        found = F.expr("shiftright(__bits, cast(__spot & 63 AS int)) & 1") == 1
+        return rows.withColumn(name, F.coalesce(found, F.lit(False))).drop("__word", "__spot", "__bits")
 
-    return lambda key: found(F.shiftrightunsigned(F.xxhash64(key), 64 - bits))
+    return mark
 
 
 #: Rows that a task holds as Python objects at a time.
 ROWS = 500
 
 
+def release() -> None:
+    """Give back to the system what this worker has freed.
+
+    A worker goes on to tasks of other operators, and what it keeps for itself
+    meanwhile counts beside the memory of its executor.
+    """
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # also trims what numpy and Python have freed
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``."""
+    """The same rows in batches of at most ``rows``; freed memory is given back after each given batch."""
     for batch in batches:
         for start in range(0, max(1, batch.num_rows), rows):
             yield batch.slice(start, rows)
+        del batch
+        release()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

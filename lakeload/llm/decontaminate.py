@@ -262,8 +262,8 @@ def without_contaminated(docs: DataFrame, matches: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no test item matches. Few others than the matching rows are shuffled."""
     bad = matches.select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("text_hash").alias("__hash"))
     bad = stored(bad.distinct(), "bad")
-    passes = key_filter(bad.select(row_key(F.col("__id"), F.col("__hash"))))
+    mark = key_filter(bad.select(row_key(F.col("__id"), F.col("__hash"))))
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-1)), "__hash": F.xxhash64("text")})
-    keyed = keyed.withColumn("__maybe", passes(row_key(F.col("__id"), F.col("__hash"))))
+    keyed = mark(keyed, row_key(F.col("__id"), F.col("__hash")), "__maybe")
     rest = keyed.where("__maybe").join(bad, ["__id", "__hash"], "left_anti")
     return keyed.where("NOT __maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))

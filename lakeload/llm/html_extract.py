@@ -365,8 +365,8 @@ def _with_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
     per_page = found.groupBy("host", "page").agg(F.collect_set("subtree").alias("subtrees"))  # of one page
     per_page = stored(per_page, "page-templates")
     # pages that lose no subtree are not shuffled
-    passes = key_filter(per_page.select(F.xxhash64("host", "page")))
-    keyed = keyed.withColumn("maybe", passes(F.xxhash64("host", "page")))
+    mark = key_filter(per_page.select(F.xxhash64("host", "page")))
+    keyed = mark(keyed, F.xxhash64("host", "page"), "maybe")
     columns = ["page_id", "url", "host", "html", "subtrees"]
     whole = keyed.where("NOT maybe").withColumn("subtrees", F.lit(None).cast("array<bigint>"))
     joined = keyed.where("maybe").join(per_page, ["host", "page"], "left").select(*columns)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeload.llm.common import WordHashes, ascii_words, chain, key_filter, mix, ngrams, row_key, small, stored
+from lakeload.llm.common import WordHashes, ascii_words, chain, key_filter, mix, ngrams, release, row_key, small, stored
 from lakeload.llm.components import components
 
 WORDS = 5
@@ -209,8 +209,9 @@ def _verified(docs: DataFrame, tasks: DataFrame, words: int, similarity: float)
         F.coalesce("doc_id", F.lit(-1)).alias("rep_id"), F.xxhash64("text").alias("rep_hash"), "text"
     )
     # most texts have no candidate and are left where they are
-    passes = key_filter(wanted.select(row_key(F.col("rep_id"), F.col("rep_hash"))))
-    texts = texts.where(passes(row_key(F.col("rep_id"), F.col("rep_hash")))).join(wanted, ["rep_id", "rep_hash"])
+    mark = key_filter(wanted.select(row_key(F.col("rep_id"), F.col("rep_hash"))))
+    texts = mark(texts, row_key(F.col("rep_id"), F.col("rep_hash")), "maybe").where("maybe").drop("maybe")
+    texts = texts.join(wanted, ["rep_id", "rep_hash"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -232,6 +233,7 @@ def _verified(docs: DataFrame, tasks: DataFrame, words: int, similarity: float)
         out = []
         for _, part in frame.groupby(["root", "i", "j"], sort=False):
             out.extend(_compare(part, similarity))
+        release()
         return pd.DataFrame(out, columns=["node", "links", "other"])
 
     schema = T.StructType(
@@ -303,9 +305,9 @@ def one_per_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
     linked = classes.where("n_links > 0").groupBy("doc_id", "text_hash").agg(F.bool_or("keeps").alias("__keeps"))
     linked = linked.select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("text_hash").alias("__hash"), "__keeps")
     linked = stored(linked, "linked")
-    passes = key_filter(linked.select(row_key(F.col("__id"), F.col("__hash"))))
+    mark = key_filter(linked.select(row_key(F.col("__id"), F.col("__hash"))))
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-1)), "__hash": F.xxhash64("text")})
-    keyed = keyed.withColumn("__maybe", passes(row_key(F.col("__id"), F.col("__hash"))))
+    keyed = mark(keyed, row_key(F.col("__id"), F.col("__hash")), "__maybe")
     joined = keyed.where("__maybe").join(linked, ["__id", "__hash"], "left")
     # rows without a class keep a number of their own, repeated rows of a representative have none
     own = F.when(F.col("__keeps").isNull(), F.monotonically_increasing_id()).otherwise(-1)
