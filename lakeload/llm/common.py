@@ -118,6 +118,21 @@ def release() -> None:
     pa.system_memory_pool().release_unused()  # also trims what numpy and Python have freed
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of about ``BATCH_BYTES``, where the session has no bound of its own.
+
+    An executor and its worker hold a batch each, a task's whole input with
+    Spark's 64 MB. What a batch holds does not change a result.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``; freed memory is given back after each given batch."""
     for batch in batches:

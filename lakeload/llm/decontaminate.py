@@ -201,9 +201,10 @@ def _slice_matches(docs: DataFrame, items: Items, n: int, rare: int, threshold:
         F.count("*").alias("n")
     )
     # seeds that no window has count as 0 in the median of their item
-    spark = docs.sparkSession
-    totals = spark.createDataFrame(
-        [(k, max(1, len(w) - n + 1)) for k, w in enumerate(items.words)], "item int, total int"
+    size = [max(1, len(w) - n + 1) for w in items.words]
+    # from Arrow: rows given as a list would start Python workers of another kind beside those of the operators
+    totals = docs.sparkSession.createDataFrame(
+        pa.table([pa.array(range(len(size)), pa.int32()), pa.array(size, pa.int32())], ["item", "total"])
     )
     seen = counts.groupBy("item").agg(F.sort_array(F.collect_list("n")).alias("counts"))  # at most one per seed
     missing = F.col("total") - F.size("counts")

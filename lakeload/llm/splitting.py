@@ -25,11 +25,19 @@ _FAR = re.compile("[\U00010000-\U0010ffff]")
 _CONTROL = (r"\r", r"\n", r"\t")
 
 
+#: So many characters are looked at at a time, as a worker keeps most of what it once took from the system.
+BLOCK = 1 << 14
+
+
 @lru_cache
 def _assigned() -> str:
     """All characters that any class may hold, in order."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    return "".join(regex.findall(r"[^\p{Cn}\p{Co}]+", every))
+    runs: list[str] = []
+    for start in range(0, 0x110000, BLOCK):
+        points = np.arange(start, start + BLOCK, dtype=np.uint32)
+        points = points[(points < 0xD800) | (points > 0xDFFF)]
+        runs += regex.findall(r"[^\p{Cn}\p{Co}]+", points.astype("<u4").tobytes().decode("utf-32-le"))
+    return "".join(runs)
 
 
 def _as_ranges(spans: list[tuple[int, int]]) -> Ranges:
@@ -52,10 +60,13 @@ def library_class(name: str) -> Ranges:
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
 
-    text = _assigned()
-    others = Split(Regex(f"{name}+"), "removed").pre_tokenize_str(text)
-    edges = [0, *(place for _, span in others for place in span), len(text)]
-    return _as_ranges([(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b])
+    text, split = _assigned(), Split(Regex(f"{name}+"), "removed")
+    spans: list[tuple[int, int]] = []
+    for start in range(0, len(text), BLOCK):  # a class is one of characters: a run cut here gives the same ranges
+        block = text[start : start + BLOCK]
+        edges = [0, *(place for _, span in split.pre_tokenize_str(block) for place in span), len(block)]
+        spans += ((start + a, start + b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b)
+    return _as_ranges(spans)
 
 
 def _bracket(ranges: Ranges, last: int) -> str:
